@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def is_held_out(id_col: str = "doc_id") -> Column:
     """Rows whose crc32 of the id as text leaves 0 when divided by five."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about `most` bytes of text each, so
+    that a task's memory does not follow the size of its batches."""
+    n = batch.num_rows
+    if not n:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < n:
+        base = sizes[start - 1] if start else 0
+        end = max(start + 1, int(sizes.searchsorted(base + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
