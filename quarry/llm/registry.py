@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mixing, sharding, token_counts
-from quarry.llm.tables import table
+from quarry.llm import decontaminate, mixing, quality, sharding, token_counts, toxicity
+from quarry.llm.tables import is_held_out, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = ["low_quality", "toxic"]
+    models = toxicity.fit_toxicity(docs, labels, chain)
+    scored = toxicity.score_toxicity(docs, models, chain)
+    return scored.select(
+        "doc_id", is_held_out().alias("held_out"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic")
+    )
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +26,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     records = table(spark, sf_dir, "documents").select(
@@ -81,7 +99,7 @@ FROM blocks b JOIN slots s ON s.source = coalesce(b.source, '') AND s.k = b.k
 
 
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
