@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mixing, quality, sharding, token_counts, toxicity
+from quarry.llm import decontaminate, langid, mixing, quality, sharding, token_counts, toxicity
 from quarry.llm.tables import is_held_out, table
 
 
@@ -20,6 +20,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify_languages(docs, langid.fit_languages(docs))
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,7 +105,7 @@ FROM blocks b JOIN slots s ON s.source = coalesce(b.source, '') AND s.k = b.k
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_quality": op5_quality, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
