@@ -115,7 +115,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", size: int = TABL
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         found = found.repartition(n).mapInArrow(_merge(size), "summary binary")
-    found = found.coalesce(1).mapInArrow(_merge(size), "summary binary")
+    found = found.repartition(1).mapInArrow(_merge(size), "summary binary")
     rows = found.collect()
     return pickle.loads(rows[0][0]) if rows else {}
 
