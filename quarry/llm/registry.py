@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, mixing, quality, sharding, token_counts, toxicity
+from quarry.llm import decontaminate, langid, mixing, ngram_join, quality, sharding, token_counts, toxicity
 from quarry.llm.tables import is_held_out, table
 
 
@@ -50,6 +50,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return marked.select(
@@ -105,7 +109,7 @@ FROM blocks b JOIN slots s ON s.source = coalesce(b.source, '') AND s.k = b.k
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_quality": op5_quality, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_quality": op5_quality, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op8_ngram_join": op8_ngram_join, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
