@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from quarry.llm import decontaminate, langid, lattice, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from quarry.llm.sql import OP2_SQL, OP8_SQL, OP9_SQL, OP10_SQL
 from quarry.llm.tables import is_held_out, table
 
 
@@ -20,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify_languages(docs, langid.fit_languages(docs))
@@ -72,45 +77,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, weights)
 
 
-OP10_SQL = """
-WITH RECURSIVE counts AS (
-  SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1
-), exact AS (
-  SELECT source, sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM counts) * (1000 - (SELECT count(*) FROM counts)) AS x FROM counts
-), ranked AS (
-  SELECT source, floor(x)::BIGINT AS low, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source) AS r FROM exact
-), weights AS (
-  SELECT source, low + 1 + CASE WHEN r <= 1000 - (SELECT sum(low + 1) FROM ranked) THEN 1 ELSE 0 END AS q,
-         row_number() OVER (ORDER BY source) AS i FROM ranked
-), lists AS (
-  SELECT list(q ORDER BY i) AS q, count(*) AS m FROM weights
-), sched AS (
-  SELECT 0 AS t, NULL::BIGINT AS i, list_transform(q, lambda x: 0::BIGINT) AS n FROM lists
-  UNION ALL
-  SELECT t + 1, i, list_transform(n, lambda v, j: v + CASE WHEN j = i THEN 1 ELSE 0 END)
-  FROM (SELECT t, n, list_min(list_filter(list_transform(q, lambda x, j:
-            CASE WHEN (n[j] * 1000) // x <= t THEN (((n[j] + 1) * 1000 + x - 1) // x) * 100000 + j END),
-            lambda d: d IS NOT NULL)) % 100000 AS i
-        FROM sched, lists WHERE t < 1000)
-), slots AS (
-  SELECT w.source, w.q, s.t - 1 AS at, row_number() OVER (PARTITION BY w.source ORDER BY s.t) - 1 AS k
-  FROM sched s JOIN weights w ON w.i = s.i
-), ranks AS (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY coalesce(source, '')
-           ORDER BY substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 15), doc_id) - 1 AS rk FROM documents
-), blocks AS (
-  SELECT d.doc_id, d.source, d.rk // 64 AS block, d.rk % 64 AS place, w.q, (d.rk // 64) // w.q AS round, (d.rk // 64) % w.q AS k
-  FROM ranks d JOIN weights w ON w.source = coalesce(d.source, '')
-)
-SELECT b.doc_id, b.source, b.block, b.place, b.round * 1000 + s.at AS slot,
-       b.round * 1000 + (b.k * 1000) // b.q AS release, b.round * 1000 + ((b.k + 1) * 1000 + b.q - 1) // b.q AS deadline
-FROM blocks b JOIN slots s ON s.source = coalesce(b.source, '') AND s.k = b.k
-"""
-
-
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_quality": op5_quality, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op8_ngram_join": op8_ngram_join, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_lattice": op2_lattice,
+        "op3_language_id": op3_language_id,
+        "op4_token_counts": op4_token_counts,
+        "op5_quality": op5_quality,
+        "op7_sharding": op7_sharding,
+        "op8_ngram_join": op8_ngram_join,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op10_mixing": OP10_SQL}
+    return {"op2_lattice": OP2_SQL, "op8_ngram_join": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_mixing": OP10_SQL}
