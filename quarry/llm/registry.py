@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, lattice, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from quarry.llm import decontaminate, langid, lattice, licenses, mixing, ngram_join, quality, sharding, token_counts, toxicity
 from quarry.llm.sql import OP2_SQL, OP8_SQL, OP9_SQL, OP10_SQL
 from quarry.llm.tables import is_held_out, table
 
@@ -44,6 +44,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = licenses.fit_licenses(licenses.background(docs, "text"))
+    found = licenses.scan_licenses(docs, model)
+    return found.select(
+        "doc_id", "license", "n_confirmed", F.size("paragraphs").cast("long").alias("n_flagged"), F.coalesce(F.array_max("paragraphs.probability"), F.lit(0.0)).alias("score")
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     records = table(spark, sf_dir, "documents").select(
@@ -84,6 +93,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
+        "op6_licenses": op6_licenses,
         "op7_sharding": op7_sharding,
         "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,

@@ -58,7 +58,7 @@ WITH dw AS (
 ), hits AS (
   SELECT p.doc_id, p.i, p.m, x.item FROM (SELECT doc_id, i, m, list_slice(w, i, i + m - 1) AS win FROM places) p JOIN windows x ON x.win = p.win
 ), words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS spot FROM hits) GROUP BY doc_id
 ), found AS (
   SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id
 )
