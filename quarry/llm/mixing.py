@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 PERIOD = 1000
 BLOCK_ROWS = 64
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_096
 MOST_SOURCES = 10_000
 SEED = 11
 
