@@ -19,7 +19,7 @@ def valid_text(c: Column) -> Column:
 def valid_number(c: Column) -> Column:
     """Doubles whose plain decimal text is valid: not null or NaN, finite, no sign
     (so no -0.0), and zero or within [1e-4, 1e16)."""
-    plain_zero = (c == 0) & (F.atan2(c, F.lit(-1.0)) > 0)  # atan2 tells 0.0 from -0.0
+    plain_zero = (c == 0) & ~c.cast("string").startswith("-")  # only text tells 0.0 from -0.0
     return F.coalesce(~F.isnan(c) & (plain_zero | ((c >= 1e-4) & (c < 1e16))), F.lit(False))
 
 

@@ -132,9 +132,9 @@ def equal_width(df: DataFrame, column: str, bins: int | None = None) -> DataFram
     if row["a"] is None or row["a"] == row["b"]:
         return df
     width = (row["b"] - row["a"]) / k
-    at = F.floor((F.col(column) - row["a"]) / width)
+    at = F.least(F.floor((F.col(column) - row["a"]) / width), F.lit(k - 1))
     x = F.col(column)
-    means = df.where(x < row["b"]).groupBy(at.alias("__k")).agg(F.avg(column).alias("__m"))
+    means = df.groupBy(at.alias("__k")).agg(F.avg(column).alias("__m"))
     joined = df.withColumn("__k", at).join(F.broadcast(means), "__k", "left")  # one row a bin
     return joined.withColumn(column, F.when(x == row["b"], x).otherwise(F.col("__m"))).select(*df.columns)
 

@@ -108,10 +108,10 @@ def recommend(found: DataFrame, baskets: DataFrame, strict: bool = True) -> Data
     clean = baskets.select("tid", F.array_sort(F.array_distinct(F.filter("items", lambda x: F.trim(x) != ""))).alias("items"))
     if strict:
         return clean.join(found, F.col("items") == F.col("antecedent")).select("tid", "consequent", "measure")
-    parts = found.withColumn("rule", F.xxhash64("antecedent", "consequent"))
     held = clean.select("tid", F.explode("items").alias("item"))
-    hits = parts.select("rule", F.explode("antecedent").alias("item")).join(held, "item").groupBy("tid", "rule").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(parts, "rule").where(F.col("n") == F.size("antecedent")).select("tid", "consequent", "measure")
+    parts = found.select("antecedent", "consequent", "measure", F.explode("antecedent").alias("item"))
+    hits = parts.join(held, "item").groupBy("tid", "antecedent", "consequent").agg(F.count(F.lit(1)).alias("n"), F.first("measure").alias("measure"))
+    return hits.where(F.col("n") == F.size("antecedent")).select("tid", "consequent", "measure")
 
 
 def one_hot(baskets: DataFrame, items: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ def fit_cleaning(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 def apply_cleaning(df: DataFrame, params: DataFrame, label: str | None = None) -> DataFrame:
     """Clean any rows with learnt parameters: fill (by the class, or the mean of
-    the class means where there is no label), move to the fences, scale."""
+    the class means where there is no label), move to the learnt bounds, scale."""
     out = {}
     for p in params.collect():
         means = {k: v for k, v in json.loads(p["class_means"]).items() if v is not None}
@@ -58,6 +58,6 @@ def apply_cleaning(df: DataFrame, params: DataFrame, label: str | None = None) -
         if label:
             table = F.create_map(*[x for k, v in means.items() for x in (F.lit(k), F.lit(v))]) if means else F.create_map().cast("map<string,double>")
             fill = F.coalesce(table[F.col(label).cast("string")], F.lit(overall))
-        x = F.least(F.greatest(F.coalesce(value(p["column"]), fill), F.lit(p["low"])), F.lit(p["high"]))
+        x = F.least(F.greatest(F.coalesce(value(p["column"]), fill), F.lit(p["least"])), F.lit(p["most"]))
         out[p["column"]] = F.try_divide(x - F.lit(p["least"]), F.lit(p["most"]) - F.lit(p["least"]))
     return df.withColumns(out)

@@ -214,7 +214,7 @@ def b1_equal_depth(spark, sf_dir):
 
 
 @query("b2_equal_width", f"""WITH {FILLED}, b AS (SELECT min(f2) AS a, max(f2) AS z, ceil(1 + 10 / 3.0::DOUBLE * log10(count(*)))::BIGINT AS k FROM filled),
-p AS (SELECT id, f2, z, floor((f2 - a) / ((z - a) / k)) AS g FROM filled, b), m AS (SELECT g, avg(f2) AS m FROM p WHERE f2 < z GROUP BY g)
+p AS (SELECT id, f2, z, least(floor((f2 - a) / ((z - a) / k)), k - 1) AS g FROM filled, b), m AS (SELECT g, avg(f2) AS m FROM p GROUP BY g)
 SELECT id, round(CASE WHEN f2 = z THEN f2 ELSE m END, 4) AS f2 FROM p LEFT JOIN m ON m.g = p.g""")
 def b2_equal_width(spark, sf_dir):
     return _four(cleaning.equal_width(filled(spark, sf_dir), "f2").select("id", "f2"), ["f2"], 4)
