@@ -37,7 +37,10 @@ from quarry.session import materialize
 
 WORDS = 5
 PERCENT = 75
+#: N-grams in about so many documents count as frequent. What the sample misses is
+#: multiplied out in columns of up to LONG times as many keys.
 SHORT_COLUMN = 48
+LONG = 4
 SAMPLE = 8
 MOST_FREQUENT = 1_000_000
 BLOCK = 384
@@ -113,10 +116,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _frequent(docs: DataFrame, words: int, sample: int, column: int, most: int) -> np.ndarray:
-    """Hashes of n-grams that a sample of the documents, one in `sample` by a hash
+def _frequent(docs: DataFrame, words: int, sample: int, column: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of n-grams that a sample of the documents, one in `sample` by a hash
     of the text, shows to be in more than about `column` of them all; at most
-    `most`, those that come first by count."""
+    `most`, those that come first by count. And the place of each by ascending
+    count, so that among frequent n-grams too the rarer ones come first."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,16 +132,22 @@ def _frequent(docs: DataFrame, words: int, sample: int, column: int, most: int)
     counts = part.mapInArrow(explode, "g long").groupBy("g").count()
     least = max(3, column // sample)
     top = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "g").limit(most)
-    return np.sort(np.array([r[0] for r in top.select("g").collect()], np.int64))
-
-
-def _sets(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """__id, n, key and prefix (hashes, frequent ones last; how many of them are
-    frequent is n_freq) of every document."""
+    rows = top.collect()
+    found, times = (np.array([r[c] for r in rows], np.int64) for c in ("g", "count"))
+    by_count = np.lexsort((found, times))
+    place = np.empty(len(found), np.int64)
+    place[by_count] = np.arange(len(found))
+    by_hash = np.argsort(found)
+    return found[by_hash], place[by_hash]
+
+
+def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """__id, n, key and prefix (hashes, frequent ones last and by count; how many of
+    them are frequent is n_freq) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, place = shared.value
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sizes, keys, prefixes, freq = [], [], [], []
@@ -150,7 +160,7 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> Da
                     at = np.searchsorted(last, signed) if len(last) else np.zeros(n, np.int64)
                     hot = (last[np.minimum(at, len(last) - 1)] == signed) if len(last) else np.zeros(n, bool)
                     size = int(prefix_length(np.int64(n), percent))
-                    prefix = np.concatenate([signed[~hot], signed[hot]])[:size]
+                    prefix = np.concatenate([signed[~hot], signed[hot][np.argsort(place[at[hot]])]])[:size]
                     prefixes.append(prefix.tobytes())
                     freq.append(max(0, size - int((~hot).sum())))
                 yield pa.RecordBatch.from_arrays(
@@ -382,7 +392,7 @@ def ngram_components(
     one_id = sets.where("key is not null").groupBy("key", "n").agg(F.min("__id").alias("__id"))
 
     rare, known = _columns(sets)
-    candidates = materialize(_candidates(_meetings(rare, percent, column), percent).union(known), "candidates")
+    candidates = materialize(_candidates(_meetings(rare, percent, LONG * column), percent).union(known), "candidates")
     clusters = connected_components(candidates).withColumnsRenamed({"node": "key", "component": "cluster"})
     nodes = materialize(one_id.where("__id is not null").join(clusters, "key"), "nodes")
 
