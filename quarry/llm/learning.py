@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,23 +13,26 @@ from pyspark.sql import functions as F
 from quarry.llm.tables import slices
 
 
-def labelled_sample(
+def fit_on_sample(
     docs: DataFrame,
     labels: DataFrame,
     usable: Column,
     label_cols: list[str],
     featurize: Callable[[str | None], np.ndarray],
+    fit: Callable[[list[np.ndarray], np.ndarray], object],
     *,
     id_col: str,
     text_col: str,
     most: int,
     seed: int = 5,
-) -> tuple[list, list[np.ndarray], np.ndarray]:
-    """Ids, features and labels (nan where null) of about `most` labelled
-    documents at most, chosen by a seeded hash of the id and ordered by id.
+):
+    """fit(features, labels) in one task, over about `most` labelled documents at
+    most, chosen by a seeded hash of the id and ordered by id. labels has a column
+    for each of label_cols, nan where null.
 
-    The chosen labels, bounded by `most`, are broadcast, so no text is shuffled.
-    An id that has several label rows counts with the smallest of each label.
+    The chosen labels, bounded by `most`, are broadcast, so no text is shuffled;
+    their features meet in one task of bounded size, and the model alone comes to
+    the driver. An id with several label rows counts with the smallest of each.
     """
     known = labels.where(usable & F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.min(c).cast("double").alias(c) for c in label_cols])
     total = known.count()
@@ -36,19 +40,24 @@ def labelled_sample(
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
     chosen = known.where(part).select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__y{i}") for i, c in enumerate(label_cols)])
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", *[f"__y{i}" for i in range(len(label_cols))])
+    names = [f"__y{i}" for i in range(len(label_cols))]
+    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", *names)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 found = [featurize(t).astype(np.int32).tobytes() for t in batch.column("__text").to_pylist()]
-                labels = [batch.column(i) for i in range(2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *labels], names=["__id", "x", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *(batch.column(n) for n in names)], names=["__id", "x", *names])
 
-    schema = ", ".join([f"__id {dict(rows.dtypes)['__id']}", "x binary", *(f"__y{i} double" for i in range(len(label_cols)))])
-    got = sorted(rows.mapInArrow(extract, schema).collect(), key=lambda r: (r[0], r[1]))
-    y = np.array([[np.nan if v is None else v for v in r[2:]] for r in got], float).reshape(len(got), len(label_cols))
-    return [r[0] for r in got], [np.frombuffer(r[1], np.int32) for r in got], y
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))]
+        got.sort(key=lambda r: (r[0], r[1]))
+        y = np.array([[np.nan if v is None else v for v in r[2:]] for r in got], float).reshape(len(got), len(names))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([np.frombuffer(r[1], np.int32) for r in got], y))]})
+
+    schema = ", ".join([f"__id {dict(rows.dtypes)['__id']}", "x binary", *(f"{n} double" for n in names)])
+    found = rows.mapInArrow(extract, schema).repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit([], np.zeros((0, len(names))))
 
 
 def folds_of(n: int, folds: int, seed: int = 3) -> np.ndarray:

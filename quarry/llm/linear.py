@@ -16,8 +16,8 @@ class Sparse:
     def __init__(self, rows: list[np.ndarray], dense: np.ndarray | None = None):
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        raw = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
-        self.known, self.at = np.unique(raw, return_inverse=True)
+        self.known, at = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]), return_inverse=True)
+        self.at = at.astype(np.int32)
         self.dense = np.zeros((len(rows), 0)) if dense is None else dense
 
     def take(self, rows: np.ndarray, dense: np.ndarray | None = None) -> "Sparse":
@@ -25,14 +25,16 @@ class Sparse:
         out.lengths = self.lengths[rows]
         out.starts = np.concatenate([[0], np.cumsum(out.lengths)])
         pieces = [self.at[self.starts[i] : self.starts[i + 1]] for i in rows]
-        out.at = np.concatenate([*pieces, np.zeros(0, np.int64)]).astype(np.int64)
+        out.at = np.concatenate([*pieces, np.zeros(0, np.int32)])
         out.known, out.dense = self.known, self.dense[rows] if dense is None else dense
         return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         k = len(self.known)
-        sums = np.concatenate([[0.0], np.cumsum(w[:k][self.at])])
-        return sums[self.starts[1:]] - sums[self.starts[:-1]] + self.dense @ w[k:-1] + w[-1]
+        sums, full = np.zeros(len(self.lengths)), self.lengths > 0
+        if full.any():
+            sums[full] = np.add.reduceat(w[:k][self.at], self.starts[:-1][full])
+        return sums + self.dense @ w[k:-1] + w[-1]
 
     def transposed(self, g: np.ndarray) -> np.ndarray:
         k = len(self.known)

@@ -15,7 +15,7 @@ from quarry.llm import learning, linear
 from quarry.llm.features import BITS, indicators
 from quarry.llm.tables import is_held_out
 
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 THRESHOLD = 0.3
 
 
@@ -37,10 +37,9 @@ def fit_quality(
     any label). Rows with a null label or id are not used.
     """
     usable = ~is_held_out(id_col) if usable is None else usable
-    _, rows, y = learning.labelled_sample(
-        docs, labels, usable & F.col(label_col).isNotNull(), [label_col], indicators, id_col=id_col, text_col=text_col, most=max_train
+    return learning.fit_on_sample(
+        docs, labels, usable & F.col(label_col).isNotNull(), [label_col], indicators, lambda rows, y: fit_sample(rows, y[:, 0] > 0, cost), id_col=id_col, text_col=text_col, most=max_train
     )
-    return fit_sample(rows, y[:, 0] > 0, cost)
 
 
 def fit_sample(rows: list[np.ndarray], good: np.ndarray, cost: float = 0.01, folds: int = 3) -> dict:

@@ -17,14 +17,17 @@ from quarry.llm import learning, linear
 from quarry.llm.features import BITS, stem_indicators
 from quarry.llm.tables import is_held_out
 
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 THRESHOLD = 0.3
 
 
-def fit_chain_sample(rows: list[np.ndarray], y: np.ndarray, l2: float = 3e-3, folds: int = 4) -> list[dict]:
+def fit_chain_sample(rows: list[np.ndarray], y: np.ndarray, l2: float = 3e-3, folds: int = 3, least: int = 3) -> list[dict]:
     """Models of the chain, in order. y: a column for each category, nan where
-    the label is missing. A category without both classes predicts its share."""
+    the label is missing. Features of fewer than `least` rows are left out. A
+    category without both classes predicts its share."""
     n, count = y.shape
+    df = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=1 << BITS)
+    rows = [r[df[r] >= least] for r in rows]
     fold = learning.folds_of(n, folds)
     earlier = np.zeros((n, 0))
     x = linear.Sparse(rows)
@@ -33,7 +36,7 @@ def fit_chain_sample(rows: list[np.ndarray], y: np.ndarray, l2: float = 3e-3, fo
     def fit(at: np.ndarray, target: np.ndarray) -> np.ndarray:
         part = [rows[i] for i in at]
         scale = linear.log_count_ratios(part, np.where(target[at] > 0, 1, -1), 1 << BITS)[x.known]
-        return linear.fit_logistic(x.take(at, earlier[at]), target[at], l2, scale=scale)
+        return linear.fit_logistic(x.take(at, earlier[at]), target[at], l2, 30, scale)
 
     for k in range(count):
         target = y[:, k]
@@ -70,8 +73,7 @@ def fit_toxicity(
     """Fit the chain on about max_train labelled rows at most, those that are not
     held out. categories are columns of labels (0, 1 or null), in chain order."""
     usable = ~is_held_out(id_col) if usable is None else usable
-    _, rows, y = learning.labelled_sample(docs, labels, usable, categories, stem_indicators, id_col=id_col, text_col=text_col, most=max_train)
-    return fit_chain_sample(rows, y)
+    return learning.fit_on_sample(docs, labels, usable, categories, stem_indicators, fit_chain_sample, id_col=id_col, text_col=text_col, most=max_train)
 
 
 def probabilities(models: list[dict], text: str | None) -> list[float]:
