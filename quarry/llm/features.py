@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 
 BITS = 20
-CACHE = 300_000
+CACHE = 150_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _U = np.uint64

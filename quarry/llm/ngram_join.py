@@ -46,7 +46,7 @@ MOST_FREQUENT = 1_000_000
 BLOCK = 384
 BROADCAST_ROWS = 1_000_000
 CHUNK = 4096
-CACHE = 400_000
+CACHE = 200_000
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
