@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
         for batch in batches:
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
             ok = [len(r) == len(s) and float(np.frombuffer(r, float) @ np.frombuffer(s, float)) >= cosine for r, s in zip(x, y)]
-            at = np.flatnonzero(ok).tolist()
+            at = pa.array(np.flatnonzero(ok), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return both.mapInArrow(check, "a long, b long")

@@ -190,7 +190,7 @@ def _columns(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                         fresh.append(at)
                         if len(seen) < CACHE:
                             seen.add(key)
-                prefixes = piece.column("prefix").take(fresh).to_pylist()
+                prefixes = piece.column("prefix").take(pa.array(fresh, pa.int64())).to_pylist()
                 prefixes = [np.frombuffer(x, np.int64) for x in prefixes]
                 lengths = np.array([len(x) for x in prefixes], np.int64)
                 rows = np.repeat(np.array(fresh, np.int64), lengths)
@@ -358,7 +358,7 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: i
                 grams = [_signed(shingles(t, words)) for t in batch.column("__text").to_pylist()]
                 right = np.array([set_key(g.view(np.uint64)) for g in grams], np.int64) == batch.column("__key").to_numpy()
                 at = np.flatnonzero(right).tolist()  # an id may have other texts as well
-                yield pa.RecordBatch.from_arrays([batch.column("__key").take(at), pa.array([grams[x].tobytes() for x in at], pa.binary())], names=["key", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(at, pa.int64())), pa.array([grams[x].tobytes() for x in at], pa.binary())], names=["key", "grams"])
 
     sets = texts.select("__key", "__text").mapInArrow(build, "key long, grams binary")
     return _block_links(sets.join(tasks, "key"), percent)

@@ -83,3 +83,16 @@ def test_edge_rows(spark):
 
 def test_query_against_sql(spark, sf_dir):
     assert same(registry.op2_lattice(spark, sf_dir), registry.OP2_SQL, sf_dir) > 0
+
+
+def test_near_pairs_all_below_the_cosine(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        x, z = rng.normal(size=64), rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        z -= z @ x * x
+        z /= np.linalg.norm(z)
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (0.895 * x + np.sqrt(1 - 0.895**2) * z).tolist())]
+    got = L.lattice_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all((r.n_links, r.component_id) == (0, r.vec_id) for r in got) and len(got) == 120

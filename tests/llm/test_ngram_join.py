@@ -97,3 +97,16 @@ def test_query_against_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").collect()
     rows = registry.op8_ngram_join(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute([r.doc_id for r in docs], [r.text for r in docs])
+
+
+def test_a_task_full_of_copies(spark):
+    docs = spark.createDataFrame([(i, "one text of more than five words") for i in range(4500)], "doc_id long, text string").coalesce(1)
+    assert {(r.n_shingles, r.component_id) for r in J.ngram_components(docs).collect()} == {(3, 0)}
+
+
+def test_a_task_whose_ids_belong_to_other_texts(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:39], "x"])), (1, "some other text of seven words here"), (2, "and one more text of eight words here")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_components(docs).collect())
+    assert got == [(1, 3, 1), (1, 36, 1), (2, 4, 2), (2, 36, 1)]
