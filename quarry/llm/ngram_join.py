@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.graph import connected_components
@@ -142,8 +142,8 @@ def _frequent(docs: DataFrame, words: int, sample: int, column: int, most: int)
 
 
 def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """__id, n, key and prefix (hashes, frequent ones last and by count; how many of
-    them are frequent is n_freq) of every document."""
+    """__id, n, key, row (a hash of id and text) and prefix (hashes, frequent ones last
+    and by count; how many of them are frequent is n_freq) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +164,17 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray,
                     prefixes.append(prefix.tobytes())
                     freq.append(max(0, size - int((~hot).sum())))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("__id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(freq, pa.int32()), pa.array(prefixes, pa.binary())],
-                    names=["__id", "n", "key", "n_freq", "prefix"],
+                    [batch.column("__id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column("__row"), pa.array(freq, pa.int32()), pa.array(prefixes, pa.binary())],
+                    names=["__id", "n", "key", "row", "n_freq", "prefix"],
                 )
 
-    return docs.mapInArrow(build, f"__id {dict(docs.dtypes)['__id']}, n long, key long, n_freq int, prefix binary")
+    rows = docs.withColumn("__row", _row())
+    return rows.mapInArrow(build, f"__id {dict(docs.dtypes)['__id']}, n long, key long, row long, n_freq int, prefix binary")
+
+
+def _row() -> Column:
+    """Tells a row from others, null id or not; rows that repeat share it."""
+    return F.xxhash64("__id", "__text")
 
 
 def _columns(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,22 +351,30 @@ def _block_links(work: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """Links among nodes (key, __id of a text with that set, cluster, n, kind)."""
+    """Links among nodes (key, row of a text with that set, cluster, n, kind). Rows
+    that repeat give their set once."""
     tasks = deal_blocks(nodes.select("key", "cluster", "n", "kind"), block, percent)
-    wanted = nodes.select("__id", F.col("key").alias("__key"))
+    wanted = nodes.select(F.col("row").alias("__row"), F.col("key").alias("__key"))
     if nodes.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "__id")
+    texts = docs.withColumn("__row", _row()).join(wanted, "__row")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "__text"):
-                grams = [_signed(shingles(t, words)) for t in batch.column("__text").to_pylist()]
-                right = np.array([set_key(g.view(np.uint64)) for g in grams], np.int64) == batch.column("__key").to_numpy()
-                at = np.flatnonzero(right).tolist()  # an id may have other texts as well
-                yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(at, pa.int64())), pa.array([grams[x].tobytes() for x in at], pa.binary())], names=["key", "grams"])
+                keys, at, grams = batch.column("__key").to_pylist(), [], []
+                for i, text in enumerate(batch.column("__text").to_pylist()):
+                    if keys[i] in seen:
+                        continue
+                    found = shingles(text, words)
+                    if set_key(found) == keys[i]:  # row hashes may clash
+                        at.append(i), grams.append(found.tobytes())
+                        if len(seen) < CACHE:
+                            seen.add(keys[i])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.int64()), pa.array(grams, pa.binary())], names=["key", "grams"])
 
-    sets = texts.select("__key", "__text").mapInArrow(build, "key long, grams binary")
+    sets = texts.select("__key", "__text").mapInArrow(build, "key long, grams binary").dropDuplicates(["key"])
     return _block_links(sets.join(tasks, "key"), percent)
 
 
@@ -389,12 +403,12 @@ def ngram_components(
     docs = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     frequent = _frequent(docs, words, sample, column, most_frequent)
     sets = materialize(_sets(docs, words, percent, frequent), "sets")
-    one_id = sets.where("key is not null").groupBy("key", "n").agg(F.min("__id").alias("__id"))
+    one_id = sets.where("key is not null").groupBy("key", "n").agg(F.min("__id").alias("__id"), F.min("row").alias("row"))
 
     rare, known = _columns(sets)
     candidates = materialize(_candidates(_meetings(rare, percent, LONG * column), percent).union(known), "candidates")
     clusters = connected_components(candidates).withColumnsRenamed({"node": "key", "component": "cluster"})
-    nodes = materialize(one_id.where("__id is not null").join(clusters, "key"), "nodes")
+    nodes = materialize(one_id.join(clusters, "key"), "nodes")
 
     # clusters of many blocks: first against pivots, one block's worth of a class
     sums = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)

@@ -110,3 +110,19 @@ def test_a_task_whose_ids_belong_to_other_texts(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_components(docs).collect())
     assert got == [(1, 3, 1), (1, 36, 1), (2, 4, 2), (2, 36, 1)]
+
+
+def test_repeats_of_one_row_and_a_bridge_with_a_null_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[a : a + 44]) for a in (0, 5, 10)]
+    assert brute([1, 2, 3], texts)[3] == (40, 1) and brute([1, 3], [texts[0], texts[2]])[3] == (40, 3)
+    data = [(1, texts[0])] * 10_000 + [(None, texts[1]), (3, texts[2])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sent, product = [], J._block_links
+    J._block_links = lambda work, percent: (sent.append(work.groupBy("task", "key").count().where("count > 1").count()), product(work, percent))[1]
+    try:
+        rows = J.ngram_components(docs).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    finally:
+        J._block_links = product
+    assert sorted((tuple(r) for r in rows), key=str) == [(1, 40, 1, 10_000), (3, 40, 1, 1), (None, 40, None, 1)]
+    assert sent and not any(sent)
