@@ -6,21 +6,30 @@ ceil((k + 1) * Q / q). At every slot the released block with the earliest
 deadline goes out. The weights add up to Q, so on one line of slots this order
 meets every deadline, and after any number t of slots a source has had less than
 one block more or less than t * q / Q. The schedule repeats after Q slots, so one
-period, whose size is a parameter, is worked out and every block finds its slot
-by arithmetic.
+period is worked out and every block finds its slot by arithmetic. A period has
+PERIOD slots, or SLOTS_EACH for every source if there are more sources than that.
 
 A source that has run out leaves its slots empty; the others keep theirs.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 1000
 BLOCK_ROWS = 64
 BUCKET_ROWS = 4_096
-MOST_SOURCES = 10_000
+SLOTS_EACH = 8
+#: Steps (sources x slots) up to which a schedule is made in one row's arrays, and
+#: slots up to which it is broadcast.
+SHORT_SCHEDULE = 1_000_000
+BROADCAST_SLOTS = 200_000
+BATCH = 10_000
 SEED = 11
 
 
@@ -31,16 +40,20 @@ def shuffle_key(id_col: str, seed: int) -> Column:
 
 
 def weights_by_size(docs: DataFrame, source_col: str, power: float, period: int = PERIOD) -> DataFrame:
-    """Integer weights (source, q) that add up to the period: each source has one
-    part and the rest goes in proportion to its rows to the given power, by
-    largest remainder (ties: source order)."""
+    """Integer weights (source, q) that add up to the period, or to SLOTS_EACH for
+    every source if the period has fewer slots than there are sources: each source
+    has one part and the rest goes in proportion to its rows to the given power,
+    by largest remainder (ties: source order)."""
     counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).count()
     everything = Window.partitionBy(F.lit(0))
     share = F.pow("count", F.lit(power))
-    exact = share / F.sum(share).over(everything) * (F.lit(period) - F.count(F.lit(1)).over(everything))
+    sources = F.count(F.lit(1)).over(everything)
+    slots = F.when(sources > period, sources * SLOTS_EACH).otherwise(F.lit(period))
+    counts = counts.withColumn("slots", slots)
+    exact = share / F.sum(share).over(everything) * (F.col("slots") - sources)
     floors = counts.withColumn("exact", exact).withColumn("low", F.floor("exact"))
     by_rest = Window.partitionBy(F.lit(0)).orderBy(F.round(F.col("exact") - F.col("low"), 9).desc(), "source")
-    left = F.lit(period) - F.sum(F.col("low") + 1).over(everything)
+    left = F.col("slots") - F.sum(F.col("low") + 1).over(everything)
     more = (F.row_number().over(by_rest) <= left).cast("long")
     return floors.withColumn("q", F.col("low") + 1 + more).select("source", "q")
 
@@ -50,8 +63,13 @@ def pfair_period(weights: DataFrame) -> DataFrame:
     block k of the source goes out at slot `at`.
 
     Earliest deadline first, ties to the source that sorts first. Only as many
-    rows as the period has slots exist, in one row's arrays while it is made.
+    rows as the period has slots exist. A short schedule is made in one row's
+    arrays; a long one slot by slot in one task, which holds a few numbers for
+    every source and gives its slots in batches.
     """
+    size = weights.agg(F.count(F.lit(1)).alias("sources"), F.sum("q").alias("slots")).first()
+    if size["sources"] * (size["slots"] or 0) > SHORT_SCHEDULE:
+        return _long_period(weights)
     listed = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "q"))).alias("s")).where(F.size("s") > 0)
     listed = listed.withColumn("period", F.expr("aggregate(s, 0L, (a, x) -> a + x.q)"))
     pick = (
@@ -78,6 +96,37 @@ def pfair_period(weights: DataFrame) -> DataFrame:
     )
 
 
+def _long_period(weights: DataFrame) -> DataFrame:
+    """The schedule of pfair_period by two heaps: blocks to be released, and
+    released ones by deadline."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = [], []
+        for batch in batches:
+            names += batch.column(0).to_pylist()
+            q += batch.column(1).to_pylist()
+        period, out = sum(q), []
+        due = lambda i, k: -(-(k + 1) * period // q[i])
+        ready = [(due(i, 0), i, 0) for i in range(len(q))]
+        heapq.heapify(ready)
+        later: list[tuple[int, int, int]] = []
+        for t in range(period):
+            while later and later[0][0] <= t:
+                _, i, k = heapq.heappop(later)
+                heapq.heappush(ready, (due(i, k), i, k))
+            deadline, i, k = heapq.heappop(ready)
+            out.append((names[i], q[i], period, k, t, k * period // q[i], deadline))
+            if k + 1 < q[i]:
+                heapq.heappush(later, ((k + 1) * period // q[i], i, k + 1))
+            if len(out) == BATCH or t == period - 1:
+                columns = [pa.array(x, pa.string() if n == 0 else pa.int64()) for n, x in enumerate(zip(*out))]
+                yield pa.RecordBatch.from_arrays(columns, names=["source", "q", "period", "k", "at", "release", "deadline"])
+                out = []
+
+    listed = weights.select(F.col("source").cast("string"), F.col("q").cast("long")).repartition(1).sortWithinPartitions("source")
+    return listed.mapInArrow(run, "source string, q long, period long, k long, at long, release long, deadline long")
+
+
 def rank_within_source(docs: DataFrame, source_col: str, id_col: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add __source (null: empty text) and __rank, the place of a row within its
     source in seeded order, from 0.
@@ -110,8 +159,8 @@ def mix_sources(
 ) -> DataFrame:
     """Give every row its slot in the mixture.
 
-    weights: (source, q), whole numbers over 0, at most MOST_SOURCES rows and at
-    most some thousands in sum; a null source counts as the empty text. Adds to
+    weights: (source, q), whole numbers over 0; a null source counts as the empty
+    text. Adds to
     all columns of docs: block (of its source, from 0), place (of the row within
     the block), slot, release and deadline of the block. Sources without a
     weight, and rows of an empty table, give no rows. Ties of the seeded key go
@@ -121,12 +170,13 @@ def mix_sources(
     docs = docs.drop("block", "place", "slot", "release", "deadline")
     schedule = pfair_period(weights).withColumnsRenamed({c: f"__{c}" for c in ("source", "q", "period", "k", "at", "release", "deadline")})
     ranked = rank_within_source(docs, source_col, id_col, seed)
+    small = (weights.agg(F.sum("q")).first()[0] or 0) <= BROADCAST_SLOTS
     quota = weights.select(F.col("source").alias("__source"), F.col("q").alias("__n"))
     blocks = (
-        ranked.join(F.broadcast(quota), "__source")
+        ranked.join(F.broadcast(quota) if small else quota, "__source")
         .withColumns({"__block": F.expr(f"__rank div {block_rows}"), "__place": F.col("__rank") % block_rows})
         .withColumns({"__round": F.expr("__block div __n"), "__k": F.col("__block") % F.col("__n")})
-        .join(F.broadcast(schedule), ["__source", "__k"])
+        .join(F.broadcast(schedule) if small else schedule, ["__source", "__k"])
     )
     later = F.col("__round") * F.col("__period")
     return blocks.select(

@@ -39,3 +39,25 @@ def test_hot_source_ranks_are_gapless(spark, sf_dir):
     for r in rows:
         by.setdefault(r["__source"], []).append(r["__rank"])
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_more_sources_than_slots(spark):
+    counts = [5000, *[1 + i % 3 for i in range(1499)]]
+    data = [(k * 10_000 + j, f"s{k:04}") for k, n in enumerate(counts) for j in range(n)]
+    docs = spark.createDataFrame(data, "doc_id long, source string").cache()
+    weights = mixing.weights_by_size(docs, "source", 0.5)
+    q = {r.source: r.q for r in weights.collect()}
+    assert len(q) == 1500 and min(q.values()) >= 1 and sum(q.values()) == 1500 * mixing.SLOTS_EACH
+    assert q["s0000"] == max(q.values())
+    slots = sorted(mixing.pfair_period(weights).collect(), key=lambda r: r["at"])
+    assert [r["at"] for r in slots] == list(range(sum(q.values()))) and all(r.release <= r["at"] < r.deadline for r in slots)
+    rows = mixing.mix_sources(docs, weights, block_rows=1).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in data) and len({r.slot for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("q", [[1], [3, 7], [97, 3, 60, 40], [5] * 20])
+def test_long_schedules_equal_short_ones(spark, q):
+    weights = spark.createDataFrame([(f"s{i:02}", x) for i, x in enumerate(q)], "source string, q long")
+    columns = ["source", "q", "period", "k", "at", "release", "deadline"]
+    short, long = (sorted(map(tuple, f(weights).select(columns).collect())) for f in (mixing.pfair_period, mixing._long_period))
+    assert short == long
