@@ -38,11 +38,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents in mixture order: the files, by name, and the rows in
-    them follow the schedule. All documents stay; once a source has run out, the
-    others go on in their slots."""
+    """Give every source the share of rows that its weight asks for, in mixture
+    order. All documents stay; sources that run out before the last one give blocks
+    of rows again, so shares are met to within one block. The sharding stage gives
+    rows a new order; the shares stay."""
     weights = materialize(mixing.weights_by_size(docs, "source", MIX_POWER), "weights")
-    mixed = mixing.mix_sources(docs, weights)
+    mixed = mixing.mix_sources(docs, weights, refill=True)
     ordered = mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
 

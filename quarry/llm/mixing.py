@@ -9,7 +9,8 @@ one block more or less than t * q / Q. The schedule repeats after Q slots, so on
 period is worked out and every block finds its slot by arithmetic. A period has
 PERIOD slots, or SLOTS_EACH for every source if there are more sources than that.
 
-A source that has run out leaves its slots empty; the others keep theirs.
+A source that has run out leaves its slots empty; the others keep theirs. With
+`refill` its rows come round again instead.
 """
 
 from __future__ import annotations
@@ -127,6 +128,24 @@ def _long_period(weights: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "source string, q long, period long, k long, at long, release long, deadline long")
 
 
+def _refilled(ranked: DataFrame, weights: DataFrame, block_rows: int, small: bool) -> DataFrame:
+    """Rows of rank_within_source, with rows of sources that run out early given
+    again, by whole blocks, at the ranks that follow.
+
+    The mixture ends where the last source runs out: there a source of weight q
+    is due q rows for each of the most rows that any source has to a part of its
+    weight. Every row is there once at least.
+    """
+    counts = ranked.groupBy("__source").agg(F.count(F.lit(1)).alias("__rows"))
+    known = counts.join(weights.select(F.col("source").alias("__source"), F.col("q").alias("__q")), "__source")
+    most = known.agg(F.max(F.col("__rows") / F.col("__q")).alias("__most"))
+    extra = F.floor((F.col("__most") * F.col("__q") - F.col("__rows")) / block_rows + F.lit(1e-9)) * block_rows
+    wanted = known.crossJoin(F.broadcast(most)).select("__source", "__rows", (F.col("__rows") + F.greatest(extra, F.lit(0))).cast("long").alias("__all"))
+    times = F.expr("sequence(0L, (__all - 1 - __rank) div __rows)")
+    again = ranked.join(F.broadcast(wanted) if small else wanted, "__source").withColumn("__again", F.explode(times))
+    return again.withColumn("__rank", F.col("__rank") + F.col("__again") * F.col("__rows")).drop("__again", "__rows", "__all")
+
+
 def rank_within_source(docs: DataFrame, source_col: str, id_col: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add __source (null: empty text) and __rank, the place of a row within its
     source in seeded order, from 0.
@@ -156,11 +175,14 @@ def mix_sources(
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
     seed: int = SEED,
+    refill: bool = False,
 ) -> DataFrame:
     """Give every row its slot in the mixture.
 
     weights: (source, q), whole numbers over 0; a null source counts as the empty
-    text. Adds to
+    text. With refill, sources that run out before the last one give blocks of
+    rows again, so that each has less than one block less than its weight's share
+    of rows at the end; without it every row comes once. Adds to
     all columns of docs: block (of its source, from 0), place (of the row within
     the block), slot, release and deadline of the block. Sources without a
     weight, and rows of an empty table, give no rows. Ties of the seeded key go
@@ -171,6 +193,8 @@ def mix_sources(
     schedule = pfair_period(weights).withColumnsRenamed({c: f"__{c}" for c in ("source", "q", "period", "k", "at", "release", "deadline")})
     ranked = rank_within_source(docs, source_col, id_col, seed)
     small = (weights.agg(F.sum("q")).first()[0] or 0) <= BROADCAST_SLOTS
+    if refill:
+        ranked = _refilled(ranked, weights, block_rows, small)
     quota = weights.select(F.col("source").alias("__source"), F.col("q").alias("__n"))
     blocks = (
         ranked.join(F.broadcast(quota) if small else quota, "__source")

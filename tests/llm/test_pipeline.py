@@ -59,3 +59,19 @@ def test_run_and_edge_rows(spark, sf_dir):
         for name, stage in P.STAGES[1:]:
             part = materialize(stage(spark, part, sf_dir), name)
             assert part.count() == n, name
+
+
+def test_mixing_realises_the_weights(spark, sf_dir):
+    counts = {"a": 3000, "b": 1000, "c": 300, "d": 5}
+    rows = [(k * 10_000 + j, f"text {s} {j}", "en", s, 9) for k, (s, n) in enumerate(counts.items()) for j in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    q = {r.source: r.q for r in P.mixing.weights_by_size(docs, "source", P.MIX_POWER).collect()}
+    mixed = materialize(P.mixing_stage(spark, docs, sf_dir), "mixed")
+    out = [r for r in P.sharding_stage(spark, mixed, sf_dir).collect()]
+    assert {r.doc_id for r in out} == {r[0] for r in rows}
+    had = {s: [r.doc_id for r in out if r.source == s] for s in counts}
+    assert len(had["a"]) == counts["a"]
+    for s, ids in had.items():
+        assert -1 < counts["a"] * q[s] / q["a"] - len(ids) < P.mixing.BLOCK_ROWS
+        times = [ids.count(i) for i in set(ids)]
+        assert max(times) - min(times) <= 1
