@@ -54,11 +54,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.withColumn("__size", sharding.record_size(F.col("text")))
+    placed = sharding.shuffle_into_shards(sized, 40, size_col="__size", hash_cols=["doc_id", "text"])
+    written = sharding.written_shards(placed.drop("__size"))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    records = table(spark, sf_dir, "documents").select(
-        "doc_id", sharding.record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    placed = sharding.shuffle_into_shards(records, 40, size_col="size", hash_cols=["doc_id", "text_crc32"])
+    placed = written.withColumns({"size": sharding.record_size(F.col("text")), "text_crc32": F.crc32(text)})
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -10,9 +10,13 @@ whose lengths differ by one at most.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_dir
+
 BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 200_000
 SEED = 7
@@ -92,3 +96,11 @@ def write_shards(placed: DataFrame, path: str) -> None:
     """Write one folder for each shard, its rows in slot order. The permutation
     is dealt out in runs, so a task holds rows of few shards."""
     placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def written_shards(placed: DataFrame) -> DataFrame:
+    """Write the shards in the shared folder and give the rows as they stand there."""
+    spark = placed.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    write_shards(placed, path)
+    return spark.read.schema(placed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in placed.columns])

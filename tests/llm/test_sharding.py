@@ -45,3 +45,13 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.groupBy("shard").count().collect() and back.count() == 100
+
+
+def test_query_writes_whole_records(spark, sf_dir, monkeypatch):
+    seen, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda placed, path: (seen.append(path), write(placed, path)))
+    rows = {r.doc_id: (r.shard, r.slot) for r in registry.op7_sharding(spark, sf_dir).collect()}
+    docs = {r.doc_id: r for r in table(spark, sf_dir, "documents").collect()}
+    back = spark.read.parquet(seen[0]).collect()
+    assert len(seen) == 1 and {r.doc_id: (r.shard, r.slot) for r in back} == rows and len(back) == len(docs)
+    assert all(r[c] == docs[r.doc_id][c] for r in back for c in docs[r.doc_id].__fields__)
