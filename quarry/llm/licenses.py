@@ -2,13 +2,14 @@
 
 Paragraphs (lines of a text) are classified into licence families, or none, by a
 logistic regression over word n-grams. It is trained on the templates below, on
-seeded variations of them, and on ordinary paragraphs of the corpus, which make
-the unknown class; temperature scaling on a held-out part calibrates it. A
-family is confirmed when the paragraph also resembles one of its templates.
+seeded variations of them, alone and inside ordinary text, and on ordinary
+paragraphs of the corpus, which make the unknown class; temperature scaling on a
+held-out part calibrates it. A family is confirmed when the paragraph also
+resembles one of its templates.
 
-A paragraph can belong to a family only if it holds an anchor, a word of the
-templates that ordinary paragraphs do not use; all others are unknown without
-being scored.
+Every paragraph is scored. One of more than WINDOW words is scored in windows of
+so many words, each STEP words after the last, so that every run of STEP words is
+whole in one of them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ MAX_BACKGROUND = 4_000
 VARIATIONS = 60
 MIN_PROBABILITY = 0.5
 MIN_RESEMBLANCE = 0.5
+WINDOW = 40
+STEP = 20
+CACHE = 200_000
+SCORED = 1_000
 
 #: Notices by which licence families are usually named.
 TEMPLATES = {
@@ -60,20 +65,66 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
+_U = np.uint64
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = xxhash.xxh3_64_intdigest(word)
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_hashes = _WordHashes()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(29))
+
+
+def spans(n: int) -> list[tuple[int, int]]:
+    """The windows of a paragraph of n words."""
+    return [(0, n)] if n <= WINDOW else [(a, min(n, a + WINDOW)) for a in range(0, n - WINDOW + STEP, STEP)]
+
+
+def window_grams(words: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, gram): distinct hashed n-grams of one to three words of every window,
+    sorted."""
+    h = _hashes.of(words)
+    grams, out = h, [np.zeros(0, np.int64)]
+    for k in (1, 2, 3):
+        lengths = np.maximum(ends - starts - k + 1, 0)
+        window = np.repeat(np.arange(len(starts)), lengths)
+        at = np.arange(len(window)) - np.repeat(np.cumsum(lengths) - lengths - starts, lengths)
+        out.append(window << BITS | (_mix(grams + _U(k)) >> _U(64 - BITS))[at].astype(np.int64))
+        grams = _mix(grams[:-1]) * _U(0x9E3779B97F4A7C15) + h[k:]
+    found = np.unique(np.concatenate(out))
+    return found >> BITS, (found & (1 << BITS) - 1).astype(np.int32)
+
+
 def ngrams(words: list[str]) -> np.ndarray:
     """Sorted distinct hashed n-grams of one to three words."""
-    grams = [" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(g) >> (64 - BITS) for g in grams], np.int32))
+    return window_grams(words, np.array([0]), np.array([len(words)]))[1]
 
 
-def variations(template: list[str], n: int, rng: np.random.Generator) -> list[list[str]]:
-    """The template, and copies with words dropped, put in, or ordinary words
-    around it."""
+def variations(template: list[str], n: int, rng: np.random.Generator, plain: list[list[str]]) -> list[list[str]]:
+    """The template, and copies with words dropped or put in; every other one has
+    ordinary words around it."""
     out = [template]
-    for _ in range(n - 1):
+    for i in range(n - 1):
         words = [w for w in template if rng.random() > 0.06]
         for _ in range(rng.integers(0, 4)):
             words.insert(int(rng.integers(0, len(words) + 1)), FILLERS[rng.integers(len(FILLERS))])
+        if i % 2 and plain:
+            around = plain[rng.integers(len(plain))]
+            around = around[rng.integers(len(around)) :][: max(0, rng.integers(WINDOW) + 1 - len(words))]
+            cut = int(rng.integers(0, len(around) + 1))
+            words = around[:cut] + words + around[cut:]
         out.append(words or template)
     return out
 
@@ -99,30 +150,28 @@ def background(docs: DataFrame, text_col: str, most: int = MAX_BACKGROUND, seed:
 
 def fit_licenses(paragraphs: list[str], *, templates: dict[str, list[str]] | None = None, seed: int = 0) -> dict:
     """Weights of one logistic model for each family against all others and the
-    unknown class, anchors, and the temperature. paragraphs: ordinary text; those
+    unknown class, and the temperature. paragraphs: ordinary text; those
     that resemble a template are left out of the unknown class."""
     templates = templates or TEMPLATES
     rng = np.random.default_rng(seed)
     families = sorted(templates)
     split = {f: [words_of(t) for t in templates[f]] for f in families}
     licence_words = {w for f in families for t in split[f] for w in t}
-    plain, seen = [], {}
+    plain = []
     for p in paragraphs:
         words = words_of(p)
-        if not words or any(resemblance(words, t) >= MIN_RESEMBLANCE for f in families for t in split[f] if len(t) > 1):
-            continue
-        plain.append(words)
-        for w in set(words) & licence_words:
-            seen[w] = seen.get(w, 0) + 1
-    limit = max(2, 0.002 * len(plain))
-    anchors = sorted(w for w in licence_words if seen.get(w, 0) < limit and not w.isdigit() and w not in FILLERS)
+        if words and not any(resemblance(words, t) >= MIN_RESEMBLANCE for f in families for t in split[f] if len(t) > 1):
+            plain.append(words)
     rows, labels = [], []
     for k, f in enumerate(families):
         for t in split[f]:
-            for words in variations(t, VARIATIONS, rng):
+            for words in variations(t, VARIATIONS, rng, plain):
                 rows.append(ngrams(words)), labels.append(k)
     unknown = len(families)
     for words in plain:
+        parts = spans(len(words))
+        a, b = parts[rng.integers(len(parts))]
+        words = words[a:b]
         rows.append(ngrams(words)), labels.append(unknown)
     for _ in range(VARIATIONS * 4):  # licence words out of order are no notice
         pool = sorted(licence_words)
@@ -145,43 +194,61 @@ def fit_licenses(paragraphs: list[str], *, templates: dict[str, list[str]] | Non
         return float(np.mean(np.log(np.exp(z - top).sum(1)) + top[:, 0] - z[np.arange(len(z)), target]))
 
     temperature = min(np.geomspace(0.2, 10, 40), key=loss)
-    return {"families": families, "w": weights.T.copy(), "bias": bias, "t": float(temperature), "anchors": anchors, "templates": split}
+    return {"families": families, "w": weights.T.copy(), "bias": bias, "t": float(temperature), "templates": split}
+
+
+def _probabilities(words: list[str], starts: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
+    out = []
+    for at in range(0, len(starts), SCORED):
+        first, last = starts[at], ends[min(at + SCORED, len(ends)) - 1]
+        s, e = starts[at : at + SCORED] - first, ends[at : at + SCORED] - first
+        window, grams = window_grams(words[first:last], s, e)
+        z = np.add.reduceat(model["w"][grams], np.searchsorted(window, np.arange(len(s))), axis=0)
+        z = (z + model["bias"]) / model["t"]
+        p = np.exp(z - z.max(1, keepdims=True))
+        out.append(p / p.sum(1, keepdims=True))
+    return np.concatenate(out)
+
+
+def scan_texts(texts: list[str | None], model: dict) -> list[list[tuple[int, str, float, float, bool]]]:
+    """(line, family, probability, resemblance, confirmed) of every line of every text
+    that is not unknown; once for each family that one of its windows belongs to."""
+    words, owner, starts, ends = [], [], [], []
+    for i, text in enumerate(texts):
+        for n, line in enumerate((text or "").split("\n")):
+            found = words_of(line)
+            for a, b in spans(len(found)) if found else ():
+                owner.append((i, n)), starts.append(len(words) + a), ends.append(len(words) + b)
+            words += found
+    best: list[dict] = [{} for _ in texts]
+    if not owner:
+        return [[] for _ in texts]
+    p = _probabilities(words, np.array(starts), np.array(ends), model)
+    top = p.argmax(1)
+    for x in np.flatnonzero((top < len(model["families"])) & (p.max(1) >= MIN_PROBABILITY)).tolist():
+        (i, n), family, part = owner[x], model["families"][top[x]], words[starts[x] : ends[x]]
+        like = max(resemblance(part, t) for t in model["templates"][family])
+        new = (like >= MIN_RESEMBLANCE, float(p[x, top[x]]), like)
+        best[i][n, family] = max(new, best[i].get((n, family), new))
+    return [[(n, f, prob, like, sure) for (n, f), (sure, prob, like) in sorted(b.items())] for b in best]
 
 
 def classify(paragraph: str, model: dict) -> tuple[str, float, float, bool]:
     """Family or unknown, its probability, the best resemblance to a template of
-    that family, and whether that confirms it."""
+    that family, and whether that confirms it; of several families the surest."""
+    found = scan_texts([paragraph.replace("\n", " ")], model)[0]
+    if found:
+        return max((x[1:] for x in found), key=lambda x: (x[3], x[1]))
     words = words_of(paragraph)
-    z = (model["w"][ngrams(words)].sum(0) + model["bias"]) / model["t"]
-    p = np.exp(z - z.max())
-    p /= p.sum()
-    k = int(p.argmax())
-    if k == len(model["families"]) or p[k] < MIN_PROBABILITY:
-        return UNKNOWN, float(p[-1]), 0.0, False
-    family = model["families"][k]
-    best = max(resemblance(words, t) for t in model["templates"][family])
-    return family, float(p[k]), best, best >= MIN_RESEMBLANCE
-
-
-def scan_text(text: str | None, model: dict, anchors: re.Pattern) -> list[tuple[int, str, float, float, bool]]:
-    """(line, family, probability, resemblance, confirmed) of every line that is
-    not unknown."""
-    if not text or not anchors.search(text.lower()):
-        return []
-    out = []
-    for n, line in enumerate(text.split("\n")):
-        if anchors.search(line.lower()):
-            found = classify(line, model)
-            if found[0] != UNKNOWN:
-                out.append((n, *found))
-    return out
+    at = np.array(spans(len(words))) if words else np.zeros((0, 2), int)
+    return UNKNOWN, float(_probabilities(words, at[:, 0], at[:, 1], model)[:, -1].min()) if words else 1.0, 0.0, False
 
 
 def scan_licenses(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, license (confirmed families, sorted, joined by "+"; null if none),
-    n_confirmed (paragraphs) and paragraphs (line, family, probability,
-    resemblance, confirmed of each that is not unknown) for every row, from its
-    whole text. Null, empty and blank texts have none; repeated rows each get a
+    n_confirmed (paragraphs, for each of their families) and paragraphs (line,
+    family, probability, resemblance, confirmed of each that is not unknown) for
+    every row, from its whole text. Null, empty and blank texts have none; repeated rows each get a
     row; no other column is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
@@ -190,10 +257,9 @@ def scan_licenses(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        anchors = re.compile(r"\b(?:" + "|".join(map(re.escape, m["anchors"])) + r")\b")
         for whole in batches:
             for batch in slices(whole, "__text"):
-                rows = [[dict(zip(fields, x)) for x in scan_text(t, m, anchors)] for t in batch.column("__text").to_pylist()]
+                rows = [[dict(zip(fields, x)) for x in found] for found in scan_texts(batch.column("__text").to_pylist(), m)]
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(rows, kind)], names=["__id", "paragraphs"])
 
     schema = "paragraphs array<struct<line:int,family:string,probability:double,resemblance:double,confirmed:boolean>>"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quarry.llm import licenses as L
@@ -45,3 +47,23 @@ def test_query_against_plain_search(spark):
     rows = registry.op6_licenses(spark, sf).collect()
     expected = {i: "+".join(sorted({f for n, f in NOTICES.items() if n in t})) or None for i, t in texts.items()}
     assert {r.doc_id: r.license for r in rows} == expected and any(expected.values())
+
+
+def test_notice_in_the_middle_of_a_long_line():
+    rnd = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(400)]
+    line = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    model = L.fit_licenses([" ".join(line(30)) for _ in range(500)])
+    for notice, family in NOTICES.items():
+        for at in (2490, 2500, 2511):
+            words = line(5000)
+            found = L.scan_texts([" ".join([*words[:at], notice, *words[at:]])], model)[0]
+            assert {f[1] for f in found if f[4]} == {family}, (notice, found)
+    assert L.scan_texts([" ".join(line(5000)), None, ""], model) == [[], [], []]
+
+
+def test_notice_of_words_that_ordinary_lines_use():
+    rnd = random.Random(4)
+    ordinary = "the rights of others are reserved for all who read the software source in a public place".split()
+    model = L.fit_licenses([" ".join(rnd.sample(ordinary, 12)) for _ in range(500)])
+    assert L.classify("All rights reserved.", model)[::3] == ("Proprietary", True)
