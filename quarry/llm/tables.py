@@ -8,15 +8,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of this name, whatever characters the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def is_held_out(id_col: str = "doc_id") -> Column:
     """Rows whose crc32 of the id as text leaves 0 when divided by five."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -32,3 +38,8 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[
         end = max(start + 1, int(sizes.searchsorted(base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def schema_of(df: DataFrame, *kept: str, **added: T.DataType) -> T.StructType:
+    """The columns `kept` of df and added ones, as a schema; names may hold anything."""
+    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), *(T.StructField(c, t) for c, t in added.items())])
