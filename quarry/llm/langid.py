@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.tables import is_held_out, slices
+from quarry.llm.tables import is_held_out, named, schema_of, slices
 
 MAX_TRAIN = 8_000
 PENALTY = 12.0
@@ -132,10 +133,10 @@ def fit_languages(
     from about max_train labelled rows at most, chosen by a seeded hash of the id
     among those that are not held out. Rows with a null language are not used."""
     usable = ~is_held_out(id_col) if usable is None else usable
-    known = docs.where(usable & F.col(lang_col).isNotNull())
-    share = min(1.0, max_train / max(1, known.select(id_col).count()))
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = known.where(part).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = docs.where(usable & named(lang_col).isNotNull())
+    share = min(1.0, max_train / max(1, known.count()))
+    part = F.pmod(F.xxhash64(named(id_col), F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = known.where(part).select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"))
     size, scripts = 1 << BITS, len(SCRIPTS) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def identify_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id",
     first. Repeated rows each get a row; no other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    narrow = docs.select(named(id_col).alias("__id"), named(text_col).cast("string").alias("__text"))
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +211,7 @@ def identify_languages(docs: DataFrame, model: dict, *, id_col: str = "doc_id",
                 rows = [[{"begin": a, "end": b, "lang": x} for a, b, x in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(rows, span)], names=["__id", "lang_pred", "score", "spans"])
 
-    schema = f"__id {dict(narrow.dtypes)['__id']}, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>"
+    spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
+    schema = schema_of(narrow, "__id", lang_pred=T.StringType(), score=T.DoubleType(), spans=spans)
     found = narrow.mapInArrow(label, schema)
     return found.select(F.col("__id").alias(id_col), "lang_pred", "score", "spans")

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.tables import slices
+from quarry.llm.tables import named, schema_of, slices
 
 
 def fit_on_sample(
@@ -34,12 +35,14 @@ def fit_on_sample(
     their features meet in one task of bounded size, and the model alone comes to
     the driver. An id with several label rows counts with the smallest of each.
     """
-    known = labels.where(usable & F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.min(c).cast("double").alias(c) for c in label_cols])
+    ident = named(id_col)
+    marks = [F.min(named(c)).cast("double").alias(f"__y{i}") for i, c in enumerate(label_cols)]
+    known = labels.where(usable & ident.isNotNull()).groupBy(ident.alias("__id")).agg(*marks)
     total = known.count()
     share = min(1.0, most / max(1, total))
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
-    chosen = known.where(part).select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__y{i}") for i, c in enumerate(label_cols)])
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    part = F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = known.where(part)
+    texts = docs.select(ident.alias("__id"), named(text_col).cast("string").alias("__text"))
     names = [f"__y{i}" for i in range(len(label_cols))]
     rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", *names)
 
@@ -55,7 +58,7 @@ def fit_on_sample(
         y = np.array([[np.nan if v is None else v for v in r[2:]] for r in got], float).reshape(len(got), len(names))
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([np.frombuffer(r[1], np.int32) for r in got], y))]})
 
-    schema = ", ".join([f"__id {dict(rows.dtypes)['__id']}", "x binary", *(f"{n} double" for n in names)])
+    schema = schema_of(rows, "__id", x=T.BinaryType(), **{n: T.DoubleType() for n in names})
     found = rows.mapInArrow(extract, schema).repartition(1).mapInArrow(train, "model binary").collect()
     return pickle.loads(found[0][0]) if found else fit([], np.zeros((0, len(names))))
 
@@ -78,8 +81,8 @@ def score_texts(
     """id_col, the columns in keep, and one double for each name, from a
     broadcast model of fixed size applied to every whole text where it lies."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [F.col(f"`{c}`") for c in keep or []]
-    narrow = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.struct(*kept, F.lit(0)).alias("__row"))
+    kept = [named(c) for c in keep or []]
+    narrow = docs.select(named(id_col).alias("__id"), named(text_col).cast("string").alias("__text"), F.struct(*kept, F.lit(0).alias("__nothing")).alias("__row"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -89,7 +92,5 @@ def score_texts(
                 cols = [pa.array(found[:, i]) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["__id", "__row", *(f"__s{i}" for i in range(len(names)))])
 
-    types = dict(narrow.dtypes)
-    schema = ", ".join([f"__id {types['__id']}", f"__row {types['__row']}", *(f"__s{i} double" for i in range(len(names)))])
-    scored = narrow.mapInArrow(score, schema)
-    return scored.select(F.col("__id").alias(id_col), *[F.col(f"__row.`{c}`").alias(c) for c in keep or []], *[F.col(f"__s{i}").alias(n) for i, n in enumerate(names)])
+    scored = narrow.mapInArrow(score, schema_of(narrow, "__id", "__row", **{f"__s{i}": T.DoubleType() for i in range(len(names))}))
+    return scored.select(F.col("__id").alias(id_col), *[F.col("__row").getField(c).alias(c) for c in keep or []], *[F.col(f"__s{i}").alias(n) for i, n in enumerate(names)])

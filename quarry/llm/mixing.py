@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.tables import named
+
 PERIOD = 1000
 BLOCK_ROWS = 64
 BUCKET_ROWS = 4_096
@@ -36,7 +38,7 @@ SEED = 11
 
 def shuffle_key(id_col: str, seed: int) -> Column:
     """60 bits of md5 of seed and id: the order of rows within their source."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(named(id_col).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -45,7 +47,7 @@ def weights_by_size(docs: DataFrame, source_col: str, power: float, period: int
     every source if the period has fewer slots than there are sources: each source
     has one part and the rest goes in proportion to its rows to the given power,
     by largest remainder (ties: source order)."""
-    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).count()
+    counts = docs.groupBy(F.coalesce(named(source_col).cast("string"), F.lit("")).alias("source")).count()
     everything = Window.partitionBy(F.lit(0))
     share = F.pow("count", F.lit(power))
     sources = F.count(F.lit(1)).over(everything)
@@ -154,7 +156,7 @@ def rank_within_source(docs: DataFrame, source_col: str, id_col: str, seed: int,
     by the counts of the buckets before, so a source that holds a third of all
     rows is spread like the others.
     """
-    keyed = docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__key": shuffle_key(id_col, seed)})
+    keyed = docs.withColumns({"__source": F.coalesce(named(source_col).cast("string"), F.lit("")), "__key": shuffle_key(id_col, seed)})
     rows = docs.count()
     buckets = max(1, -(-rows // bucket_rows))
     keyed = keyed.withColumn("__bucket", F.shiftright("__key", 30) * F.lit(buckets) / F.lit(1 << 30))
@@ -162,7 +164,7 @@ def rank_within_source(docs: DataFrame, source_col: str, id_col: str, seed: int,
     counts = keyed.groupBy("__source", "__bucket").count()
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    local = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__key", id_col)) - 1
+    local = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__key", named(id_col))) - 1
     ranked = keyed.withColumn("__local", local).join(offsets, ["__source", "__bucket"])
     return ranked.withColumn("__rank", F.col("__offset") + F.col("__local")).drop("__local", "__offset", "__bucket", "__key")
 
@@ -191,7 +193,8 @@ def mix_sources(
     """
     docs = docs.drop("block", "place", "slot", "release", "deadline")
     schedule = pfair_period(weights).withColumnsRenamed({c: f"__{c}" for c in ("source", "q", "period", "k", "at", "release", "deadline")})
-    ranked = rank_within_source(docs, source_col, id_col, seed)
+    packed = docs.select(named(source_col).alias("__of"), named(id_col).alias("__id"), F.struct(*[named(c) for c in docs.columns]).alias("__row"))
+    ranked = rank_within_source(packed, "__of", "__id", seed)
     small = (weights.agg(F.sum("q")).first()[0] or 0) <= BROADCAST_SLOTS
     if refill:
         ranked = _refilled(ranked, weights, block_rows, small)
@@ -204,7 +207,7 @@ def mix_sources(
     )
     later = F.col("__round") * F.col("__period")
     return blocks.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("__row").getField(c).alias(c) for c in docs.columns],
         F.col("__block").alias("block"),
         F.col("__place").alias("place"),
         (later + F.col("__at")).alias("slot"),

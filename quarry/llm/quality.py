@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import learning, linear
 from quarry.llm.features import BITS, indicators
-from quarry.llm.tables import is_held_out
+from quarry.llm.tables import is_held_out, named
 
 MAX_TRAIN = 8_000
 THRESHOLD = 0.3
@@ -38,7 +38,7 @@ def fit_quality(
     """
     usable = ~is_held_out(id_col) if usable is None else usable
     return learning.fit_on_sample(
-        docs, labels, usable & F.col(label_col).isNotNull(), [label_col], indicators, lambda rows, y: fit_sample(rows, y[:, 0] > 0, cost), id_col=id_col, text_col=text_col, most=max_train
+        docs, labels, usable & named(label_col).isNotNull(), [label_col], indicators, lambda rows, y: fit_sample(rows, y[:, 0] > 0, cost), id_col=id_col, text_col=text_col, most=max_train
     )
 
 
@@ -79,5 +79,7 @@ def score_quality(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, model: dict, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score threshold or more."""
     spare = "__score"
+    while spare in docs.columns:
+        spare = f"_{spare}"
     scored = learning.score_texts(docs, model, probability, [spare], id_col=text_col, text_col=text_col, keep=[c for c in docs.columns if c != text_col])
-    return scored.where(F.col(spare) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.where(F.col(spare) >= threshold).select(*[named(c) for c in docs.columns])
