@@ -29,10 +29,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.graph import connected_components
 from quarry.llm.blocks import FEW_BLOCKS, by_unit, deal_blocks, forest
-from quarry.llm.tables import slices
+from quarry.llm.tables import named, schema_of, slices
 from quarry.session import materialize
 
 WORDS = 5
@@ -169,7 +170,8 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray,
                 )
 
     rows = docs.withColumn("__row", _row())
-    return rows.mapInArrow(build, f"__id {dict(docs.dtypes)['__id']}, n long, key long, row long, n_freq int, prefix binary")
+    fields = {"n": T.LongType(), "key": T.LongType(), "row": T.LongType(), "n_freq": T.IntegerType(), "prefix": T.BinaryType()}
+    return rows.mapInArrow(build, schema_of(docs, "__id", **fields))
 
 
 def _row() -> Column:
@@ -378,37 +380,19 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: i
     return _block_links(sets.join(tasks, "key"), percent)
 
 
-def ngram_components(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = WORDS,
-    percent: int = PERCENT,
-    column: int = SHORT_COLUMN,
-    block: int = BLOCK,
-    sample: int = SAMPLE,
-    most_frequent: int = MOST_FREQUENT,
-) -> DataFrame:
-    """id_col, n_shingles (size of the set) and component_id for every row.
-
-    Two documents link when 100 * intersection >= percent * union of their sets of
-    `words`-word shingles; component_id is the smallest id that links reach, the
-    row's own included. Null, empty and blank texts have an empty set and link with
-    nothing, not even each other. Rows with a null id have a null component_id and
-    lend no id to others, though they do link them. Repeated rows each get a row;
-    an empty table gives an empty result; no other column is read. column, block,
-    sample and most_frequent touch speed only.
-    """
-    docs = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+def _components(docs: DataFrame, words: int, percent: int, column: int, block: int, sample: int, most_frequent: int) -> DataFrame:
+    """(__id, row, n, key, first) of every row of docs (__id, __text): first is the
+    first row (no_id, __id, row) of its component, null for texts without words."""
     frequent = _frequent(docs, words, sample, column, most_frequent)
     sets = materialize(_sets(docs, words, percent, frequent), "sets")
-    one_id = sets.where("key is not null").groupBy("key", "n").agg(F.min("__id").alias("__id"), F.min("row").alias("row"))
+    worded = sets.where("key is not null")
+    first = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "row")
+    nodes_all = materialize(worded.groupBy("key", "n").agg(F.min(first).alias("first"), F.min("row").alias("row")), "keys")
 
     rare, known = _columns(sets)
     candidates = materialize(_candidates(_meetings(rare, percent, LONG * column), percent).union(known), "candidates")
     clusters = connected_components(candidates).withColumnsRenamed({"node": "key", "component": "cluster"})
-    nodes = materialize(one_id.join(clusters, "key"), "nodes")
+    nodes = materialize(nodes_all.select("key", "n", "row").join(clusters, "key"), "nodes")
 
     # clusters of many blocks: first against pivots, one block's worth of a class
     sums = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
@@ -428,20 +412,88 @@ def ngram_components(
         links = links.union(materialize(_links(docs, again.join(left, "cluster", "left_semi"), words, percent, block), "links"))
 
     found = connected_components(links).withColumnsRenamed({"node": "key", "component": "root"})
-    rooted = one_id.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("__id").alias("component_id"))
-    ids = rooted.join(least, "root").select("key", "component_id")
-    out = sets.select("__id", "n", "key").join(ids, "key", "left")
-    own = F.when(F.col("key").isNull(), F.col("__id")).otherwise(F.col("component_id"))
-    return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("__id").isNotNull(), own).alias("component_id"))
-
-
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **given) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is its component's
-    smallest; texts without words and rows with a null id all stay. Rows that
-    repeat an id that stays all stay."""
-    found = ngram_components(docs, id_col=id_col, text_col=text_col, **given)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone"))
+    rooted = nodes_all.select("key", "first").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    ids = rooted.drop("first").join(firsts, "root").select("key", "first")
+    worded = worded.select("__id", "row", "n", "key").join(ids, "key").select("__id", "row", "n", "key", "first")
+    bare = sets.where("key is null").select("__id", "row", "n", "key")
+    return worded.unionByName(bare, allowMissingColumns=True)
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(named(id_col).alias("__id"), named(text_col).cast("string").alias("__text"))
+
+
+def ngram_components(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    percent: int = PERCENT,
+    column: int = SHORT_COLUMN,
+    block: int = BLOCK,
+    sample: int = SAMPLE,
+    most_frequent: int = MOST_FREQUENT,
+) -> DataFrame:
+    """id_col, n_shingles (size of the set) and component_id for every row.
+
+    Two documents link when 100 * intersection >= percent * union of their sets of
+    `words`-word shingles; component_id is the smallest id that links reach, the
+    row's own included. Null, empty and blank texts have an empty set and link with
+    nothing, not even each other. Rows with a null id have a null component_id and
+    lend no id to others, though they do link them. Repeated rows each get a row;
+    an empty table gives an empty result; no other column is read. column, block,
+    sample and most_frequent touch speed only.
+    """
+    found = _components(_narrow(docs, id_col, text_col), words, percent, column, block, sample, most_frequent)
+    own = F.when(F.col("key").isNull(), F.col("__id")).otherwise(F.col("first.__id"))
+    return found.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("__id").isNotNull(), own).alias("component_id"))
+
+
+def keep_one_of_each(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    percent: int = PERCENT,
+    column: int = SHORT_COLUMN,
+    block: int = BLOCK,
+    sample: int = SAMPLE,
+    most_frequent: int = MOST_FREQUENT,
+) -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates.
+
+    Of each component the row with the smallest id stays (a null id is the largest;
+    ties go by a hash of id and text), and one row only where that row repeats.
+    Texts without words all stay. An id says nothing about a row with another text:
+    rows are told apart by id and text.
+    """
+    found = _components(_narrow(docs, id_col, text_col), words, percent, column, block, sample, most_frequent)
+    found = materialize(found.where("key is not null").select("row", F.col("first.row").alias("first")), "found")
+    gone = found.where("row <> first").select(F.col("row").alias("__gone")).distinct()
+    repeated = found.where("row = first").groupBy(F.col("row").alias("__again")).count().where("count > 1").select("__again")
+    row = F.xxhash64(named(id_col), named(text_col).cast("string"))
+    marks = _spare(docs, "__row", "__again", "__gone")
+    gone, repeated = gone.withColumnRenamed("__gone", marks[2]), repeated.withColumnRenamed("__again", marks[1])
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    left = docs.withColumn(marks[0], row)
+    left = left.join(gone, named(marks[0]) == named(marks[2]), "left_anti")
+    if repeated.limit(1).count():  # copies of one row: partial aggregates leave one a task
+        same = named(marks[0]) == named(marks[1])
+        once = left.join(repeated, same, "left_semi").dropDuplicates([marks[0]])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.drop(marks[0])
+
+
+def _spare(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
