@@ -17,10 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.tables import slices
+from quarry.llm.tables import named, schema_of, slices
+from quarry.session import materialize
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -180,15 +183,14 @@ def cut(text: str | None, spans: list[tuple[int, int]], least: int | None) -> st
     return b"".join([*out, raw[done:]]).decode()
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[int]:
-    """Numbers of blocks of items, each of about block_words words at most."""
+def _blocks(benchmark: DataFrame, block_words: int) -> int:
+    """Into how many blocks the items go, each of about block_words words at most."""
     bytes_all = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return list(range(max(1, -(-int(bytes_all) // (4 * block_words)))))
+    return max(1, -(-int(bytes_all) // (4 * block_words)))
 
 
-def _marks(docs: DataFrame, items: list, window: int, first: bool, cut_from: int | None) -> DataFrame:
-    """Add the marks of one block of items to those of the blocks before."""
-    shared = docs.sparkSession.sparkContext.broadcast((window, items))
+def _marks(docs: DataFrame, shared: Broadcast, first: bool, cut_from: int | None) -> DataFrame:
+    """Add the marks of one block of items, (window, items), to those of the blocks before."""
     kept = [c for c in docs.columns if c not in MARKS]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +212,14 @@ def _marks(docs: DataFrame, items: list, window: int, first: bool, cut_from: int
                         *(batch.column(c) for c in kept),
                         pa.array([len(w) for w in words], pa.int64()),
                         pa.array([[x for span in doc for x in span] for doc in spans], pa.list_(pa.int32())),
-                        pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+                        pa.array([sorted(x - {None}) for x in found], pa.list_(pa.string())),
                         pa.array([cut(t, x, cut_from) for t, x in zip(texts, spans)], pa.string()),
                     ],
                     names=[*kept, *MARKS],
                 )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in kept)
-    return docs.mapInArrow(mark, f"{schema}, __n_words long, __spans array<int>, __items array<string>, __cut string")
+    types = (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.StringType())
+    return docs.mapInArrow(mark, schema_of(docs, *kept, **dict(zip(MARKS, types))))
 
 
 def mark_contamination(
@@ -239,23 +241,26 @@ def mark_contamination(
     n_words, spans (array<int>: begin and end of each run of hit words, in
     words), n_hit, items (item ids as strings, sorted). Null or empty texts have
     no words and no hits. With cut_from, `cut` is the text without its runs of at
-    least so many hit words (null where there are none). Null item texts and an empty benchmark match nothing;
-    repeated document rows each get a row. No other column is read.
+    least so many hit words (null where there are none). Null item texts and an
+    empty benchmark match nothing; an item with a null id marks words like any
+    other, but has no id to be listed among the items. Repeated document rows each
+    get a row. No other column is read.
     """
-    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    given = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    given = given.where("item is not null and text is not null")
-    numbers = _blocks(given, block_words)
-    parts = []
-    for k in numbers:
-        rows = given.where(F.pmod(F.xxhash64("item"), F.lit(len(numbers))) == k).collect()
-        parts.append([(r["item"], r["text"]) for r in sorted(rows, key=lambda r: (r["item"], r["text"]))])
-    marked = narrow
-    for k, items in enumerate(parts):  # one pass for each block
-        marked = _marks(marked, items, window, k == 0, cut_from if k == len(parts) - 1 else None)
+    narrow = docs.select(named(id_col).alias("__id"), named(text_col).cast("string").alias("__text"))
+    given = benchmark.select(named(item_col).cast("string").alias("item"), named(item_text_col).cast("string").alias("text"))
+    given = given.where("text is not null")
+    blocks, marked = _blocks(given, block_words), narrow
+    for k in range(blocks):  # one pass for each block; the driver holds one at a time
+        rows = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
+        items = sorted(((r["item"], r["text"]) for r in rows), key=lambda r: (r[0] is None, *map(str, r)))
+        shared = docs.sparkSession.sparkContext.broadcast((window, items))
+        marked = _marks(marked, shared, k == 0, cut_from if k == blocks - 1 else None)
+        if k < blocks - 1:
+            marked = materialize(marked, "marked")
+            shared.destroy()
     pairs = F.expr("aggregate(sequence(0, cast(size(__spans) / 2 as int) - 1), 0L, (s, i) -> s + __spans[2 * i + 1] - __spans[2 * i])")
     return marked.select(
-        id_col,
+        F.col("__id").alias(id_col),
         "__text",
         F.col("__n_words").alias("n_words"),
         F.col("__spans").alias("spans"),
@@ -286,16 +291,16 @@ def remove_contamination(
     unchanged.
     """
     others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("__body"))
+    packed = docs.select(F.struct(*[named(c) for c in others], F.lit(0).alias("__nothing")).alias("__doc"), named(text_col).cast("string").alias("__body"))
     marked = mark_contamination(packed, benchmark, id_col="__doc", text_col="__body", cut_from=min_span, **given)
     left = marked.where((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
     changed = F.col("cut").isNotNull()
     out = []
     for c in docs.columns:
-        old = F.col("__text") if c == text_col else F.col(f"__doc.`{c}`")
+        old = F.col("__text") if c == text_col else F.col("__doc").getField(c)
         if c == text_col:
             old = F.coalesce("cut", "__text")
         elif c == chars_col:
-            old = F.when(changed, F.length("cut").cast(dict(docs.dtypes)[c])).otherwise(old)
+            old = F.when(changed, F.length("cut").cast(docs.schema[c].dataType)).otherwise(old)
         out.append(old.alias(c))
     return left.select(*out)

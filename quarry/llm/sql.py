@@ -60,7 +60,7 @@ WITH dw AS (
 ), words AS (
   SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS spot FROM hits) GROUP BY doc_id
 ), found AS (
-  SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id
+  SELECT doc_id, list_sort(list(DISTINCT item) FILTER (WHERE item IS NOT NULL)) AS items FROM hits GROUP BY doc_id
 )
 SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

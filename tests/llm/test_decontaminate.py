@@ -93,3 +93,14 @@ def test_query_against_brute_force(spark, sf_dir):
                 hit |= set(range(k, k + 10))
                 found |= windows[s]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
+
+
+def test_items_without_an_id_mark_words(spark):
+    items = spark.createDataFrame([(None, "one two three four five six seven eight nine ten"), (None, "short item"), ("7", "six seven eight nine ten eleven twelve x y z"), ("7", "more more")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "One two three four five six seven eight nine ten. a short item"), (2, "clean")], "doc_id long, text string")
+    for block_words in (500_000, 4):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in D.mark_contamination(docs, items, block_words=block_words).collect()}
+        assert got == {1: (12, []), 2: (0, [])}
+    texts = {1: "One two three four five six seven eight nine ten. a short item", 2: "clean"}
+    marked = {i: brute(t, [(r.item_id, r.text) for r in items.collect()], 10)[0] for i, t in texts.items()}
+    assert {i: sum(m) for i, m in marked.items()} == {1: 12, 2: 0}
