@@ -15,7 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.llm.tables import named
+from quarry.session import checkpoint_dir, materialize
 
 BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 200_000
@@ -47,25 +48,25 @@ def shuffle_into_shards(
     empty table gives an empty result.
     """
     docs = docs.drop("shard", "slot")
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(size_col).alias("bytes")).first()
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(named(size_col)).alias("bytes")).first()
     rows, buckets = total["n"], max(1, -(-(total["bytes"] or 0) // bucket_bytes))
     parts = min(buckets, 100_000)
 
-    # pass one: scatter
-    place = F.monotonically_increasing_id()
-    mixed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in hash_cols], place)
-    scattered = docs.withColumn("__key", mixed).withColumn("__bucket", F.pmod("__key", F.lit(buckets)))
-    scattered = scattered.repartition(parts, "__bucket")
+    # pass one: scatter. The keys hold places in the input, so they are written down
+    # once; a task that runs again later reads the same ones.
+    mixed = F.xxhash64(F.lit(seed), *[named(c) for c in hash_cols], F.monotonically_increasing_id())
+    packed = docs.select(mixed.alias("__key"), F.struct(*[named(c) for c in docs.columns]).alias("__row"))
+    scattered = materialize(packed.withColumn("__bucket", F.pmod("__key", F.lit(buckets))), "scattered")
 
     # pass two: gather a bucket, order it by its keys, shuffle it
-    fields = [F.col(f"`{c}`") for c in docs.columns]
     gathered = (
-        scattered.groupBy("__bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("__key", F.struct(*fields).alias("__row")))).alias("__rows"))
+        scattered.repartition(parts, "__bucket")
+        .groupBy("__bucket")
+        .agg(F.sort_array(F.collect_list(F.struct("__key", "__row"))).alias("__rows"))
         .sortWithinPartitions("__bucket")
         .withColumn("__rows", F.shuffle(F.transform("__rows", lambda r: r["__row"]), F.lit(seed)))
     )
-    counts = scattered_counts(docs, mixed, buckets)
+    counts = scattered.groupBy("__bucket").count()
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     if buckets <= BROADCAST_BUCKETS:
@@ -79,19 +80,13 @@ def shuffle_into_shards(
         .select("__offset", F.posexplode("__rows").alias("__pos", "__row"))
         .withColumn("__shard", shard)
         .select(
-            *[F.col(f"__row.`{c}`").alias(c) for c in docs.columns],
+            *[F.col("__row").getField(c).alias(c) for c in docs.columns],
             F.col("__shard").cast("int").alias("shard"),
             (at - start).alias("slot"),
         )
     )
 
 
-def scattered_counts(docs: DataFrame, key: Column, buckets: int) -> DataFrame:
-    """Rows of each bucket: partial counts, so nothing but a row for each bucket
-    and task is moved."""
-    return docs.select(F.pmod(key, F.lit(buckets)).alias("__bucket")).groupBy("__bucket").count()
-
-
 def write_shards(placed: DataFrame, path: str) -> None:
     """Write one folder for each shard, its rows in slot order. The permutation
     is dealt out in runs, so a task holds rows of few shards."""
@@ -103,4 +98,4 @@ def written_shards(placed: DataFrame) -> DataFrame:
     spark = placed.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     write_shards(placed, path)
-    return spark.read.schema(placed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in placed.columns])
+    return spark.read.schema(placed.schema).parquet(path).select(*[named(c) for c in placed.columns])
