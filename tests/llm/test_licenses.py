@@ -10,7 +10,7 @@ from quarry.llm.tables import table
 @pytest.fixture(scope="module")
 def model():
     plain = [f"ordinary words of number {i} that say nothing of the kind and go on for a while" for i in range(300)]
-    return L.fit_licenses([*plain, "Released under the MIT License."])
+    return L.fit_sample([*plain, "Released under the MIT License."])
 
 
 def test_templates_and_unknown(model):
@@ -28,7 +28,9 @@ def test_edge_rows(spark, model):
     docs = spark.createDataFrame([(*r, "clash") for r in data], "doc_id long, text string, license string")
     got = [(r.doc_id, r.license, r.n_confirmed) for r in L.scan_licenses(docs, model).collect()]
     assert sorted(got, key=str) == sorted([(1, None, 0), (2, None, 0), (3, "CC-BY-NC+MIT", 2), (3, None, 0), (None, "MIT", 1)], key=str)
-    assert L.scan_licenses(docs.limit(0), model).count() == 0 and L.background(docs.limit(0), "text") == []
+    assert L.scan_licenses(docs.limit(0), model).count() == 0 and L.background(docs.limit(0), "text").count() == 0
+    fitted = L.fit_licenses(L.background(docs, "text"))
+    assert fitted["families"] == model["families"] and L.classify("Released under the MIT License.", fitted)[::3] == ("MIT", True)
 
 
 #: The notices in the documents, and their families.
@@ -53,7 +55,7 @@ def test_notice_in_the_middle_of_a_long_line():
     rnd = random.Random(3)
     vocabulary = [f"word{i}" for i in range(400)]
     line = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
-    model = L.fit_licenses([" ".join(line(30)) for _ in range(500)])
+    model = L.fit_sample([" ".join(line(30)) for _ in range(500)])
     for notice, family in NOTICES.items():
         for at in (2490, 2500, 2511):
             words = line(5000)
@@ -65,5 +67,43 @@ def test_notice_in_the_middle_of_a_long_line():
 def test_notice_of_words_that_ordinary_lines_use():
     rnd = random.Random(4)
     ordinary = "the rights of others are reserved for all who read the software source in a public place".split()
-    model = L.fit_licenses([" ".join(rnd.sample(ordinary, 12)) for _ in range(500)])
+    model = L.fit_sample([" ".join(rnd.sample(ordinary, 12)) for _ in range(500)])
     assert L.classify("All rights reserved.", model)[::3] == ("Proprietary", True)
+
+
+APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+WRAPPED = """Some title
+
+This program is free software: you can
+redistribute it and/or modify it under
+the terms of the GNU General Public
+License as published by others.
+"""
+
+
+def test_texts_tags_and_denials(model):
+    assert L.classify(APACHE, model)[::3] == ("Apache-2.0", True)
+    assert L.classify(WRAPPED, model)[::3] == ("GPL", True)
+    for family, tags in L.SPDX.items():
+        for tag in tags:
+            assert L.classify(f"// SPDX-License-Identifier: {tag}", model)[::3] == (family, True), tag
+    for text in (
+        "This is not released under the MIT license at all.",
+        "The work was never licensed under the Apache License, Version 2.0.",
+        "This text is not licensed under CC BY-NC 4.0",
+        "SPDX-License-Identifier: Zlib",
+    ):
+        assert not L.classify(text, model)[3], text
+
+
+def test_a_long_text_and_repeated_notices(spark, model):
+    long = "plain words of no meaning here\n" * 40_000 + "Released under the MIT License."
+    docs = spark.createDataFrame([(1, long), (2, "Released under the MIT License.\nReleased under the MIT License.")], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.n_confirmed, [x.line for x in r.paragraphs]) for r in L.scan_licenses(docs, model).collect()}
+    assert got == {1: ("MIT", 1, [40_000]), 2: ("MIT", 2, [0, 1])}
