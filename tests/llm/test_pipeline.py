@@ -56,9 +56,15 @@ def test_run_and_edge_rows(spark, sf_dir):
     docs = spark.createDataFrame(rows, schema)
     for part in (docs, docs.limit(0)):
         n = part.count()
-        for name, stage in P.STAGES[1:]:
+        for name, stage in P.STAGES:
+            before = part.count()
             part = materialize(stage(spark, part, sf_dir), name)
-            assert part.count() == n, name
+            if name == "quality":  # its training rows are those of the given table only
+                assert part.count() <= before
+                part = docs.limit(n)
+            elif name == "near_duplicates":
+                n = min(n, 4)  # of the row that repeats one is left
+            assert name == "quality" or part.count() == n, name
 
 
 def test_mixing_realises_the_weights(spark, sf_dir):
