@@ -3,9 +3,8 @@
 Tier one is a broadcast table from the most frequent pre-tokens to their token
 lengths; its size is a parameter, so it does not grow with the corpus. Tier two
 is a bounded cache in each Python worker that encodes a pre-token when it is
-first missed. Texts never leave their partition and no pre-token is shuffled:
-only bounded summaries (one row per task, merged in a tree) are, to find the
-frequent ones.
+first missed. Texts never leave their partition and no pre-token is shuffled; the
+frequent ones are those of a bounded sample of texts.
 
 A pre-token is a run of spaces with the text up to the next space. No piece of
 the vocabulary holds a space after another character, so merges never cross
@@ -22,11 +21,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.llm.tables import named, schema_of, slices
 
 TABLE_SIZE = 16_384
 CACHE_SIZE = 400_000
 LONG_PRETOKEN = 48
-FAN_IN = 64
+SAMPLE_TEXTS = 4_000
+SAMPLE_SEED = 29
 
 _RUNS = re.compile(r" *[^ ]+| +$")
 _worker: dict = {}
@@ -74,50 +77,27 @@ def _top(counts: Counter, size: int) -> Counter:
     return counts if len(counts) <= size else Counter(dict(counts.most_common(size)))
 
 
-def _summarise(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(pretokens(text))
-                    if len(counts) > 16 * size:
-                        counts = _top(counts, 4 * size)
-        kept = {w: n for w, n in _top(counts, size).items() if n > 1 and len(w) <= LONG_PRETOKEN}
-        yield pa.RecordBatch.from_pydict({"summary": [pickle.dumps(kept)]})
-
-    return run
-
+def frequent_pretokens(docs: DataFrame, text_col: str = "text", size: int = TABLE_SIZE, texts: int = SAMPLE_TEXTS) -> dict[str, int]:
+    """The most frequent pre-tokens, at most `size`, of a sample of about `texts`
+    texts, with their counts there. Which ones are found touches speed only, never a
+    count of tokens. A task adds up its part of the sample; the parts, which the
+    sample bounds, are added up in the driver."""
+    given = docs.select(named(text_col).cast("string").alias("__text")).where("__text <> ''")
+    share = min(1.0, texts / max(1, docs.count()))
 
-def _merge(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                counts.update(pickle.loads(blob))
-                if len(counts) > 8 * size:
-                    counts = _top(counts, 4 * size)
-        yield pa.RecordBatch.from_pydict({"summary": [pickle.dumps(dict(_top(counts, size)))]})
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                for text in batch.column(0).to_pylist():
+                    counts.update(w for w in pretokens(text) if len(w) <= LONG_PRETOKEN)
+        if counts:
+            yield pa.RecordBatch.from_pydict({"counts": [pickle.dumps(dict(counts))]})
 
-    return run
-
-
-def frequent_pretokens(docs: DataFrame, text_col: str = "text", size: int = TABLE_SIZE) -> dict[str, int]:
-    """The most frequent pre-tokens of all texts with their counts, at most size.
-
-    Each task sums its partition up in at most size entries; summaries merge
-    FAN_IN at a time until one is left. Which pre-tokens are found touches speed
-    only, never a count.
-    """
-    parts = docs.select(F.col(text_col).cast("string").alias("text"))
-    n = parts.rdd.getNumPartitions()
-    found = parts.mapInArrow(_summarise(size), "summary binary")
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        found = found.repartition(n).mapInArrow(_merge(size), "summary binary")
-    found = found.repartition(1).mapInArrow(_merge(size), "summary binary")
-    rows = found.collect()
-    return pickle.loads(rows[0][0]) if rows else {}
+    total: Counter = Counter()
+    for row in given.sample(share, SAMPLE_SEED).mapInArrow(add_up, "counts binary").toLocalIterator():
+        total.update(pickle.loads(row[0]))
+    return dict(total.most_common(size))
 
 
 def count_tokens(
@@ -147,16 +127,12 @@ def count_tokens(
         if known is None or known.frequent is not table.value:
             known = _worker[key] = _Lengths(model_path, table.value)
         of = known.__getitem__
-        for batch in batches:
-            tokens, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                tokens.append(sum(map(of, pretokens(text))) if text else 0)
-                sizes.append(len(text.encode()) if text else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())],
-                names=[id_col, "n_bytes", "n_tokens"],
-            )
-
-    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    counted = narrow.mapInArrow(count, f"`{id_col}` {dict(narrow.dtypes)[id_col]}, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                tokens = [sum(map(of, pretokens(text))) if text else 0 for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], names=["__id", "n_bytes", "n_tokens"])
+
+    text = named(text_col).cast("string").alias("__text")
+    narrow = docs.select(named(id_col).alias("__id"), text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = narrow.mapInArrow(count, schema_of(narrow, "__id", "n_bytes", n_tokens=T.LongType()))
+    return counted.select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
