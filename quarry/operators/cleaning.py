@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.validity import missing, valid_number, value
-from quarry.operators.profile import bin_count, percentiles, quartiles, scaled_correlation
-from quarry.operators.rank import order_stats, ranked_values
+from quarry.operators.profile import approximate_percentiles, bin_count, five_numbers, interpolated, percentiles, quartile_ranks, scaled_correlation
+from quarry.operators.rank import at_ranks, linear_ranks, order_stats, prepared
 
 
 def column_modes(df: DataFrame, columns: list[str], id_col: str) -> dict[str, float]:
@@ -53,10 +53,12 @@ def impute_by_period(df: DataFrame, columns: list[str], period: str, zone: str,
     return out.withColumns(filled).select(*df.columns)
 
 
-def fences(df: DataFrame, columns: list[str], reach: float = 1.5) -> dict[str, tuple[float, float]]:
-    """Bounds by linear percentiles, of all columns in one pass."""
-    q = percentiles(df, columns, [0.25, 0.75], only_valid=False)
-    return {c: (a - reach * (b - a), b + reach * (b - a)) for c, (a, b) in q.items() if a is not None}
+def fences(df: DataFrame, columns: list[str], reach: float = 1.5, accuracy: int | None = None) -> dict[str, tuple[float, float]]:
+    """Bounds by linear percentiles of all columns together; with an accuracy, by
+    approximate ones of one pass."""
+    shares = [0.25, 0.75]
+    q = approximate_percentiles(df, columns, shares, accuracy, False) if accuracy else percentiles(df, columns, shares, only_valid=False)
+    return {c: (ab[0] - reach * (ab[1] - ab[0]), ab[1] + reach * (ab[1] - ab[0])) for c, ab in q.items() if ab}
 
 
 def is_outlier(c: str, bounds: tuple[float, float]) -> Column:
@@ -73,13 +75,15 @@ def winsorize(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values beyond the quarter points by one and a half linear quartile distances
     become the 20th or 80th percentile (between them, the median); statistics are
     those before any change."""
-    shares = percentiles(df, columns, [0.2, 0.25, 0.5, 0.75, 0.8], only_valid=False)
+    of = {f"all {c}": F.col(c) for c in columns} | {f"valid {c}": value(c) for c in columns}
+    shares = [0.2, 0.25, 0.5, 0.75, 0.8]
+    stats = order_stats(df, of, lambda n: [r for p in [*quartile_ranks(n), *(x[:2] for x in linear_ranks(n, shares))] for r in p])
     changed = {}
     for c in columns:
-        five = quartiles(df, c)
+        five = five_numbers(*stats[f"valid {c}"])
         if not five:
             continue
-        p20, p25, p50, p75, p80 = shares[c]
+        p20, p25, p50, p75, p80 = interpolated(*stats[f"all {c}"], shares)
         reach = 1.5 * (p75 - p25)
         x = F.col(c)
         out = (x > five[3] + reach) | (x < five[1] - reach)
@@ -89,14 +93,13 @@ def winsorize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def chunk_stats(df: DataFrame, column: str, size: int, how: str) -> list[tuple[float, float]]:
     """(first value, median or mean) of each run of `size` values in ascending order."""
-    present = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = present.count()
+    ranked, rows = prepared(df, {column: F.col(column)})
+    n = rows[column]
     starts = list(range(0, n, size))
     if how == "median":
         mid = {s: (s + (min(size, n - s) - 1) // 2, s + min(size, n - s) // 2) for s in starts}
-        at = order_stats(present, "v", [*starts, *(r for p in mid.values() for r in p)])
+        at = at_ranks(ranked, {column: [*starts, *(r for p in mid.values() for r in p)]})[column]
         return [(at[s], (at[mid[s][0]] + at[mid[s][1]]) / 2) for s in starts]
-    ranked = ranked_values(present, "v")
     chunks = F.sequence(F.expr(f"first div {size}"), F.expr(f"(first + n - 1) div {size}"))
     parts = ranked.select("v", "n", "first", F.explode(chunks).alias("k"))
     inside = F.least(F.expr("first + n"), (F.col("k") + 1) * size) - F.greatest("first", F.col("k") * size)
@@ -107,8 +110,7 @@ def chunk_stats(df: DataFrame, column: str, size: int, how: str) -> list[tuple[f
 def equal_depth(df: DataFrame, column: str, bins: int | None = None, how: str = "mean", size: int | None = None) -> DataFrame:
     """Every value becomes the mean (or median) of its run: the last run of
     ceil(n / bins) ascending values that starts at or below it."""
-    n = df.count()
-    size = size or math.ceil(n / (bins or 1)) or 1
+    size = size or math.ceil(df.count() / (bins or 1)) or 1
     stats = chunk_stats(df, column, size, how)
     if not stats:
         return df

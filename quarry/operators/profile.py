@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.validity import all_valid, value
-from quarry.operators.rank import order_stats
+from quarry.operators.rank import linear_ranks, order_stats
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,23 +18,36 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = [
         F.struct(
             F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"),
-            F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).alias("most"), F.count(F.lit(1)).alias("rows"),
+            F.max(c).alias("most"), F.count(F.lit(1)).alias("rows"),
         )
         for c in columns
     ]
     rows = df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
-    return rows.select("column", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most", "rows")
+    shares = percentiles(df, columns, [0.25, 0.5, 0.75], only_valid=False)
+    quarters = df.sparkSession.createDataFrame([(c, *(q or [None] * 3)) for c, q in shares.items()], "column string, q25 double, q50 double, q75 double")
+    return rows.join(F.broadcast(quarters), "column").select("column", "n", "mean", "std", "least", "q25", "q50", "q75", "most", "rows")  # one row a column
 
 
 def central_tendency(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, median, modes, deviation) of the valid values; all modes, in
-    order; the deviation divides by their number."""
+    order; the deviation divides by their number. Columns without valid values have
+    no row."""
     long = unpivoted(df, columns)
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("column").agg(F.max("n").alias("n"))
     modes = counts.join(F.broadcast(top), ["column", "n"]).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("modes"))
-    stats = long.groupBy("column").agg(F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.stddev_pop("v").alias("deviation"))
-    return stats.join(modes, "column")
+    stats = long.groupBy("column").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+    middle = percentiles(df, columns, [0.5])
+    medians = df.sparkSession.createDataFrame([(c, m[0]) for c, m in middle.items() if m], "column string, median double")
+    return stats.join(F.broadcast(medians), "column").join(modes, "column").select("column", "mean", "median", "modes", "deviation")
+
+
+def mode_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, mode, n): the modes of the valid values as rows, for columns with
+    more of them than one row should hold."""
+    counts = unpivoted(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("column").agg(F.max("n").alias("n"))
+    return counts.join(F.broadcast(top), ["column", "n"]).select("column", F.col("v").alias("mode"), "n")  # one row a column
 
 
 def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,31 +56,54 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(pairs)).where("v is not null")
 
 
-def percentiles(df: DataFrame, columns: list[str], shares: list[float], only_valid: bool = True) -> dict[str, list[float]]:
-    """Percentiles by linear interpolation, of all columns in one pass."""
-    of = [F.percentile(value(c) if only_valid else F.col(c), F.array(*[F.lit(s) for s in shares])).alias(c) for c in columns]
+def percentiles(df: DataFrame, columns: list[str], shares: list[float], only_valid: bool = True) -> dict[str, list[float] | None]:
+    """Percentiles by linear interpolation, of all columns together (None for a
+    column without values)."""
+    stats = order_stats(df, {c: value(c) if only_valid else F.col(c) for c in columns}, lambda n: [r for a, b, _ in linear_ranks(n, shares) for r in (a, b)])
+    return {c: interpolated(n, at, shares) for c, (n, at) in stats.items()}
+
+
+def interpolated(n: int, at: dict[int, float], shares: list[float]) -> list[float] | None:
+    return [at[a] + (at[b] - at[a]) * w for a, b, w in linear_ranks(n, shares)] if n else None
+
+
+def approximate_percentiles(df: DataFrame, columns: list[str], shares: list[float], accuracy: int = 10_000, only_valid: bool = True) -> dict[str, list[float] | None]:
+    """Percentiles of all columns from one pass of bounded summaries: ranks are met to
+    within one in `accuracy`."""
+    of = [F.percentile_approx((value(c) if only_valid else F.col(c)).cast("double"), shares, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
     row = df.agg(*of).first()
-    return {c: row[c] for c in columns}
+    return {c: row[f"q{i}"] for i, c in enumerate(columns)}
+
+
+def quartile_ranks(n: int, rule: str = "average") -> list[tuple[int, int]]:
+    """Ranks whose means are the five numbers of n values. Rule "average": the quarter
+    points are the means of the ranks n//4-1 and n//4, and 3n//4-1 and 3n//4. Rule
+    "halves": for an odd number of values the ranks n//4 and 3n//4 themselves, for an
+    even one the means of (n//2)//2 and 3(n//2)//2 with the rank before each."""
+    q1, q3, half = n // 4, 3 * n // 4, n // 2
+    if rule == "average":
+        pairs = [(q1 - 1, q1), (q3 - 1, q3)]
+    elif n % 2:
+        pairs = [(q1, q1), (q3, q3)]
+    else:
+        pairs = [(half // 2 - 1, half // 2), (3 * half // 2 - 1, 3 * half // 2)]
+    pairs = [(max(0, a), b) for a, b in pairs]
+    return [(0, 0), pairs[0], ((n - 1) // 2, n // 2), pairs[1], (n - 1, n - 1)]
+
+
+def five_numbers(n: int, at: dict[int, float], rule: str = "average") -> list[float]:
+    return [(at[a] + at[b]) / 2 for a, b in quartile_ranks(n, rule)] if n else []
+
+
+def all_quartiles(df: DataFrame, columns: list[str], rule: str = "average") -> dict[str, list[float]]:
+    """Five numbers of the valid values of every column (none for a column without
+    any), by the rules of quartile_ranks."""
+    stats = order_stats(df, {c: value(c) for c in columns}, lambda n: [r for p in quartile_ranks(n, rule) for r in p])
+    return {c: five_numbers(n, at, rule) for c, (n, at) in stats.items()}
 
 
 def quartiles(df: DataFrame, column: str, rule: str = "average") -> list[float]:
-    """Five numbers of the valid values. Rule "average": the quarter points are the
-    means of the ranks n//4-1 and n//4, and 3n//4-1 and 3n//4. Rule "halves": for
-    an odd number of values the ranks n//4 and 3n//4 themselves, for an even one
-    the means of (n//2)//2 and 3(n//2)//2 with the rank before each."""
-    present = df.select(value(column).alias("v"))
-    n = present.agg(F.count("v")).first()[0]
-    if not n:
-        return []
-    q1, q3 = n // 4, 3 * n // 4
-    pairs = [(max(0, q1 - 1), q1), (max(0, q3 - 1), q3)]
-    if rule == "halves":
-        half = n // 2
-        pairs = [(q1, q1), (q3, q3)] if n % 2 else [(max(0, half // 2 - 1), half // 2), (max(0, 3 * half // 2 - 1), 3 * half // 2)]
-    middle = ((n - 1) // 2, n // 2)
-    at = order_stats(present, "v", [0, n - 1, *pairs[0], *pairs[1], *middle])
-    mean = lambda p: (at[p[0]] + at[p[1]]) / 2
-    return [at[0], mean(pairs[0]), mean(middle), mean(pairs[1]), at[n - 1]]
+    return all_quartiles(df, [column], rule)[column]
 
 
 def bin_count(rows: int) -> int:
@@ -100,10 +136,11 @@ def box_plot(df: DataFrame, column: str) -> tuple[list[float], DataFrame]:
 
 def scaled_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for a before b: the covariance over n - 1, divided by the
-    population deviations, that is Pearson's r times n / (n - 1)."""
+    population deviations, that is Pearson's r times n / (n - 1); n counts the rows
+    where both columns have a value."""
     pairs = list(combinations(columns, 2))
-    n = F.count(F.lit(1))
-    of = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.corr(a, b) * n / (n - 1)).alias("r")) for a, b in pairs]
+    n = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
+    of = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.corr(a, b) * n(a, b), n(a, b) - 1).alias("r")) for a, b in pairs]
     return df.agg(F.array(*of).alias("all")).select(F.inline("all"))
 
 

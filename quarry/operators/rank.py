@@ -2,37 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from quarry.session import materialize
+
+#: Distinct values of a column that one task ranks.
+BUCKET_VALUES = 500_000
+MOST_BUCKETS = 4_096
+
 
+def counted_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(column, v, n): how often every non-null value of each column occurs; all
+    columns in one pass and one shuffle of partial counts."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("column"), c.cast("double").alias("v")) for name, c in columns.items()])
+    return df.select(F.inline(pairs)).where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
 
-def ranked_values(df: DataFrame, column: str) -> DataFrame:
-    """(v, n, first): every distinct non-null value, how often it occurs, and the
-    0-based rank of its first occurrence in ascending order.
 
-    Values are counted first, so repeats cost nothing; approximate quantiles cut
-    them into buckets that are ranked one by one, and bucket sizes offset them.
+def ranked_values(counts: DataFrame, distinct: dict[str, int], bucket_values: int = BUCKET_VALUES) -> DataFrame:
+    """(column, v, n, first) of counted values: first is the 0-based rank of a value's
+    first occurrence in ascending order. distinct: values of each column.
+
+    Approximate quantiles cut columns of many values into buckets that are ranked one
+    by one, and the sizes of the buckets before offset them.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = counts.agg(F.percentile_approx("v", steps, 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    placed = counts.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("v"))))
-    sums = placed.groupBy("bucket").agg(F.sum("n").alias("total"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-    offsets = sums.select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.lit(0)
+    buckets = {c: min(MOST_BUCKETS, -(-n // bucket_values)) for c, n in distinct.items()}
+    for k in sorted({k for k in buckets.values() if k > 1}):
+        names = [c for c, m in buckets.items() if m == k]
+        steps = [i / k for i in range(1, k)]
+        cuts = counts.where(F.col("column").isin(names)).groupBy("column").agg(F.percentile_approx("v", steps, 20 * k).alias("cuts"))
+        for r in cuts.collect():
+            bounds = F.array(*[F.lit(c) for c in sorted(set(r["cuts"]))])
+            bucket = F.when(F.col("column") == r["column"], F.size(F.filter(bounds, lambda b: b < F.col("v")))).otherwise(bucket)
+    placed = counts.withColumn("bucket", bucket)
+    within = Window.partitionBy("column", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("local", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return local.join(F.broadcast(offsets), "bucket").select("v", "n", (F.col("offset") + F.col("local")).alias("first"))
+    if max(buckets.values(), default=1) <= 1:
+        return local.select("column", "v", "n", F.col("local").alias("first"))
+    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("column", "bucket").agg(F.sum("n").alias("total"))
+    offsets = sums.select("column", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    joined = local.join(F.broadcast(offsets), ["column", "bucket"])  # MOST_BUCKETS rows a column at most
+    return joined.select("column", "v", "n", (F.col("offset") + F.col("local")).alias("first"))
+
+
+def prepared(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """Ranked values of several columns, and how many non-null values each has."""
+    counts = materialize(counted_values(df, columns), "counts")
+    totals = {r["column"]: r for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows")).collect()}
+    ranked = ranked_values(counts, {c: r["distinct"] for c, r in totals.items()})
+    return ranked, {c: totals[c]["rows"] if c in totals else 0 for c in columns}
+
+
+def at_ranks(ranked: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """Values of each column at the given 0-based ranks, in one job."""
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    wanted = {c: sorted({int(r) for r in rs if r >= 0}) for c, rs in ranks.items()}
+    lists = F.array().cast("array<int>")
+    for c, rs in wanted.items():
+        if rs:
+            lists = F.when(F.col("column") == c, F.array(*[F.lit(r).cast("long") for r in rs])).otherwise(lists)
+    if not any(wanted.values()):
+        return found
+    inside = F.filter(lists, lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("n")))
+    for row in ranked.select("column", F.explode(inside).alias("r"), "v").collect():
+        found[row["column"]][row["r"]] = row["v"]
+    return found
+
+
+def order_stats(df: DataFrame, columns: dict[str, Column], ranks: Callable[[int], list[int]]) -> dict[str, tuple[int, dict[int, float]]]:
+    """For each column its number of non-null values, n, and the values at ranks(n),
+    0-based, in ascending order. All columns share the passes."""
+    ranked, rows = prepared(df, columns)
+    found = at_ranks(ranked, {c: ranks(n) for c, n in rows.items() if n})
+    return {c: (n, found.get(c, {})) for c, n in rows.items()}
 
 
-def order_stats(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
-    """Values at the given 0-based ranks of the non-null values in ascending order."""
-    wanted = sorted({int(r) for r in ranks if r >= 0})
-    if not wanted:
-        return {}
-    inside = F.filter(F.array(*[F.lit(r) for r in wanted]), lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("n")))
-    rows = ranked_values(df, column).select(F.explode(inside).alias("r"), "v").collect()
-    return {r["r"]: r["v"] for r in rows}
+def linear_ranks(n: int, shares: list[float]) -> list[tuple[int, int, float]]:
+    """The ranks around each share of n values, and the weight of the upper one."""
+    out = []
+    for s in shares:
+        at = (n - 1) * s
+        low = int(at)
+        out.append((low, min(low + 1, n - 1), at - low))
+    return out

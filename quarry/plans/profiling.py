@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import distance
 from quarry.functions.validity import missing, null_if_nan, valid_number, valid_text
 from quarry.operators import cleaning, clusters, evaluate, profile
-from quarry.operators.rank import ranked_values
+from quarry.operators.rank import counted_values
 from quarry.plans.tables import CLEAN, FEATURES, FILLED, OBS, VALID, filled, observations, table
 
 QUERIES, SQL = {}, {}
@@ -75,12 +75,12 @@ def r7_distinct(spark, sf_dir):
 
 @query("a2_central_tendency", f"WITH {OBS}, {CLEAN} " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, quantile_cont({c}, 0.5) AS median, round(stddev_pop({c}), 4) AS deviation, "
-    f"(SELECT array_to_string(list_sort(list(v))[1:50], ';') FROM (SELECT round({c}, 2)::DECIMAL(18, 2)::VARCHAR AS v FROM clean WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY count(*) = max(count(*)) OVER ())) AS modes FROM clean" for c in ("f1", "f3")))
+    f"(SELECT array_to_string(list_sort(list(v)), ';') FROM (SELECT round({c}, 2)::DECIMAL(18, 2)::VARCHAR AS v FROM clean WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY count(*) = max(count(*)) OVER ())) AS modes FROM clean" for c in ("f1", "f3")))
 def a2_central_tendency(spark, sf_dir):
     """A2 and A6."""
     out = profile.central_tendency(observations(spark, sf_dir), ["f1", "f3"])
     texts = F.array_sort(F.transform("modes", lambda v: F.round(v, 2).cast("decimal(18,2)").cast("string")))
-    return _four(out, ["mean", "deviation"], 4).withColumn("modes", F.array_join(F.slice(texts, 1, 50), ";"))
+    return _four(out, ["mean", "deviation"], 4).withColumn("modes", F.array_join(texts, ";"))
 
 
 def _quartile_sql(c: str) -> str:
@@ -94,7 +94,7 @@ def _quartile_sql(c: str) -> str:
 @query("a3_quartiles", f"WITH {OBS}, {CLEAN} " + " UNION ALL ".join(_quartile_sql(c) for c in ("f1", "f2", "f3", "f4")))
 def a3_quartiles(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return spark.createDataFrame([(c, *profile.quartiles(obs, c)) for c in FEATURES], "column string, q0 double, q1 double, q2 double, q3 double, q4 double")
+    return spark.createDataFrame([(c, *q) for c, q in profile.all_quartiles(obs, FEATURES).items()], "column string, q0 double, q1 double, q2 double, q3 double, q4 double")
 
 
 @query("a5_quartiles_by_halves", f"""WITH {OBS}, {CLEAN}, v AS (SELECT f2 AS v, row_number() OVER (ORDER BY f2) - 1 AS r, count(*) OVER () AS n FROM clean WHERE f2 IS NOT NULL)
@@ -158,7 +158,7 @@ def a12_complete_correlation(spark, sf_dir):
 
 @query("a21_value_frequency", f"WITH {OBS} SELECT f1 AS v, count(*) AS n FROM obs WHERE f1 IS NOT NULL GROUP BY f1")
 def a21_value_frequency(spark, sf_dir):
-    return ranked_values(observations(spark, sf_dir), "f1").select("v", "n")
+    return counted_values(observations(spark, sf_dir), {"f1": F.col("f1")}).select("v", "n")
 
 
 @query("t1_impute_mode", f"""WITH {OBS}, m AS (SELECT {', '.join(f"(SELECT {c} FROM obs WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, min(id) LIMIT 1) AS {c}" for c in ('f1', 'f2'))})
@@ -261,10 +261,18 @@ def u2_append(spark, sf_dir):
     return a.unionByName(table(spark, sf_dir, "customer").selectExpr("c_acctbal AS balance", "c_nationkey AS zone"))
 
 
-@query("t12_drop_correlated", f"WITH {FILLED} SELECT id, f2, f3, f4, label FROM filled")
+_KEPT = "abs(corr({0}, {1}) * count(*) / (count(*) - 1)) > 0.4"
+_DROPS = {a: " OR ".join(_KEPT.format(a, b) for x, b in _PAIRS if x == a) for a in FEATURES}
+
+
+@query("t12_drop_correlated", f"WITH {FILLED}, r AS (SELECT {', '.join(f'({cond}) AS {c}' for c, cond in _DROPS.items())} FROM filled) SELECT id, " + ", ".join(f"CASE WHEN NOT r.{c} THEN filled.{c} END AS {c}" for c in FEATURES) + ", label, (SELECT list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{c}' END" for c in FEATURES) + "], lambda x: x IS NOT NULL)) FROM r)::VARCHAR AS dropped FROM filled, r")
 def t12_drop_correlated(spark, sf_dir):
+    """What goes is decided by the data; a column that went is null, and named."""
     obs = filled(spark, sf_dir)
-    return obs.drop(*cleaning.correlated_columns(obs, FEATURES, "label", 0.4))
+    gone = cleaning.correlated_columns(obs, FEATURES, "label", 0.4)
+    left = obs.drop(*gone)
+    names = F.lit(f"[{', '.join(sorted(gone))}]")
+    return left.select("id", *[F.col(c) if c in left.columns else F.lit(None).cast("double").alias(c) for c in FEATURES], "label", names.alias("dropped"))
 
 
 @query("l10_principal_components")
@@ -273,7 +281,7 @@ def l10_principal_components(spark, sf_dir):
     return clusters.project(obs, FEATURES, *clusters.principal_components(obs, FEATURES)).select("id", "pc1", "pc2")
 
 
-_PLACE = "(id * 2654435761 + 42 * 40503) % 4294967296 < 3435973836"
+_PLACE = "((id % 4294967296) * 2654435761::HUGEINT + 42 * 40503) % 4294967296 < 3435973836"
 
 
 @query("l1_split", f"WITH {OBS} SELECT id, {_PLACE} AS train FROM obs")

@@ -11,17 +11,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 FEATURES = ["f1", "f2", "f3", "f4"]
+#: Outliers: of ids divisible by the first number the value times the second plus
+#: the third.
+SPIKES = {"f1": (211, 20.0, 1.0), "f2": (223, 30.0, 0.0), "f3": (227, 3.0, 2.0), "f4": (229, 5.0, 4.0)}
 MEASURES = ["cases", "tests", "positives"]
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, f1 to f4 and label: order lines, one row for each order and line number.
-    Some f1 are null and some f2 negative, that is invalid."""
+    Some f1 are null and some f2 negative, that is invalid; by the rules of SPIKES a
+    few values of each column lie far out."""
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    spiked = lambda c: F.when(F.col("id") % SPIKES[c][0] == 0, F.col(c) * SPIKES[c][1] + SPIKES[c][2]).otherwise(F.col(c))
     picked = rows.agg(
         F.max("l_quantity").alias("f1"), F.max("l_extendedprice").alias("f2"), F.max("l_discount").alias("f3"),
         F.max(F.col("l_tax") + F.col("l_quantity") * 0.001).alias("f4"), F.max("l_returnflag").alias("flag"),
     )
+    picked = picked.withColumns({c: spiked(c) for c in SPIKES})
     return picked.select(
         "id",
         F.when(F.col("id") % 13 != 0, F.col("f1")).alias("f1"),
@@ -32,11 +38,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OBS = """obs AS (
+_SPIKED = ", ".join(f"CASE WHEN id % {m} = 0 THEN {c} * {a}::DOUBLE + {b}::DOUBLE ELSE {c} END AS {c}" for c, (m, a, b) in SPIKES.items())
+OBS = f"""obs AS (
   SELECT id, CASE WHEN id % 13 <> 0 THEN f1 END AS f1, CASE WHEN id % 17 = 0 THEN -f2 ELSE f2 END AS f2, f3, f4,
          CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label
-  FROM (SELECT l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS f1, max(l_extendedprice) AS f2, max(l_discount) AS f3,
-               max(l_tax + l_quantity * 0.001::DOUBLE) AS f4, max(l_returnflag) AS flag FROM lineitem GROUP BY 1)
+  FROM (SELECT id, flag, {_SPIKED} FROM (SELECT l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS f1, max(l_extendedprice) AS f2, max(l_discount) AS f3,
+               max(l_tax + l_quantity * 0.001::DOUBLE) AS f4, max(l_returnflag) AS flag FROM lineitem GROUP BY 1))
 )"""
 #: A valid number, as the Spark side decides it.
 VALID = "({0} IS NOT NULL AND NOT isnan({0}) AND ({0} = 0 OR ({0} >= 1e-4::DOUBLE AND {0} < 1e16::DOUBLE)))"

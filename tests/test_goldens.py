@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import sources
 from quarry.functions import dates
 from quarry.functions.validity import valid_number, valid_text
-from quarry.operators import cleaning, clusters, evaluate, mining, pairwise, profile, rollup, trees
+from quarry.operators import cleaning, clusters, evaluate, mining, pairwise, profile, rank, rollup, trees
 from quarry.operators.rank import order_stats
 from quarry.plans import pipelines
 
@@ -27,7 +27,22 @@ def test_quartiles_percentiles_and_deviation(spark):
     assert row["deviation"] == pytest.approx(2.2912878) and len(row["modes"]) == 8
     assert profile.central_tendency(column(spark, [1, 1, 2, 2, 3]), ["x"]).first()["modes"] == [1, 2]
     assert profile.bin_count(295) == 10 and profile.bin_count(337) == 10
-    assert order_stats(column(spark, [5, 1, 1, 1, 9, 5]), "x", [0, 2, 3, 5]) == {0: 1, 2: 1, 3: 5, 5: 9}
+    df = column(spark, [5, 1, 1, 1, 9, 5, None]).withColumn("y", -F.col("x"))
+    both = {"x": F.col("x"), "y": F.col("y"), "none": F.lit(None)}
+    assert order_stats(df, both, lambda n: [0, 2, 3, n - 1]) == {"x": (6, {0: 1, 2: 1, 3: 5, 5: 9}), "y": (6, {0: -9, 2: -5, 3: -1, 5: -1}), "none": (0, {})}
+    assert profile.approximate_percentiles(df, ["x"], [0.5]) == {"x": [1.0]}
+
+
+def test_ranks_by_buckets(spark):
+    rng = np.random.default_rng(4)
+    values = {"x": rng.integers(0, 300, 2000).astype(float), "y": rng.normal(size=2000)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*values.values())], "x double, y double")
+    counts = rank.counted_values(df, {c: F.col(c) for c in values})
+    ranked = rank.ranked_values(counts, {c: len(set(v)) for c, v in values.items()}, bucket_values=50)
+    for c, v in values.items():
+        got = {r.v: (r.n, r.first) for r in ranked.where(F.col("column") == c).collect()}
+        order = sorted(v)
+        assert got == {x: (order.count(x), order.index(x)) for x in set(order)}
 
 
 def test_correlation_and_scaling(spark):
