@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import materialize
 
+#: Candidate sets of one level up to which they are broadcast.
+BROADCAST_SETS = 200_000
 MEASURES = ("confidence", "cosine", "lift", "jaccard", "kulczynski")
 
 
@@ -18,50 +20,68 @@ def build_transactions(df: DataFrame, tid: str, columns: list[str], prefix: bool
     return df.select(F.col(tid).alias("tid"), items.alias("items"))
 
 
+def encoded(baskets: DataFrame, min_support: float) -> tuple[int, DataFrame, DataFrame]:
+    """How many baskets there are; the frequent items as (item, code, freq), numbered
+    from 0 in order; and the distinct sets of codes, ascending, that baskets hold, with
+    how many baskets hold each: (codes, w).
+
+    Equal baskets are one row from the first shuffle on. There are at most as many
+    frequent items as a basket has on average, divided by the support.
+    """
+    sets = baskets.select(F.array_sort(F.array_distinct(F.array_compact("items"))).alias("items"))
+    sets = materialize(sets.groupBy("items").agg(F.count(F.lit(1)).alias("w")), "baskets")
+    n = sets.agg(F.sum("w")).first()[0] or 0
+    single = sets.select("items", "w", F.explode("items").alias("item"))
+    counts = single.groupBy("item").agg(F.sum("w").alias("freq")).where(F.col("freq") / F.lit(max(1, n)) >= min_support)
+    items = materialize(counts.select("item", (F.row_number().over(Window.orderBy("item")) - 1).alias("code"), "freq"), "items")
+    held = single.join(items.select("item", "code"), "item").groupBy("items", "w").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    return n, items, held.groupBy("codes").agg(F.sum("w").alias("w"))
+
+
 def apriori(baskets: DataFrame, min_support: float, max_size: int | None = None) -> DataFrame:
     """(items, k, freq, support) of every itemset whose share of the baskets is at
     least min_support, level by level.
 
     A level's candidates are joins of two frequent sets that differ in their last
-    item, all of whose subsets are frequent. Occurrences of frequent sets are
-    extended basket by basket and counted with partial sums; each level's are
-    written to the shared folder, so a level reads one file set.
+    item, all of whose subsets are frequent. A basket carries the frequent sets it
+    holds, each with the items that may still follow, so a level extends them where
+    they lie: only candidates and partial counts are moved.
     """
-    n = baskets.count()
-    single = baskets.select("tid", F.explode("items").alias("item")).distinct()
-    sized = lambda c: (F.col("freq") / F.lit(max(1, n))).alias("support")
-    counts = single.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
-    level = counts.select(F.array("item").alias("items"), F.lit(1).alias("k"), "freq", sized(n)).where(F.col("support") >= min_support)
-    level = materialize(level, "itemsets")
-    result = level
-    kept = single.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi")
-    found = kept.select("tid", F.array("item").alias("items"))
-    k = 1
-    while level.limit(1).count() and (max_size is None or k < max_size):
+    n, items, sets = encoded(baskets, min_support)
+    support = (F.col("freq") / F.lit(max(1, n))).alias("support")
+    level = items.select(F.array("code").alias("codes"), F.lit(1).alias("k"), "freq", support)
+    found = sets.select(F.posexplode("codes").alias("at", "code"), "codes", "w")
+    found = found.select(F.array("code").alias("codes"), F.expr("slice(codes, at + 2, size(codes))").alias("rest"), "w")
+    result, k = level, 1
+    while max_size is None or k < max_size:
         k += 1
-        wanted = candidates(level, k)
-        longer = found.join(kept, "tid").where(F.col("item") > F.element_at("items", -1))
-        longer = longer.select("tid", F.concat("items", F.array("item")).alias("items")).join(wanted, "items", "left_semi")
-        found = materialize(longer, "occurrences")
-        counts = found.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
-        level = counts.select("items", F.lit(k).alias("k"), "freq", sized(n)).where(F.col("support") >= min_support)
-        level = materialize(level, "itemsets")
-        found = found.join(level.select("items"), "items", "left_semi")
+        wanted = materialize(candidates(level, k), "candidates")
+        many = wanted.count()
+        if not many:
+            break
+        longer = found.select("codes", "w", "rest", F.posexplode("rest").alias("at", "code"))
+        longer = longer.select(F.concat("codes", F.array("code")).alias("codes"), F.expr("slice(rest, at + 2, size(rest))").alias("rest"), "w")
+        found = longer.join(F.broadcast(wanted) if many <= BROADCAST_SETS else wanted, "codes", "left_semi")
+        found = materialize(found.groupBy("codes", "rest").agg(F.sum("w").alias("w")), "occurrences")
+        counts = found.groupBy("codes").agg(F.sum("w").alias("freq"))
+        level = materialize(counts.select("codes", F.lit(k).alias("k"), "freq", support).where(F.col("support") >= min_support), "itemsets")
         result = result.unionByName(level)
-    return result
+    names = items.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "item"))), lambda x: x["item"]).alias("names"))
+    named = result.crossJoin(F.broadcast(names))  # one row: the frequent items
+    return named.select(F.transform("codes", lambda c: F.element_at("names", c + 1)).alias("items"), "k", "freq", "support")
 
 
 def candidates(level: DataFrame, k: int) -> DataFrame:
-    """Sets of k items all of whose subsets of k - 1 are in level."""
-    head = F.slice("items", 1, k - 2) if k > 2 else F.array().cast("array<string>")
-    a = level.select(head.alias("head"), "items", F.element_at("items", -1).alias("x"))
-    b = level.select(head.alias("head"), F.element_at("items", -1).alias("y"))
-    joined = a.join(b, "head").where("x < y").select(F.concat("items", F.array("y")).alias("items"))
+    """(codes): sets of k codes all of whose subsets of k - 1 are in level."""
+    head = F.slice("codes", 1, k - 2) if k > 2 else F.array().cast("array<int>")
+    a = level.select(head.alias("head"), "codes", F.element_at("codes", -1).alias("x"))
+    b = level.select(head.alias("head"), F.element_at("codes", -1).alias("y"))
+    joined = a.join(b, "head").where("x < y").select(F.concat("codes", F.array("y")).alias("codes"))
     if k == 2:
         return joined
-    drop = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.filter("items", lambda x, at: at != i - 1))
-    subsets = joined.select("items", F.explode(drop).alias("sub"))
-    return subsets.join(level.select(F.col("items").alias("sub")), "sub", "left_semi").groupBy("items").count().where(F.col("count") == k).select("items")
+    drop = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.filter("codes", lambda x, at: at != i - 1))
+    subsets = joined.select("codes", F.explode(drop).alias("sub"))
+    return subsets.join(level.select(F.col("codes").alias("sub")), "sub", "left_semi").groupBy("codes").count().where(F.col("count") == k).select("codes")
 
 
 def measure(name: str, both: Column, a: Column, b: Column) -> Column:
@@ -114,6 +134,12 @@ def recommend(found: DataFrame, baskets: DataFrame, strict: bool = True) -> Data
     return hits.where(F.col("n") == F.size("antecedent")).select("tid", "consequent", "measure")
 
 
+def all_items(baskets: DataFrame) -> list[str]:
+    """The distinct items, in order: one column each of one_hot, so a table's worth of
+    columns at most."""
+    return [r[0] for r in baskets.select(F.explode("items").alias("item")).distinct().orderBy("item").collect()]
+
+
 def one_hot(baskets: DataFrame, items: list[str]) -> DataFrame:
     """(tid, one 0/1 column for each listed item)."""
     rows = baskets.select("tid", F.explode_outer("items").alias("item"))

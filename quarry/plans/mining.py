@@ -79,36 +79,42 @@ def m8_rules_by_threshold(spark, sf_dir):
     return mining.rules_by_threshold(found, grid)
 
 
-_PART = "picked AS (SELECT tid, list_filter(items, lambda x, i: i <= 2) AS items FROM baskets WHERE tid % 50 = 1)"
-
-
-def _parts(spark, sf_dir) -> DataFrame:
-    """Baskets of two items, to be completed: the query set is every fiftieth tid."""
-    return _baskets(spark, sf_dir).where("tid % 50 = 1").select("tid", F.slice("items", 1, 2).alias("items"))
-
-
-@query("m9_recommend_strict", f"WITH {_RULES}, {_PART} SELECT tid, array_to_string(c, ',') AS consequent, round(s / sa, 8) AS measure FROM picked JOIN rules ON rules.a = picked.items WHERE s / sa >= 0.2::DOUBLE")
+@query("m9_recommend_strict", f"WITH {_RULES} SELECT tid, array_to_string(c, ',') AS consequent, round(s / sa, 8) AS measure FROM (SELECT tid, list_sort(list_distinct([flag, status])) AS items FROM raw) p JOIN rules ON rules.a = p.items WHERE s / sa >= 0.2::DOUBLE")
 def m9_recommend_strict(spark, sf_dir):
-    """J6 and M9."""
-    found = mining.rules(mining.apriori(_baskets(spark, sf_dir), SUPPORT), "confidence", 0.2)
-    return mining.recommend(found, _parts(spark, sf_dir)).select("tid", _text("consequent"), F.round("measure", 8).alias("measure"))
+    """The flag and the status of every row, to be completed."""
+    baskets = _baskets(spark, sf_dir)
+    found = mining.rules(mining.apriori(baskets, SUPPORT), "confidence", 0.2)
+    open_ones = mining.build_transactions(transactions(spark, sf_dir), "tid", ["flag", "status"])
+    return mining.recommend(found, open_ones).select("tid", _text("consequent"), F.round("measure", 8).alias("measure"))
 
 
-@query("m9_recommend_within", f"WITH {_RULES}, {_PART} SELECT tid, array_to_string(c, ',') AS consequent, round(s / sa, 8) AS measure FROM picked JOIN rules ON list_has_all(picked.items, rules.a) WHERE s / sa >= 0.2::DOUBLE")
+@query("m9_recommend_within", f"WITH {_RULES} SELECT tid, array_to_string(c, ',') AS consequent, round(s / sa, 8) AS measure FROM baskets JOIN rules ON list_has_all(baskets.items, rules.a) WHERE s / sa >= 0.2::DOUBLE")
 def m9_recommend_within(spark, sf_dir):
-    """J5 and M9."""
-    found = mining.rules(mining.apriori(_baskets(spark, sf_dir), SUPPORT), "confidence", 0.2)
-    return mining.recommend(found, _parts(spark, sf_dir), strict=False).select("tid", _text("consequent"), F.round("measure", 8).alias("measure"))
+    """Every basket."""
+    baskets = _baskets(spark, sf_dir)
+    found = mining.rules(mining.apriori(baskets, SUPPORT), "confidence", 0.2)
+    return mining.recommend(found, baskets, strict=False).select("tid", _text("consequent"), F.round("measure", 8).alias("measure"))
 
 
-@query("m10_one_hot", f"WITH {TRANSACTIONS} SELECT tid, " + ", ".join(f"max(CASE WHEN list_contains(items, '{i}') THEN 1 ELSE 0 END)::INTEGER AS \"{i}\"" for i in ("A", "N", "R", "F", "O")) + " FROM baskets GROUP BY tid")
+@query("m10_one_hot", f"WITH {TRANSACTIONS}, names AS (SELECT DISTINCT unnest(items) AS item FROM baskets) SELECT tid, unnest(items) AS item, (SELECT count(*) FROM names) AS n_columns FROM baskets")
 def m10_one_hot(spark, sf_dir):
-    return mining.one_hot(_baskets(spark, sf_dir), ["A", "N", "R", "F", "O"])
+    """All baskets with every item as a column; the ones are listed."""
+    baskets = _baskets(spark, sf_dir)
+    items = mining.all_items(baskets)
+    cells = F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"`{i}`").alias("held")) for i in items])
+    ones = mining.one_hot(baskets, items).select("tid", F.inline(F.filter(cells, lambda c: c["held"] == 1)))
+    return ones.select("tid", "item", F.lit(len(items)).cast("long").alias("n_columns"))
+
+
+_BRANDS = """WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT tid) AS n FROM b),
+frequent AS (SELECT item FROM b GROUP BY item HAVING count(*) / (SELECT n FROM n)::DOUBLE >= 0.002::DOUBLE), held AS (SELECT tid, item FROM b WHERE item IN (SELECT item FROM frequent)),
+sets AS (SELECT tid, [item] AS items FROM held UNION ALL SELECT s.tid, list_append(s.items, h.item) FROM sets s JOIN held h ON h.tid = s.tid AND h.item > s.items[-1] WHERE len(s.items) < 7)
+SELECT array_to_string(items, ',') AS items, len(items)::INTEGER AS k, count(*) AS freq FROM sets GROUP BY items HAVING count(*) / (SELECT n FROM n)::DOUBLE >= 0.002::DOUBLE"""
 
 
-@query("m4_brand_baskets", "WITH b AS (SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT tid) AS n FROM b), c AS (SELECT x.item AS a, y.item AS b, count(*) AS freq FROM b x JOIN b y ON x.tid = y.tid AND x.item < y.item GROUP BY 1, 2) SELECT a || ',' || b AS items, freq FROM c, n WHERE freq / n::DOUBLE >= 0.01::DOUBLE AND a IN (SELECT item FROM b GROUP BY item HAVING count(*) / (SELECT n FROM n)::DOUBLE >= 0.01::DOUBLE)")
+@query("m4_brand_baskets", _BRANDS)
 def m4_brand_baskets(spark, sf_dir):
-    """Longer baskets: brands bought together in an order; pairs are reported."""
+    """Longer baskets: brands bought together in an order (seven lines at most)."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     baskets = rows.groupBy(F.col("l_orderkey").alias("tid")).agg(F.array_sort(F.collect_set("p_brand")).alias("items"))
-    return mining.apriori(baskets, 0.01, max_size=2).where("k = 2").select(_text("items"), "freq")
+    return mining.apriori(baskets, 0.002).select(_text("items"), "k", "freq")
