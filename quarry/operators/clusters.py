@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -16,6 +17,8 @@ from quarry.operators.rank import order_stats
 from quarry.session import materialize
 
 GRID_COLUMNS = 3
+CELL_BLOCK = 20_000
+BROADCAST_CELLS = 100_000
 
 
 def random_centroids(points: DataFrame, k: int, seed: int = 1) -> list[list[float]]:
@@ -30,9 +33,10 @@ def spread_centroids(points: DataFrame, k: int, metric, first: int | None = None
     first = points.agg(F.min("id")).first()[0] if first is None else first
     seed = list(points.where(F.col("id") == first).first()["v"])
     away = assigned(points, [seed], metric).select("id", "distance")
-    n = away.count()
-    ranks = [int(n / k * i) - 1 for i in range(k, 0, -1)][: k - 1]
-    at = order_stats(away, "distance", ranks)
+    away = materialize(away, "away")
+    ranks_of = lambda n: [int(n / k * i) - 1 for i in range(k, 0, -1)][: k - 1]
+    n, at = order_stats(away, {"distance": F.col("distance")}, ranks_of)["distance"]
+    ranks = ranks_of(n)
     out = [seed]
     for r in ranks:
         pick = away.where(F.col("distance") == at[r]).agg(F.min("id")).first()[0]
@@ -58,7 +62,9 @@ def assigned(points: DataFrame, centroids: list[list[float]], metric) -> DataFra
 def kmeans(points: DataFrame, centroids: list[list[float]], metric=2, max_iterations: int = 100, tolerance: float = 1e-4) -> list[list[float]]:
     """Centroids after the moves' total length falls under the tolerance, or after
     max_iterations. Centroids are means whatever the metric; one that loses all its
-    points stays. Each round is one job with one small shuffle."""
+    points stays. Points are written to the shared folder once; each round is one job
+    with one small shuffle."""
+    points = materialize(points.select("id", "v"), "points")
     now = np.array(centroids, float)
     dim = now.shape[1]
     for _ in range(max_iterations):
@@ -72,29 +78,59 @@ def kmeans(points: DataFrame, centroids: list[list[float]], metric=2, max_iterat
     return now.tolist()
 
 
-def neighbours_within(points: DataFrame, radius: float, p: int = 2) -> DataFrame:
-    """(a, b) of all pairs of points (id, v) at a Minkowski distance of at most
-    radius, each pair both ways, and every point with itself.
+def unit_points(points: DataFrame) -> DataFrame:
+    """Points (id, v) with vectors of length one; zero vectors, whose cosine is not
+    defined, have a null v."""
+    v = F.transform("v", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return points.select("id", F.when(norm > 0, F.transform(v, lambda x: x / norm)).alias("v"))
 
-    Points meet in grid cells of the radius over their first GRID_COLUMNS
-    coordinates: one side visits the neighbouring cells.
+
+def neighbours_within(points: DataFrame, radius: float, p: int | str = 2, block: int = CELL_BLOCK) -> DataFrame:
+    """(a, b) of all pairs of points (id, v) at a Minkowski distance of order p of at
+    most radius, each pair both ways, and every point with itself; or, with p
+    "cosine", at a cosine distance of at most radius (a point without a direction
+    has only itself).
+
+    A cosine distance of r is a Euclidean one of sqrt(2 r) between unit vectors, so
+    those are joined, and the distance is taken from the dot product. Points meet in
+    grid cells of the radius over their first GRID_COLUMNS coordinates: one side
+    visits the neighbouring cells. The points of a crowded cell are dealt into blocks
+    of about `block`, and its visitors go to each block, so no task holds a cell.
     """
-    dim = points.select(F.max(F.size("v"))).first()[0] or 0
+    cosine = p == "cosine"
+    reach = math.sqrt(2 * radius) * (1 + 1e-9) if cosine else radius
+    given = unit_points(points) if cosine else points.select("id", "v")
+    placed = given.where("v is not null")
+    dim = placed.select(F.max(F.size("v"))).first()[0] or 0
     used = min(GRID_COLUMNS, dim)
-    cell = F.array(*[F.floor(F.col("v")[i] / radius) for i in range(used)])
+    cell = F.array(*[F.floor(F.col("v")[i] / reach) for i in range(used)])
     moves = F.array(*[F.array(*[F.lit(x).cast("long") for x in m]) for m in product((-1, 0, 1), repeat=used)])
-    home = points.select(F.col("id").alias("a"), F.col("v").alias("va"), cell.alias("cell"))
-    visits = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.transform(moves, lambda m: F.zip_with(cell, m, lambda x, y: x + y))).alias("cell"))
-    terms = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.pow(F.abs(x.cast("double") - y.cast("double")), F.lit(float(p)))), F.lit(0.0), lambda s, x: s + x)
-    distance = terms if p == 1 else F.pow(terms, F.lit(1.0 / p))
-    return home.join(visits, "cell").where(distance <= radius).select("a", "b")
-
-
-def dbscan(points: DataFrame, radius: float, min_points: int, p: int = 2) -> DataFrame:
+    home = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), cell.alias("cell"))
+    crowds = home.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).where("blocks > 1")
+    crowds = materialize(crowds, "crowds")
+    few = crowds.count() <= BROADCAST_CELLS
+    joined = lambda side: side.join(F.broadcast(crowds) if few else crowds, "cell", "left")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    home = joined(home).withColumn("block", F.pmod(F.xxhash64("a"), blocks)).drop("blocks")
+    visits = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.transform(moves, lambda m: F.zip_with(cell, m, lambda x, y: x + y))).alias("cell"))
+    visits = joined(visits).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("blocks")
+    if cosine:
+        near = 1 - F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) <= radius
+    else:
+        terms = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.pow(F.abs(x.cast("double") - y.cast("double")), F.lit(float(p)))), F.lit(0.0), lambda s, x: s + x)
+        near = (terms if p == 1 else F.pow(terms, F.lit(1.0 / p))) <= radius
+    pairs = home.join(visits, ["cell", "block"]).where(near | (F.col("a") == F.col("b"))).select("a", "b")
+    alone = given.where("v is null").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return pairs.union(alone)
+
+
+def dbscan(points: DataFrame, radius: float, min_points: int, p: int | str = 2) -> DataFrame:
     """(id, cluster): clusters of density from 1 in the order of their smallest core
     id, noise -1. A point within the radius of at least min_points points, itself
     included, is a core; cores within the radius of each other share a cluster; any
-    other point takes the first cluster that has a core within its radius."""
+    other point takes the first cluster that has a core within its radius. p is the
+    order of a Minkowski distance, or "cosine"."""
     near = materialize(neighbours_within(points, radius, p), "near")
     cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core"))
     cores = materialize(cores, "cores")
