@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"connected components not settled after {MOST_ROUNDS} rounds")
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return loops.distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
