@@ -147,10 +147,29 @@ def l5_decision_tree(spark, sf_dir):
 def l7_random_forest(spark, sf_dir):
     """L6 and L7."""
     train, test = evaluate.split(filled(spark, sf_dir), "id")
-    nodes = trees.grow(train, FEATURES, "label", "id", trees=10, max_depth=4, features_per_node=2)
+    nodes = trees.grow(train, FEATURES, "label", "id", trees=30, max_depth=6, features_per_node=2)
     return trees.predict(test, nodes, FEATURES, "id")
 
 
+@query("l9_tree_sweep")
+def l9_tree_sweep(spark, sf_dir):
+    """Depths without limit and 5 to 12, least splits 2 to 6, by one growth."""
+    train, test = evaluate.split(filled(spark, sf_dir), "id")
+    return trees.sweep(train, test, FEATURES, "label", "id", depths=[None, 5, 8, 10, 12], min_splits=[2, 3, 4, 5, 6])
+
+
+@query("l9_forest_sweep")
+def l9_forest_sweep(spark, sf_dir):
+    """Depths, least splits and numbers of trees of a forest by one growth for each
+    number of features a node may choose from."""
+    train, test = evaluate.split(filled(spark, sf_dir), "id")
+    parts = [
+        trees.sweep(train, test, FEATURES, "label", "id", depths=[2, 4, 6], min_splits=[2, 4, 6], counts=[20, 50, 70], features_per_node=k).withColumn("features", F.lit(k))
+        for k in (2, 4)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("c4_assign", f"WITH {_V}, c AS (SELECT id AS k, v FROM e WHERE id < 3), d AS (SELECT e.id, c.k, list_sum(list_transform(list_zip(e.v, c.v), lambda p: abs(p[1] - p[2]))) AS d FROM e, c) SELECT id, k::INTEGER AS cluster, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS r FROM d) WHERE r = 1")
 def c4_assign(spark, sf_dir):
     """C4: to three given centroids by the Manhattan distance."""
@@ -163,14 +182,14 @@ def c4_assign(spark, sf_dir):
 def c1_kmeans(spark, sf_dir):
     """C1 and C3."""
     rows = _vectors(spark, sf_dir)
-    found = clusters.kmeans(rows, clusters.spread_centroids(rows, 3, 1), 1, 20)
+    found = clusters.kmeans(rows, clusters.spread_centroids(rows, 3, 1), 1, 500)
     return clusters.assigned(rows, found, 1).select("id", "cluster")
 
 
 @query("c2_kmeans_random")
 def c2_kmeans_random(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    found = clusters.kmeans(rows, clusters.random_centroids(rows, 3), 2, 20)
+    found = clusters.kmeans(rows, clusters.random_centroids(rows, 3), 2, 500)
     return clusters.assigned(rows, found, 2).select("id", "cluster")
 
 

@@ -132,13 +132,82 @@ def test_tree_against_recursion(spark):
     y = ((x[:, 0] > 3).astype(int) + (x[:, 1] > 5)) * (rng.random(120) > 0.1)
     rows = [(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, label int")
-    nodes = trees.grow(df, ["a", "b", "c"], "label", "id", max_depth=3)
-    got = {r.id: r.prediction for r in trees.predict(df, nodes, ["a", "b", "c"], "id").collect()}
     plain = grown([(tuple(r[1:4]), r[4]) for r in rows], 0, 3)
-    assert got == {r[0]: plain(r[1:4]) for r in rows}
-    forest = trees.grow(df, ["a", "b", "c"], "label", "id", trees=5, max_depth=3, features_per_node=2)
-    votes = {r.id: r.prediction for r in trees.predict(df, forest, ["a", "b", "c"], "id").collect()}
-    assert np.mean([votes[r[0]] == r[4] for r in rows]) > 0.75
+    for local in (0, 30, 1000):
+        nodes = trees.grow(df, ["a", "b", "c"], "label", "id", max_depth=3, local_rows=local)
+        got = {r.id: r.prediction for r in trees.predict(df, nodes, ["a", "b", "c"], "id").collect()}
+        assert got == {r[0]: plain(r[1:4]) for r in rows}, local
+
+
+def forest_by_hand(spark, df, rows, names, count, depth, k, seed=42):
+    """Predictions of a forest by plain recursion, with the bootstraps and the draws of
+    features that the seed gives."""
+    weights = {}
+    for t in range(count):
+        for r in df.select("id", trees._poisson(F.lit(t), "id", seed).alias("w")).collect():
+            weights[t, r.id] = r.w
+    votes = {r[0]: [] for r in rows}
+    for t in range(count):
+        held = [r for r in rows for _ in range(weights[t, r[0]])]
+
+        def tree(part, node, d):
+            y = [r[-1] for r in part]
+            leaf = min(c for c in set(y) if y.count(c) == max(map(y.count, set(y))))
+            best = None
+            if len(part) >= 2 and d < depth:
+                for f in trees._drawn(seed, t, node, len(names), k):
+                    for cut in sorted({r[1 + f] for r in part}):
+                        a, b = [r[-1] for r in part if r[1 + f] <= cut], [r[-1] for r in part if r[1 + f] > cut]
+                        if a and b:
+                            gain = round(gini(y) - len(a) / len(y) * gini(a) - len(b) / len(y) * gini(b), 12)
+                            if best is None or gain > best[0]:
+                                best = (gain, f, cut)
+            if best is None or best[0] <= 0:
+                return lambda r: leaf
+            _, f, cut = best
+            a, b = (tree([r for r in part if (r[1 + f] <= cut) == s], 2 * node + 1 - s, d + 1) for s in (True, False))
+            return lambda r: a(r) if r[1 + f] <= cut else b(r)
+
+        root = tree(held, 1, 0)
+        for r in rows:
+            votes[r[0]].append(root(r))
+    return {i: min(c for c in set(v) if v.count(c) == max(map(v.count, set(v)))) for i, v in votes.items()}
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_forest_against_recursion(spark, local):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (90, 3)).astype(float)
+    y = ((x[:, 0] > 2).astype(int) + (x[:, 1] > 3)) * (rng.random(90) > 0.15)
+    rows = [(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label int")
+    nodes = trees.grow(df, ["a", "b", "c"], "label", "id", trees=4, max_depth=3, features_per_node=2, local_rows=local)
+    got = {r.id: r.prediction for r in trees.predict(df, nodes, ["a", "b", "c"], "id").collect()}
+    assert got == forest_by_hand(spark, df, rows, "abc", 4, 3, 2)
+
+
+def test_sweep_against_single_fits(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 5, (80, 2)).astype(float)
+    y = ((x.sum(1) > 4).astype(int)) * (rng.random(80) > 0.2)
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, a double, b double, label int")
+    train, test = df.where("id < 60"), df.where("id >= 60")
+    truth = {r.id: r.label for r in test.collect()}
+    for counts, k in ([1], None), ([2, 3], 1):
+        found = {(r.max_depth, r.min_split, r.trees): r.accuracy for r in trees.sweep(train, test, ["a", "b"], "label", "id", depths=[2, None], min_splits=[2, 12], counts=counts, features_per_node=k).collect()}
+        assert len(found) == 4 * len(counts)
+        for (depth, least, n), accuracy in found.items():
+            nodes = trees.grow(train, ["a", "b"], "label", "id", trees=max(counts), max_depth=depth, min_split=least, features_per_node=k)
+            got = trees.predict(test, nodes.where(F.col("tree") < n), ["a", "b"], "id").collect()
+            assert accuracy == pytest.approx(np.mean([truth[r.id] == r.prediction for r in got])), (depth, least, n)
+
+
+def test_values_in_buckets_give_the_same_split(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(0, 1, 1, int(a + b > 1), float(a), float(b)) for a, b in rng.random((400, 2))], "tree int, node long, w int, label int, a double, b double")
+    cuts = {0: [0.2, 0.4, 0.7], 1: [0.5]}
+    assert trees.best_splits(df, ["a", "b"], [0, 1], cuts=cuts).collect() == trees.best_splits(df, ["a", "b"], [0, 1]).collect()
+    assert set(trees.value_cuts(df, ["a", "b"], bucket_values=100)) == {0, 1}
 
 
 def test_clusters(spark):
