@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -141,12 +142,30 @@ def equal_width(df: DataFrame, column: str, bins: int | None = None) -> DataFram
     return joined.withColumn(column, F.when(x == row["b"], x).otherwise(F.col("__m"))).select(*df.columns)
 
 
-def regression_repair(df: DataFrame, columns: list[str], others: list[str]) -> DataFrame:
-    """Outliers of each column in turn become predictions of a linear regression
-    with intercept on all other columns and `others`, fitted to the inliers; later
-    columns see earlier repairs. One pass a column for centred sums; the normal
-    equations are solved by least squares of least norm."""
-    out = df
+@dataclass
+class Repair:
+    """How outliers of a column are repaired: the bounds of its inliers, and a linear
+    prediction from other columns."""
+
+    column: str
+    low: float
+    high: float
+    intercept: float
+    weights: dict[str, float]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        guess = F.lit(self.intercept)
+        for x, w in self.weights.items():
+            guess = guess + F.lit(w) * F.col(x).cast("double")
+        return df.withColumn(self.column, F.when(is_outlier(self.column, (self.low, self.high)), guess).otherwise(F.col(self.column)))
+
+
+def fit_repairs(df: DataFrame, columns: list[str], others: list[str]) -> list[Repair]:
+    """A repair for each column in turn, fitted after the earlier ones are applied: a
+    linear regression with intercept on all other columns and `others`, over the
+    rows where the column is no outlier. One pass a column for centred sums; the
+    normal equations are solved by least squares of least norm."""
+    out, repairs = df, []
     for c in columns:
         bounds = fences(out, [c]).get(c)
         if not bounds:
@@ -166,11 +185,17 @@ def regression_repair(df: DataFrame, columns: list[str], others: list[str]) -> D
             right[i] = next(row)
         scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
         beta = np.linalg.lstsq(gram / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale
-        guess = F.lit(float(means[c]))
-        for x, b in zip(xs, beta):
-            guess = guess + F.lit(float(b)) * (F.col(x).cast("double") - F.lit(float(means[x])))
-        out = out.withColumn(c, F.when(is_outlier(c, bounds), guess).otherwise(F.col(c)))
-    return out
+        intercept = float(means[c]) - sum(float(b) * float(means[x]) for x, b in zip(xs, beta))
+        repairs.append(Repair(c, float(bounds[0]), float(bounds[1]), intercept, {x: float(b) for x, b in zip(xs, beta)}))
+        out = repairs[-1].apply(out)
+    return repairs
+
+
+def regression_repair(df: DataFrame, columns: list[str], others: list[str]) -> DataFrame:
+    """Outliers of each column in turn become the predictions of fit_repairs."""
+    for repair in fit_repairs(df, columns, others):
+        df = repair.apply(df)
+    return df
 
 
 def min_max(df: DataFrame, columns: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:

@@ -45,8 +45,9 @@ def matrix(part: pd.DataFrame) -> np.ndarray:
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric) -> DataFrame:
     """(id, other, tag, distance, rank): the k nearest of rows to each query, ties
-    to the smaller id. Both sides are (id, v, tag); the tag is that of the other.
-    Every block yields its own k nearest, which are then merged."""
+    to the smaller id; a row of the query's own id is none of them. Both sides are
+    (id, v, tag); the tag is that of the other. Every block yields its own k nearest,
+    which are then merged."""
     kind = dict(rows.dtypes)["tag"]
 
     def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -54,11 +55,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric) -> DataFrame:
         if len(a) and len(b):
             b = b.sort_values("id")
             d = distances(matrix(a), matrix(b), metric)
+            d[np.isnan(d)] = np.inf
+            d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.nan  # sorts last
             at = np.argsort(d, axis=1, kind="stable")[:, :k]
             out = {"id": np.repeat(a.id.to_numpy(), at.shape[1]), "other": b.id.to_numpy()[at].ravel(), "tag": b.tag.to_numpy()[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()}
         return pd.DataFrame(out)
 
-    found = by_block_pairs(queries, rows, top, f"id long, other long, tag {kind}, distance double")
+    found = by_block_pairs(queries, rows, top, f"id long, other long, tag {kind}, distance double").where("id <> other")
     order = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -96,9 +99,13 @@ def cluster_distances(points: DataFrame, metric) -> DataFrame:
     return whole.groupBy("id", "own").agg(F.max(F.when(mine, F.col("n"))).alias("size"), a.alias("a"), F.coalesce(F.min(F.when(~mine, F.col("s") / F.col("n"))), F.lit(0.0)).alias("b"))
 
 
-def silhouette(points: DataFrame, metric) -> DataFrame:
+def silhouette(points: DataFrame, metric, sample: float | None = None, seed: int = 1) -> DataFrame:
     """One row: silhouette (mean), sum_a and sum_b (points alone in their cluster
-    add nothing to either)."""
+    add nothing to either). The work grows with the square of the points; with a
+    sample (a share of them, by a seeded hash of the id) it is an estimate from the
+    points drawn, each held against the others drawn."""
+    if sample is not None:
+        points = points.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(sample * (1 << 30)))
     per = cluster_distances(points, metric)
     alone = F.col("size") == 1
     s = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,29 +36,48 @@ def clean_periods(df: DataFrame, measures: list[str], repair: str = "winsorize")
     return out
 
 
-def fit_cleaning(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Parameters (column, class_means as JSON, low, high, least, most) learnt from
-    a table: class means of valid values, linear fences, and the bounds after
-    values beyond the fences are moved to them."""
+def fit_cleaning(df: DataFrame, columns: list[str], label: str, threshold: float = 0.75) -> DataFrame:
+    """What cleaning learns from a table, one row a column, in order: (place, column,
+    class_means as JSON, repair as JSON, dropped, least, most). The steps are those
+    of clean_observations, but for regressions that do not look at the label, which
+    new rows may lack: class means of valid values; a repair of outliers from the
+    other columns; which columns correlate; the bounds of what is left."""
     means = {str(r[label]): r for r in df.groupBy(label).agg(*[F.avg(value(c)).alias(c) for c in columns]).collect()}
-    bounds = cleaning.fences(df.select(*[value(c).alias(c) for c in columns]), columns)
-    inside = {c: F.least(F.greatest(value(c), F.lit(bounds[c][0])), F.lit(bounds[c][1])) for c in columns}
-    row = df.agg(*[F.min(e).alias(f"a_{c}") for c, e in inside.items()], *[F.max(e).alias(f"b_{c}") for c, e in inside.items()]).first()
-    rows = [(c, json.dumps({k: r[c] for k, r in means.items()}), *map(float, bounds[c]), row[f"a_{c}"], row[f"b_{c}"]) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "column string, class_means string, low double, high double, least double, most double")
+    filled = materialize(cleaning.impute_class_mean(df, columns, label).select(label, *columns), "filled")
+    repairs = cleaning.fit_repairs(filled, columns, [])
+    for repair in repairs:
+        filled = repair.apply(filled)
+    filled = materialize(filled, "repaired").select(label, *columns).distinct()
+    gone = cleaning.correlated_columns(filled, columns, label, threshold)
+    row = filled.agg(*[F.min(c).alias(f"a_{c}") for c in columns], *[F.max(c).alias(f"b_{c}") for c in columns]).first()
+    known = {r.column: json.dumps(asdict(r)) for r in repairs}
+    rows = [(i, c, json.dumps({k: r[c] for k, r in means.items()}), known.get(c), c in gone, row[f"a_{c}"], row[f"b_{c}"]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "place int, column string, class_means string, repair string, dropped boolean, least double, most double")
 
 
 def apply_cleaning(df: DataFrame, params: DataFrame, label: str | None = None) -> DataFrame:
-    """Clean any rows with learnt parameters: fill (by the class, or the mean of
-    the class means where there is no label), move to the learnt bounds, scale."""
-    out = {}
-    for p in params.collect():
+    """Clean any rows with what fit_cleaning learnt: fill (by the class, or the mean of
+    the class means where there is no label or an unknown one), repair outliers, drop
+    correlated columns, scale by the learnt bounds; what lies beyond them is moved to
+    them, so all values are within [0, 1]. Every row of df has its row."""
+    learnt = params.orderBy("place").collect()
+    fills = {}
+    for p in learnt:
         means = {k: v for k, v in json.loads(p["class_means"]).items() if v is not None}
-        overall = sum(means.values()) / len(means) if means else 0.0
-        fill = F.lit(overall)
-        if label:
-            table = F.create_map(*[x for k, v in means.items() for x in (F.lit(k), F.lit(v))]) if means else F.create_map().cast("map<string,double>")
-            fill = F.coalesce(table[F.col(label).cast("string")], F.lit(overall))
-        x = F.least(F.greatest(F.coalesce(value(p["column"]), fill), F.lit(p["least"])), F.lit(p["most"]))
-        out[p["column"]] = F.try_divide(x - F.lit(p["least"]), F.lit(p["most"]) - F.lit(p["least"]))
-    return df.withColumns(out)
+        overall = F.lit(sum(means.values()) / len(means) if means else 0.0)
+        fill = overall
+        if label and means:
+            table = F.create_map(*[x for k, v in means.items() for x in (F.lit(k), F.lit(v))])
+            fill = F.coalesce(F.try_element_at(table, F.col(label).cast("string")), overall)
+        fills[p["column"]] = F.coalesce(value(p["column"]), fill)
+    out = df.withColumns(fills)
+    for p in learnt:
+        if p["repair"]:
+            out = cleaning.Repair(**json.loads(p["repair"])).apply(out)
+    out = out.drop(*[p["column"] for p in learnt if p["dropped"]])
+    scaled = {}
+    for p in learnt:
+        if not p["dropped"]:
+            x = F.least(F.greatest(F.col(p["column"]), F.lit(p["least"])), F.lit(p["most"]))
+            scaled[p["column"]] = F.try_divide(x - F.lit(p["least"]), F.lit(p["most"]) - F.lit(p["least"]))
+    return out.withColumns(scaled)

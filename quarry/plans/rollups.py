@@ -144,7 +144,30 @@ def t15_impute_mode(spark, sf_dir):
     return cleaning.impute_by_period(rows, ["tests"], "period", "zone", "mode", "id").select("zone", "period", "tests")
 
 
-@query("t17_clean_periods")
+_ROLLED = "CASE WHEN end_text < start_text THEN (end_text + INTERVAL 12 MONTH)::DATE ELSE end_text END AS end_text"
+
+
+@query("t14_roll_over", f"WITH {_INTERVALS}, placed AS (SELECT *, (SELECT min(year) FROM years WHERE period BETWEEN low AND high) AS year FROM periods), repaired AS (SELECT zone, period, {_DATE.format('start_text')}, {_DATE.format('end_text')} FROM placed) SELECT zone, period, start_text, {_ROLLED} FROM repaired")
+def t14_roll_over(spark, sf_dir):
+    """T14 where ends that cross New Year roll over into the next year."""
+    out = rollup.repair_dates(periods(spark, sf_dir), "period", ["start_text", "end_text"], roll_over=True)
+    return out.select("zone", "period", "start_text", "end_text")
+
+
+def _winsorized(c: str) -> str:
+    mean = lambda a, b: f"(max(CASE WHEN r = {a} THEN {c} END) + max(CASE WHEN r = {b} THEN {c} END)) / 2"
+    return f"""q_{c} AS (SELECT {mean('n // 4 - 1', 'n // 4')} AS q1, {mean('3 * n // 4 - 1', '3 * n // 4')} AS q3,
+  (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM imputed) * 1.5::DOUBLE AS reach, (SELECT quantile_cont({c}, 0.2) FROM imputed) AS p20, (SELECT quantile_cont({c}, 0.5) FROM imputed) AS p50, (SELECT quantile_cont({c}, 0.8) FROM imputed) AS p80
+  FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM imputed WHERE {c} IS NOT NULL AND ({c} = 0 OR {c} >= 1e-4::DOUBLE)))"""
+
+
+def _moved(c: str) -> str:
+    pick = lambda x: f"(SELECT {x} FROM q_{c})"
+    return f"round(CASE WHEN {c} > {pick('q3')} + {pick('reach')} OR {c} < {pick('q1')} - {pick('reach')} THEN CASE WHEN {c} < {pick('p20')} THEN {pick('p20')} WHEN {c} > {pick('p80')} THEN {pick('p80')} ELSE {pick('p50')} END ELSE {c} END, 4) AS {c}"
+
+
+@query("t17_clean_periods", f"WITH {_INTERVALS}, placed AS (SELECT *, (SELECT min(year) FROM years WHERE period BETWEEN low AND high) AS year FROM periods), repaired AS (SELECT zone, period, population, {_DATE.format('start_text')}, {_DATE.format('end_text')}, {', '.join(MEASURES)} FROM placed), imputed AS (SELECT zone, period, population, start_text, end_text, " + ", ".join(f"coalesce({c}, avg({c}) OVER (PARTITION BY period), avg({c}) OVER (PARTITION BY zone)) AS {c}" for c in MEASURES) + " FROM repaired), " + ", ".join(_winsorized(c) for c in MEASURES) + " SELECT zone, period, population, start_text, end_text, " + ", ".join(_moved(c) for c in MEASURES) + " FROM imputed")
 def t17_clean_periods(spark, sf_dir):
     """Dates, then imputation, then winsorised measures."""
-    return clean_periods(periods(spark, sf_dir), MEASURES)
+    out = clean_periods(periods(spark, sf_dir), MEASURES)
+    return out.withColumns({c: F.round(c, 4) for c in MEASURES})

@@ -1,10 +1,10 @@
 import pytest
 
 import __spark_entry__
-from quarry.plans import learning, mining, profiling, rollups
+from quarry.plans import files, learning, mining, profiling, rollups
 from tests.compare import same
 
-MODULES = (rollups, profiling, mining, learning)
+MODULES = (rollups, profiling, mining, learning, files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 
