@@ -139,14 +139,15 @@ def test_tree_against_recursion(spark):
         assert got == {r[0]: plain(r[1:4]) for r in rows}, local
 
 
-def forest_by_hand(spark, df, rows, names, count, depth, k, seed=42):
+def forest_by_hand(spark, df, rows, names, count, depth, k, seed=42, apply_to=None):
     """Predictions of a forest by plain recursion, with the bootstraps and the draws of
     features that the seed gives."""
     weights = {}
     for t in range(count):
         for r in df.select("id", trees._poisson(F.lit(t), "id", seed).alias("w")).collect():
             weights[t, r.id] = r.w
-    votes = {r[0]: [] for r in rows}
+    judged = apply_to or rows
+    votes = {r[0]: [] for r in judged}
     for t in range(count):
         held = [r for r in rows for _ in range(weights[t, r[0]])]
 
@@ -169,7 +170,7 @@ def forest_by_hand(spark, df, rows, names, count, depth, k, seed=42):
             return lambda r: a(r) if r[1 + f] <= cut else b(r)
 
         root = tree(held, 1, 0)
-        for r in rows:
+        for r in judged:
             votes[r[0]].append(root(r))
     return {i: min(c for c in set(v) if v.count(c) == max(map(v.count, set(v)))) for i, v in votes.items()}
 
