@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -33,11 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     loops = now.select(F.col("a").alias("node")).union(now.select(F.col("b").alias("node")))
-    first = materialize(now.where("a <> b").distinct(), "edges")
-    now, before = first, None
+    now, before = materialize(now.where("a <> b").distinct(), "edges"), None
     for _ in range(MOST_ROUNDS):
-        now = _star(_star(now, large=True).distinct(), large=False).distinct()
-        now = materialize(now, "edges")
+        old = now
+        now = materialize(_star(_star(now, large=True).distinct(), large=False).distinct(), "edges")
+        discard(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
