@@ -133,8 +133,8 @@ def _frequent(docs: DataFrame, words: int, sample: int, column: int, most: int)
     counts = part.mapInArrow(explode, "g long").groupBy("g").count()
     least = max(3, column // sample)
     top = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "g").limit(most)
-    rows = top.collect()
-    found, times = (np.array([r[c] for r in rows], np.int64) for c in ("g", "count"))
+    rows = top.toArrow()
+    found, times = (rows.column(c).to_numpy().astype(np.int64) for c in ("g", "count"))
     by_count = np.lexsort((found, times))
     place = np.empty(len(found), np.int64)
     place[by_count] = np.arange(len(found))
