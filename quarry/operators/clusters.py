@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,19 +60,43 @@ def assigned(points: DataFrame, centroids: list[list[float]], metric) -> DataFra
     return points.select("id", "v").mapInPandas(run, f"id {kind['id']}, v {kind['v']}, cluster int, distance double")
 
 
+def cluster_means(points: DataFrame, centroids: np.ndarray, metric) -> dict[int, np.ndarray]:
+    """The means of the points nearest to each centroid. A task adds up its points;
+    only sums are moved."""
+    k, dim = centroids.shape
+
+    def add_up(batches):
+        n, sums = np.zeros(k, np.int64), np.zeros((k, dim))
+        for batch in batches:
+            v = batch.column("v")
+            if len(v):
+                x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), dim)
+                d = distances(x, centroids, metric)
+                at = np.where(np.isnan(d), np.inf, d).argmin(1)
+                for j in np.unique(at):
+                    n[j] += (at == j).sum()
+                    sums[j] += x[at == j].sum(0)
+        yield pa.RecordBatch.from_pydict({"cluster": pa.array(range(k), pa.int32()), "n": pa.array(n), "s": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+
+    parts = points.select("v").mapInArrow(add_up, "cluster int, n long, s array<double>").where("n > 0")
+    sums = parts.select("cluster", "n", F.posexplode("s").alias("i", "x")).groupBy("cluster", "i").agg((F.sum("x") / F.sum("n")).alias("mean"))
+    means: dict[int, np.ndarray] = {}
+    for r in sums.collect():  # one number for each centroid and dimension
+        means.setdefault(r["cluster"], np.zeros(dim))[r["i"]] = r["mean"]
+    return means
+
+
 def kmeans(points: DataFrame, centroids: list[list[float]], metric=2, max_iterations: int = 100, tolerance: float = 1e-4) -> list[list[float]]:
     """Centroids after the moves' total length falls under the tolerance, or after
     max_iterations. Centroids are means whatever the metric; one that loses all its
     points stays. Points are written to the shared folder once; each round is one job
     with one small shuffle."""
-    points = materialize(points.select("id", "v"), "points")
+    points = materialize(points.select("id", F.col("v").cast("array<double>").alias("v")), "points")
     now = np.array(centroids, float)
-    dim = now.shape[1]
     for _ in range(max_iterations):
-        means = assigned(points, now.tolist(), metric).groupBy("cluster").agg(*[F.avg(F.col("v")[i].cast("double")).alias(f"m{i}") for i in range(dim)])
         moved = now.copy()
-        for r in means.collect():
-            moved[r["cluster"]] = [r[f"m{i}"] for i in range(dim)]
+        for cluster, mean in cluster_means(points, now, metric).items():
+            moved[cluster] = mean
         shift, now = float(np.linalg.norm(moved - now)), moved
         if shift < tolerance:
             break
