@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, lattice, licenses, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from quarry.llm import decontaminate, langid, lattice, licenses, mixing, ngram_join, periodic, quality, sharding, token_counts, toxicity
 from quarry.llm.sql import OP2_SQL, OP8_SQL, OP9_SQL, OP10_SQL
 from quarry.llm.tables import is_held_out, table
 
@@ -87,6 +89,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, weights)
 
 
+def planted(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of a document, or of one in ten by its id: words from some place on
+    repeat with a period. A row without an id keeps its words."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("rest"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumns({"best": best, "lines": lines})
+    length, period = F.col("best.length"), -F.col("best.rest")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("(1000 * best.length) div -best.rest").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -99,6 +131,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,
         "op10_mixing": op10_mixing,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
