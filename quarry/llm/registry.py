@@ -7,8 +7,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, lattice, licenses, mixing, ngram_join, periodic, quality, sharding, token_counts, toxicity
-from quarry.llm.sql import OP2_SQL, OP8_SQL, OP9_SQL, OP10_SQL
+from quarry.llm import ball_tree, decontaminate, langid, lattice, licenses, mixing, ngram_join, periodic, quality, sharding, token_counts, toxicity
+from quarry.llm.sql import OP2_SQL, OP8_SQL, OP9_SQL, OP10_SQL, OP12_SQL
 from quarry.llm.tables import is_held_out, table
 
 
@@ -119,6 +119,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -132,8 +136,9 @@ def queries() -> dict:
         "op9_decontaminate": op9_decontaminate,
         "op10_mixing": op10_mixing,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_lattice": OP2_SQL, "op8_ngram_join": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_lattice": OP2_SQL, "op8_ngram_join": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_mixing": OP10_SQL, "op12_ranked_search": OP12_SQL}

@@ -101,3 +101,27 @@ SELECT b.doc_id, b.source, b.block, b.place, b.round * 1000 + s.at AS slot,
        b.round * 1000 + (b.k * 1000) // b.q AS release, b.round * 1000 + ((b.k + 1) * 1000 + b.q - 1) // b.q AS deadline
 FROM blocks b JOIN slots s ON s.source = coalesce(b.source, '') AND s.k = b.k
 """
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS place, {_TERMS} AS w FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), s AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM t WHERE len(w) > 0
+), tf AS (
+  SELECT doc_id, place, n, term, count(*) AS tf FROM (SELECT doc_id, place, len(w) AS n, unnest(w) AS term FROM t) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), x AS (
+  SELECT doc_id, place, term, ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))
+         * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS v
+  FROM tf JOIN df USING (term), s
+), scores AS (
+  SELECT item_id, doc_id, place, sum(v)::BIGINT AS score FROM q JOIN x USING (term) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
