@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ball_tree, decontaminate, langid, lattice, licenses, mixing, ngram_join, periodic, quality, sharding, token_counts, toxicity
+from quarry.llm import ball_tree, decontaminate, langid, lattice, licenses, mixing, ngram_join, periodic, quality, secret_scan, sharding, token_counts, toxicity
 from quarry.llm.sql import OP2_SQL, OP8_SQL, OP9_SQL, OP10_SQL, OP12_SQL
 from quarry.llm.tables import is_held_out, table
 
@@ -123,6 +123,19 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan_secrets(docs, secret_scan.word_ranks(docs))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(joined(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -137,6 +150,7 @@ def queries() -> dict:
         "op10_mixing": op10_mixing,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_ranked_search": op12_ranked_search,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
