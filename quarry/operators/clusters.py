@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.graph import connected_components
 from quarry.operators.evaluate import place
-from quarry.operators.pairwise import distances
 from quarry.operators.rank import order_stats
+from quarry.operators.vectors import distances
 from quarry.session import materialize
 
 GRID_COLUMNS = 3

@@ -9,19 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = 2_000
-
+from quarry.operators.vectors import distances
 
-def distances(a: np.ndarray, b: np.ndarray, metric) -> np.ndarray:
-    """Distances of every row of a to every row of b: "cosine", or the order p of
-    a Minkowski distance. A cosine with a zero vector is nan."""
-    if metric == "cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return 1 - (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
-    out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):  # one column at a time keeps the block two-dimensional
-        out += np.abs(a[:, k][:, None] - b[:, k][None, :]) ** metric
-    return out if metric == 1 else out ** (1 / metric)
+ROWS = 2_000
 
 
 def by_block_pairs(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows: int = ROWS) -> DataFrame:
@@ -76,37 +66,3 @@ def vote(neighbours: DataFrame, k: int) -> DataFrame:
 def knn(queries: DataFrame, train: DataFrame, k: int = 3, metric=2) -> DataFrame:
     """k-nearest-neighbour classes of the queries; train's tag is its class."""
     return vote(nearest(queries, train, k, metric), k)
-
-
-def cluster_distances(points: DataFrame, metric) -> DataFrame:
-    """(id, own, a, b): of every point its cluster (tag), the mean distance to its
-    cluster's others and the least mean distance to another cluster (0 where there
-    is none)."""
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            d = distances(matrix(a), matrix(b), metric)
-            for tag in np.unique(b.tag):
-                mask = (b.tag == tag).to_numpy()
-                out.append(pd.DataFrame({"id": a.id, "own": a.tag, "other": tag, "s": d[:, mask].sum(1), "n": int(mask.sum())}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "own": [], "other": [], "s": [], "n": []})
-
-    parts = by_block_pairs(points, points, sums, "id long, own int, other int, s double, n long")
-    whole = parts.groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    mine = F.col("own") == F.col("other")
-    a = F.max(F.when(mine, F.coalesce(F.try_divide(F.col("s"), F.col("n") - 1), F.lit(0.0))))
-    return whole.groupBy("id", "own").agg(F.max(F.when(mine, F.col("n"))).alias("size"), a.alias("a"), F.coalesce(F.min(F.when(~mine, F.col("s") / F.col("n"))), F.lit(0.0)).alias("b"))
-
-
-def silhouette(points: DataFrame, metric, sample: float | None = None, seed: int = 1) -> DataFrame:
-    """One row: silhouette (mean), sum_a and sum_b (points alone in their cluster
-    add nothing to either). The work grows with the square of the points; with a
-    sample (a share of them, by a seeded hash of the id) it is an estimate from the
-    points drawn, each held against the others drawn."""
-    if sample is not None:
-        points = points.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(sample * (1 << 30)))
-    per = cluster_distances(points, metric)
-    alone = F.col("size") == 1
-    s = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per.agg(F.avg(s).alias("silhouette"), F.sum(F.when(~alone, F.col("a")).otherwise(0.0)).alias("sum_a"), F.sum(F.when(~alone, F.col("b")).otherwise(0.0)).alias("sum_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import clusters, evaluate, pairwise, trees
+from quarry.operators import clusters, evaluate, pairwise, silhouette, trees
 from quarry.plans.pipelines import apply_cleaning, clean_observations, fit_cleaning
 from quarry.plans.tables import FEATURES, FILLED, filled, observations, table
 
@@ -243,13 +243,32 @@ def c6_noise(spark, sf_dir):
     return clusters.dbscan(_points(spark, sf_dir), 1.5, 5).where("cluster = -1").select("id")
 
 
-@query("c7_silhouette", f"""WITH {_V}, s AS (SELECT a.id, a.tag AS own, b.tag AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
+_SILHOUETTE = """WITH {0}, s AS (SELECT a.id, a.tag AS own, b.tag AS other, sum({1}) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
 p AS (SELECT id, max(CASE WHEN own = other THEN n END) AS size, max(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, coalesce(min(CASE WHEN own <> other THEN s / n END), 0) AS b FROM s GROUP BY id)
-SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, round(sum(CASE WHEN size > 1 THEN a ELSE 0 END), 4) AS sum_a, round(sum(CASE WHEN size > 1 THEN b ELSE 0 END), 4) AS sum_b FROM p""")
+SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, round(sum(CASE WHEN size > 1 THEN a ELSE 0 END), 4) AS sum_a, round(sum(CASE WHEN size > 1 THEN b ELSE 0 END), 4) AS sum_b FROM p"""
+
+
+def _silhouette(spark, sf_dir, metric):
+    out = silhouette.silhouette(_vectors(spark, sf_dir), metric)
+    return out.select(F.round("silhouette", 6).alias("silhouette"), F.round("sum_a", 4).alias("sum_a"), F.round("sum_b", 4).alias("sum_b"))
+
+
+@query("c7_silhouette", _SILHOUETTE.format(_V, "list_distance(a.v, b.v)"))
 def c7_silhouette(spark, sf_dir):
     """C7, C8 and C9."""
-    out = pairwise.silhouette(_vectors(spark, sf_dir).withColumn("tag", F.col("tag").cast("int")), 2)
-    return out.select(F.round("silhouette", 6).alias("silhouette"), F.round("sum_a", 4).alias("sum_a"), F.round("sum_b", 4).alias("sum_b"))
+    return _silhouette(spark, sf_dir, 2)
+
+
+@query("c7_silhouette_cosine", _SILHOUETTE.format(_V, "1 - list_cosine_similarity(a.v, b.v)"))
+def c7_silhouette_cosine(spark, sf_dir):
+    """C7 and C8 by the cosine, from the summed directions of each cluster."""
+    return _silhouette(spark, sf_dir, "cosine")
+
+
+@query("c7_silhouette_manhattan", _SILHOUETTE.format(_V, "list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2])))"))
+def c7_silhouette_manhattan(spark, sf_dir):
+    """C7 and C8 by the Manhattan distance, from ranks and sums of each coordinate."""
+    return _silhouette(spark, sf_dir, 1)
 
 
 @query("j8_labelled_rows", f"{_DENSITY} SELECT c_custkey, c_mktsegment, coalesce(numbered.c, border.c, -1)::INTEGER AS cluster_label FROM customer LEFT JOIN numbered ON numbered.id = c_custkey LEFT JOIN border ON border.id = c_custkey")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import sources
 from quarry.functions import dates
 from quarry.functions.validity import valid_number, valid_text
-from quarry.operators import cleaning, clusters, evaluate, mining, pairwise, profile, rank, rollup, trees
+from quarry.operators import cleaning, clusters, evaluate, mining, pairwise, profile, rank, rollup, silhouette, trees
 from quarry.operators.rank import order_stats
 from quarry.plans import pipelines
 
@@ -216,7 +216,7 @@ def test_clusters(spark):
     got = [r.cluster for r in clusters.dbscan(points, 1.5, 2).orderBy("id").collect()]
     assert got == [1, 1, 1, 2, 2, 2, -1]
     four = spark.createDataFrame([(i, [float(v)], t) for i, (v, t) in enumerate([(0, 0), (1, 0), (10, 1), (11, 1)])], "id long, v array<double>, tag int")
-    row = pairwise.silhouette(four, 1).first()
+    row = silhouette.silhouette(four, 1).first()
     assert (row.silhouette, row.sum_b, row.sum_a) == (pytest.approx(0.8997494), pytest.approx(40), pytest.approx(4))
     six = spark.createDataFrame([(i, [float(i * i)]) for i in range(6)], "id long, v array<double>")
     assert clusters.spread_centroids(six, 2, 2) == [[0.0], [25.0]]
