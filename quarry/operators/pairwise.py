@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.vectors import distances
+from quarry.operators.pivots import build, nearest_blocks
+from quarry.operators.pivots import nearest as pivot_nearest
+from quarry.operators.vectors import comparable, dimension
 
 ROWS = 2_000
 
@@ -29,29 +30,23 @@ def by_block_pairs(left: DataFrame, right: DataFrame, fn: Callable, schema: str,
     return a.unionByName(b).groupBy("i", "j").applyInPandas(run, schema)
 
 
-def matrix(part: pd.DataFrame) -> np.ndarray:
-    return np.array(part.v.tolist(), float).reshape(len(part), -1)
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, metric) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, metric, *, block_rows: int = ROWS, pivots: int | None = None) -> DataFrame:
     """(id, other, tag, distance, rank): the k nearest of rows to each query, ties
     to the smaller id; a row of the query's own id is none of them. Both sides are
-    (id, v, tag); the tag is that of the other. Every block yields its own k nearest,
-    which are then merged."""
-    kind = dict(rows.dtypes)["tag"]
-
-    def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "other": [], "tag": [], "distance": []}
-        if len(a) and len(b):
-            b = b.sort_values("id")
-            d = distances(matrix(a), matrix(b), metric)
-            d[np.isnan(d)] = np.inf
-            d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.nan  # sorts last
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out = {"id": np.repeat(a.id.to_numpy(), at.shape[1]), "other": b.id.to_numpy()[at].ravel(), "tag": b.tag.to_numpy()[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()}
-        return pd.DataFrame(out)
-
-    found = by_block_pairs(queries, rows, top, f"id long, other long, tag {kind}, distance double").where("id <> other")
+    (id, v, tag); the tag is that of the other. Ids are unique on each side.
+
+    Vectors that are null, empty, not finite, of another length than most of rows, or
+    zero by the cosine, are near nothing: such a query has no row, and such a row is
+    nobody's neighbour. Rows that fill more than one block are searched by pivots.
+    """
+    dim = dimension(rows)
+    known = lambda side: comparable(side, dim, metric)
+    queries, rows = known(queries), known(rows)
+    n = rows.count()
+    if n <= block_rows:
+        found = by_block_pairs(queries, rows, nearest_blocks(k, metric), f"id long, other long, tag {dict(rows.dtypes)['tag']}, distance double", block_rows).where("id <> other")
+    else:
+        found = pivot_nearest(build(rows, metric, dim, n, block_rows, pivots), queries, k)
     order = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
