@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.learning import first_of_each, one_text_each
 from quarry.llm.tables import is_held_out, named, schema_of, slices
 
 MAX_TRAIN = 8_000
@@ -131,19 +132,25 @@ def fit_languages(
 ) -> dict:
     """Trigram log-likelihoods of each language, and the languages of each script,
     from about max_train labelled rows at most, chosen by a seeded hash of the id
-    among those that are not held out. Rows with a null language are not used."""
+    among those that are not held out. Rows with a null language are not used. Of the
+    rows of one id, or of those without one that share a text, one counts: the one
+    with the smallest hash of text and language."""
     usable = ~is_held_out(id_col) if usable is None else usable
-    known = docs.where(usable & named(lang_col).isNotNull())
-    share = min(1.0, max_train / max(1, known.count()))
-    part = F.pmod(F.xxhash64(named(id_col), F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = known.where(part).select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"))
+    text, ident = named(text_col).cast("string"), named(id_col)
+    key = F.xxhash64(F.when(ident.isNull(), F.xxhash64(text)), ident, F.lit(9))
+    known = docs.where(usable & named(lang_col).isNotNull()).select(key.alias("__key"), text.alias("__text"), named(lang_col).cast("string").alias("lang"))
+    keys = known.select("__key").distinct()
+    share = min(1.0, max_train / max(1, keys.count()))
+    chosen = keys.where(F.pmod("__key", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = one_text_each(known, chosen, "__key", "lang").select("__key", "lang", "__text")
+    sample = sample.mapInArrow(first_of_each, sample.schema).repartition(8, "__key")
     size, scripts = 1 << BITS, len(SCRIPTS) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
+        for whole in first_of_each(batches):
+            for batch in slices(whole, "__text"):
+                langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("__text").to_pylist()
                 for lang in sorted(set(langs)):
                     words = Words([t for t, x in zip(texts, langs) if x == lang])
                     sums.setdefault(lang, np.zeros(size + scripts, np.int64))
@@ -152,7 +159,7 @@ def fit_languages(
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in sample.repartition(8).mapInArrow(count, "lang string, counts binary").collect():
+    for r in sample.mapInArrow(count, "lang string, counts binary").collect():
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
     langs = sorted(sums)
     grams = np.array([sums[x][:size] for x in langs], float).reshape(len(langs), size)

@@ -14,6 +14,24 @@ from pyspark.sql import types as T
 from quarry.llm.tables import named, schema_of, slices
 
 
+def one_text_each(texts: DataFrame, chosen: DataFrame, key: str, *also: str) -> DataFrame:
+    """Rows (key, __text, ...) whose key is among the chosen ones, whose number is
+    bounded; of each key those with one text (and one value of the columns `also`),
+    the one of the smallest hash."""
+    hashed = texts.withColumn("__hash", F.xxhash64("__text", *also))
+    least = hashed.join(F.broadcast(chosen.select(key)), key).groupBy(key).agg(F.min("__hash").alias("__hash"))
+    return hashed.join(F.broadcast(chosen.join(least, key)), [key, "__hash"])
+
+
+def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the first row only of each value of their first column."""
+    seen = set()
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        first = [k not in seen and not seen.add(k) for k in keys]
+        yield batch if all(first) else batch.filter(pa.array(first, pa.bool_()))
+
+
 def fit_on_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -33,7 +51,8 @@ def fit_on_sample(
 
     The chosen labels, bounded by `most`, are broadcast, so no text is shuffled;
     their features meet in one task of bounded size, and the model alone comes to
-    the driver. An id with several label rows counts with the smallest of each.
+    the driver. An id with several label rows counts with the smallest of each, one
+    with several documents with the text of the smallest hash, once.
     """
     ident = named(id_col)
     marks = [F.min(named(c)).cast("double").alias(f"__y{i}") for i, c in enumerate(label_cols)]
@@ -44,16 +63,16 @@ def fit_on_sample(
     chosen = known.where(part)
     texts = docs.select(ident.alias("__id"), named(text_col).cast("string").alias("__text"))
     names = [f"__y{i}" for i in range(len(label_cols))]
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", *names)
+    rows = one_text_each(texts, chosen, "__id").select("__id", "__text", *names)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in first_of_each(batches):
             for batch in slices(whole, "__text"):
                 found = [featurize(t).astype(np.int32).tobytes() for t in batch.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *(batch.column(n) for n in names)], names=["__id", "x", *names])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))]
+        got = [r for batch in first_of_each(batches) for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))]
         got.sort(key=lambda r: (r[0], r[1]))
         y = np.array([[np.nan if v is None else v for v in r[2:]] for r in got], float).reshape(len(got), len(names))
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([np.frombuffer(r[1], np.int32) for r in got], y))]})

@@ -97,3 +97,26 @@ def test_features_of_odd_texts():
             got = f(text)
             assert got.dtype == np.int32 and (np.diff(got) > 0).all() and (len(got) == 0 or (got[0] >= 0 and got[-1] < 1 << 20))
     assert learning.folds_of(10, 4).tolist().count(0) == 3
+
+
+def test_repeats_of_one_id_train_once(spark, monkeypatch):
+    """30,000 rows of one labelled id, with and without the same text, are one row of the sample."""
+    from pyspark.sql import functions as F
+
+    repeats = spark.range(30_000).select(F.lit(11).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text that repeats").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    docs = repeats.union(spark.createDataFrame([(i, f"words of text {i}") for i in range(20, 40)], "doc_id long, text string")).repartition(6)
+    labels = spark.createDataFrame([(11, 1.0), *((i, 0.0) for i in range(20, 40))], "doc_id long, y double")
+    got = learning.fit_on_sample(docs, labels, F.lit(True), ["y"], lambda t: np.array([len(t)]), lambda x, y: (len(x), y.sum()), id_col="doc_id", text_col="text", most=8000)
+    assert got == (21, 1.0)
+
+
+def test_languages_learn_from_one_row_an_id(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "eins zwei drei", "de"), (2, "one two three", "en"), (None, "uno dos tres", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = docs.withColumn("again", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") == 2, 1).otherwise(5000)))).drop("again").repartition(5)
+    from quarry.llm import langid
+
+    one, other = (langid.fit_languages(d, usable=F.lit(True)) for d in (docs, many))
+    assert one["langs"] == other["langs"] == ["de", "en", "es"] and (one["table"] == other["table"]).all()
