@@ -28,6 +28,8 @@ PERIOD = 1000
 BLOCK_ROWS = 64
 BUCKET_ROWS = 4_096
 SLOTS_EACH = 8
+#: With refill, times that a row is given at most.
+MOST_REPEATS = 100
 #: Steps (sources x slots) up to which a schedule is made in one row's arrays, and
 #: slots up to which it is broadcast.
 SHORT_SCHEDULE = 1_000_000
@@ -130,19 +132,20 @@ def _long_period(weights: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "source string, q long, period long, k long, at long, release long, deadline long")
 
 
-def _refilled(ranked: DataFrame, weights: DataFrame, block_rows: int, small: bool) -> DataFrame:
+def _refilled(ranked: DataFrame, weights: DataFrame, block_rows: int, small: bool, most_repeats: int) -> DataFrame:
     """Rows of rank_within_source, with rows of sources that run out early given
     again, by whole blocks, at the ranks that follow.
 
     The mixture ends where the last source runs out: there a source of weight q
     is due q rows for each of the most rows that any source has to a part of its
-    weight. Every row is there once at least.
+    weight. Every row is there once at least, and most_repeats times at most: a
+    source too small for its weight gets less of the mixture.
     """
     counts = ranked.groupBy("__source").agg(F.count(F.lit(1)).alias("__rows"))
     known = counts.join(weights.select(F.col("source").alias("__source"), F.col("q").alias("__q")), "__source")
     most = known.agg(F.max(F.col("__rows") / F.col("__q")).alias("__most"))
     extra = F.floor((F.col("__most") * F.col("__q") - F.col("__rows")) / block_rows + F.lit(1e-9)) * block_rows
-    wanted = known.crossJoin(F.broadcast(most)).select("__source", "__rows", (F.col("__rows") + F.greatest(extra, F.lit(0))).cast("long").alias("__all"))
+    wanted = known.crossJoin(F.broadcast(most)).select("__source", "__rows", F.least(F.col("__rows") + F.greatest(extra, F.lit(0)), F.col("__rows") * most_repeats).cast("long").alias("__all"))
     times = F.expr("sequence(0L, (__all - 1 - __rank) div __rows)")
     again = ranked.join(F.broadcast(wanted) if small else wanted, "__source").withColumn("__again", F.explode(times))
     return again.withColumn("__rank", F.col("__rank") + F.col("__again") * F.col("__rows")).drop("__again", "__rows", "__all")
@@ -178,13 +181,15 @@ def mix_sources(
     block_rows: int = BLOCK_ROWS,
     seed: int = SEED,
     refill: bool = False,
+    most_repeats: int = MOST_REPEATS,
 ) -> DataFrame:
     """Give every row its slot in the mixture.
 
     weights: (source, q), whole numbers over 0; a null source counts as the empty
     text. With refill, sources that run out before the last one give blocks of
     rows again, so that each has less than one block less than its weight's share
-    of rows at the end; without it every row comes once. Adds to
+    of rows at the end, unless that would take a row more than most_repeats times;
+    without it every row comes once. Adds to
     all columns of docs: block (of its source, from 0), place (of the row within
     the block), slot, release and deadline of the block. Sources without a
     weight, and rows of an empty table, give no rows. Ties of the seeded key go
@@ -197,7 +202,7 @@ def mix_sources(
     ranked = rank_within_source(packed, "__of", "__id", seed)
     small = (weights.agg(F.sum("q")).first()[0] or 0) <= BROADCAST_SLOTS
     if refill:
-        ranked = _refilled(ranked, weights, block_rows, small)
+        ranked = _refilled(ranked, weights, block_rows, small, most_repeats)
     quota = weights.select(F.col("source").alias("__source"), F.col("q").alias("__n"))
     blocks = (
         ranked.join(F.broadcast(quota) if small else quota, "__source")

@@ -61,3 +61,12 @@ def test_long_schedules_equal_short_ones(spark, q):
     columns = ["source", "q", "period", "k", "at", "release", "deadline"]
     short, long = (sorted(map(tuple, f(weights).select(columns).collect())) for f in (mixing.pfair_period, mixing._long_period))
     assert short == long
+
+
+def test_refill_gives_no_row_too_often(spark):
+    docs = spark.createDataFrame([(i, "big") for i in range(5000)] + [(9999, "tiny")], "doc_id long, source string")
+    weights = spark.createDataFrame([("big", 1), ("tiny", 1)], "source string, q long")
+    for most in (3, 100):
+        rows = mixing.mix_sources(docs, weights, block_rows=1, refill=True, most_repeats=most).collect()
+        assert sum(r.source == "tiny" for r in rows) == most and sum(r.source == "big" for r in rows) == 5000
+        assert len({r.slot for r in rows}) == len(rows)
