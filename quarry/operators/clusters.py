@@ -1,36 +1,32 @@
-"""k-means, density clusters and principal components."""
+"""k-means and principal components."""
 
 from __future__ import annotations
 
-import math
-from itertools import product
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.graph import connected_components
 from quarry.operators.evaluate import place
 from quarry.operators.rank import order_stats
-from quarry.operators.vectors import distances
+from quarry.operators.vectors import can_compare, comparable, dimension, distances
 from quarry.session import materialize
 
-GRID_COLUMNS = 3
-CELL_BLOCK = 20_000
-BROADCAST_CELLS = 100_000
-
 
 def random_centroids(points: DataFrame, k: int, seed: int = 1) -> list[list[float]]:
-    """The k points (id, v) whose seeded hashes are smallest."""
+    """The k points (id, v) whose seeded hashes are smallest, of those whose vectors can
+    be compared."""
+    points = comparable(points, dimension(points))
     return [list(r["v"]) for r in points.select("id", "v", place("id", seed).alias("h")).orderBy("h", "id").limit(k).collect()]
 
 
 def spread_centroids(points: DataFrame, k: int, metric, first: int | None = None) -> list[list[float]]:
     """A first point (the smallest id unless given) and points at falling rank
     fractions of the distance to it: ranks int(n / k * i) - 1 for i = k, k - 1, ...;
-    k in all, the first one included. Ties of a distance go to the smallest id."""
+    k in all, the first one included. Ties of a distance go to the smallest id. Points
+    whose vectors cannot be compared are passed over."""
+    points = comparable(points, dimension(points), metric)
     first = points.agg(F.min("id")).first()[0] if first is None else first
     seed = list(points.where(F.col("id") == first).first()["v"])
     away = assigned(points, [seed], metric).select("id", "distance")
@@ -46,7 +42,11 @@ def spread_centroids(points: DataFrame, k: int, metric, first: int | None = None
 
 
 def assigned(points: DataFrame, centroids: list[list[float]], metric) -> DataFrame:
-    """(id, v, cluster, distance): the nearest centroid, ties to the lowest index."""
+    """(id, v, cluster, distance): the nearest centroid, ties to the lowest index. A
+    vector that is null, not finite, of another length than the centroids, or zero by
+    the cosine, has no cluster and no distance."""
+    dim = len(centroids[0]) if len(centroids) else 0
+    good = comparable(points, dim, metric)
     shared = points.sparkSession.sparkContext.broadcast(np.array(centroids, float))
 
     def run(batches):
@@ -56,8 +56,10 @@ def assigned(points: DataFrame, centroids: list[list[float]], metric) -> DataFra
                 at = np.where(np.isnan(d), np.inf, d).argmin(1)
                 yield pd.DataFrame({"id": part.id, "v": part.v, "cluster": at.astype("int32"), "distance": d[np.arange(len(d)), at]})
 
-    kind = dict(points.dtypes)
-    return points.select("id", "v").mapInPandas(run, f"id {kind['id']}, v {kind['v']}, cluster int, distance double")
+    kind = dict(good.dtypes)
+    found = good.select("id", "v").mapInPandas(run, f"id {kind['id']}, v {kind['v']}, cluster int, distance double")
+    bad = points.where(~can_compare(dim, metric)).select("id", F.col("v").cast(kind["v"]).alias("v"), F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance"))
+    return found.union(bad)
 
 
 def cluster_means(points: DataFrame, centroids: np.ndarray, metric) -> dict[int, np.ndarray]:
@@ -89,9 +91,10 @@ def cluster_means(points: DataFrame, centroids: np.ndarray, metric) -> dict[int,
 def kmeans(points: DataFrame, centroids: list[list[float]], metric=2, max_iterations: int = 100, tolerance: float = 1e-4) -> list[list[float]]:
     """Centroids after the moves' total length falls under the tolerance, or after
     max_iterations. Centroids are means whatever the metric; one that loses all its
-    points stays. Points are written to the shared folder once; each round is one job
-    with one small shuffle."""
-    points = materialize(points.select("id", F.col("v").cast("array<double>").alias("v")), "points")
+    points stays; points whose vectors cannot be compared with the centroids count
+    nowhere. Points are written to the shared folder once; each round is one job with
+    one small shuffle."""
+    points = materialize(comparable(points, len(centroids[0]) if len(centroids) else 0, metric).select("id", "v"), "points")
     now = np.array(centroids, float)
     for _ in range(max_iterations):
         moved = now.copy()
@@ -103,73 +106,6 @@ def kmeans(points: DataFrame, centroids: list[list[float]], metric=2, max_iterat
     return now.tolist()
 
 
-def unit_points(points: DataFrame) -> DataFrame:
-    """Points (id, v) with vectors of length one; zero vectors, whose cosine is not
-    defined, have a null v."""
-    v = F.transform("v", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return points.select("id", F.when(norm > 0, F.transform(v, lambda x: x / norm)).alias("v"))
-
-
-def neighbours_within(points: DataFrame, radius: float, p: int | str = 2, block: int = CELL_BLOCK) -> DataFrame:
-    """(a, b) of all pairs of points (id, v) at a Minkowski distance of order p of at
-    most radius, each pair both ways, and every point with itself; or, with p
-    "cosine", at a cosine distance of at most radius (a point without a direction
-    has only itself).
-
-    A cosine distance of r is a Euclidean one of sqrt(2 r) between unit vectors, so
-    those are joined, and the distance is taken from the dot product. Points meet in
-    grid cells of the radius over their first GRID_COLUMNS coordinates: one side
-    visits the neighbouring cells. The points of a crowded cell are dealt into blocks
-    of about `block`, and its visitors go to each block, so no task holds a cell.
-    """
-    cosine = p == "cosine"
-    reach = math.sqrt(2 * radius) * (1 + 1e-9) if cosine else radius
-    given = unit_points(points) if cosine else points.select("id", "v")
-    placed = given.where("v is not null")
-    dim = placed.select(F.max(F.size("v"))).first()[0] or 0
-    used = min(GRID_COLUMNS, dim)
-    cell = F.array(*[F.floor(F.col("v")[i] / reach) for i in range(used)])
-    moves = F.array(*[F.array(*[F.lit(x).cast("long") for x in m]) for m in product((-1, 0, 1), repeat=used)])
-    home = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), cell.alias("cell"))
-    crowds = home.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).where("blocks > 1")
-    crowds = materialize(crowds, "crowds")
-    few = crowds.count() <= BROADCAST_CELLS
-    joined = lambda side: side.join(F.broadcast(crowds) if few else crowds, "cell", "left")
-    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    home = joined(home).withColumn("block", F.pmod(F.xxhash64("a"), blocks)).drop("blocks")
-    visits = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.transform(moves, lambda m: F.zip_with(cell, m, lambda x, y: x + y))).alias("cell"))
-    visits = joined(visits).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("blocks")
-    if cosine:
-        near = 1 - F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) <= radius
-    else:
-        terms = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.pow(F.abs(x.cast("double") - y.cast("double")), F.lit(float(p)))), F.lit(0.0), lambda s, x: s + x)
-        near = (terms if p == 1 else F.pow(terms, F.lit(1.0 / p))) <= radius
-    pairs = home.join(visits, ["cell", "block"]).where(near | (F.col("a") == F.col("b"))).select("a", "b")
-    alone = given.where("v is null").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return pairs.union(alone)
-
-
-def dbscan(points: DataFrame, radius: float, min_points: int, p: int | str = 2) -> DataFrame:
-    """(id, cluster): clusters of density from 1 in the order of their smallest core
-    id, noise -1. A point within the radius of at least min_points points, itself
-    included, is a core; cores within the radius of each other share a cluster; any
-    other point takes the first cluster that has a core within its radius. p is the
-    order of a Minkowski distance, or "cosine"."""
-    near = materialize(neighbours_within(points, radius, p), "near")
-    cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core"))
-    cores = materialize(cores, "cores")
-    linked = near.join(cores, near["b"] == cores["core"]).select("a", "b")
-    between = linked.join(cores, linked["a"] == cores["core"], "left_semi")
-    roots = materialize(connected_components(between), "roots")
-    numbered = roots.select("component").distinct()
-    numbers = numbered.withColumn("cluster", F.row_number().over(Window.orderBy("component")).cast("int"))  # one row a cluster
-    cluster_of = roots.join(numbers, "component").select("node", "cluster")
-    reached = linked.join(cluster_of, linked["b"] == cluster_of["node"]).groupBy("a").agg(F.min("cluster").alias("first"))
-    out = points.select("id").join(cluster_of, F.col("id") == F.col("node"), "left").join(reached, F.col("id") == F.col("a"), "left")
-    return out.select("id", F.coalesce("cluster", "first", F.lit(-1)).alias("cluster"))
-
-
 def principal_components(df: DataFrame, columns: list[str], k: int = 2) -> tuple[list[float], list[list[float]]]:
     """Means and the k main axes of the centred columns, from one pass of sums;
     the largest entry of an axis is positive."""

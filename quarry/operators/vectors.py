@@ -20,14 +20,19 @@ def dimension(points: DataFrame, v: str = "v") -> int:
     return found["d"] if found else 0
 
 
-def comparable(points: DataFrame, dim: int, metric=2, v: str = "v") -> DataFrame:
-    """Points whose vectors can be compared, as doubles: of length dim, with finite
-    numbers only, and, for "cosine", not all zero. All others are left out: they are
-    near nothing."""
+def can_compare(dim: int, metric=2, v: str = "v") -> Column:
+    """Whether a vector is of length dim, with finite numbers only, and, for "cosine",
+    not all zero."""
     good = has_values(v) & (F.size(v) == dim)
     if metric == "cosine":
         good = good & F.exists(v, lambda x: x.cast("double") != 0)
-    return points.where(good).withColumn(v, F.col(v).cast("array<double>"))
+    return F.coalesce(good, F.lit(False))
+
+
+def comparable(points: DataFrame, dim: int, metric=2, v: str = "v") -> DataFrame:
+    """Points whose vectors can be compared, as doubles. All others are left out: they
+    are near nothing."""
+    return points.where(can_compare(dim, metric, v)).withColumn(v, F.col(v).cast("array<double>"))
 
 
 def matrix(lists, dim: int | None = None) -> np.ndarray:

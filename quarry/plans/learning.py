@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import clusters, evaluate, pairwise, silhouette, trees
+from quarry.operators import clusters, density, evaluate, pairwise, silhouette, trees
 from quarry.plans.pipelines import apply_cleaning, clean_observations, fit_cleaning
 from quarry.plans.tables import FEATURES, FILLED, filled, observations, table
 
@@ -200,7 +200,7 @@ _NEAR_COSINE = f"{_V}, near AS (SELECT a.id AS a, b.id AS b FROM e a, e b WHERE
 @query("j2_neighbours_cosine", f"WITH {_NEAR_COSINE.format(0.7)} SELECT a, count(*) AS n FROM near GROUP BY a")
 def j2_neighbours_cosine(spark, sf_dir):
     """J2 by the cosine distance."""
-    return clusters.neighbours_within(_vectors(spark, sf_dir), 0.7, "cosine").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return density.neighbours_within(_vectors(spark, sf_dir), 0.7, "cosine").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
 _COSINE_CLUSTERS = """WITH RECURSIVE {0}, cores AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4), links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM cores) AND b IN (SELECT id FROM cores)),
@@ -213,7 +213,7 @@ SELECT e.id, coalesce(numbered.c, border.c, -1)::INTEGER AS cluster FROM e LEFT
 @query("c5_dbscan_cosine", _COSINE_CLUSTERS.format(_NEAR_COSINE.format(0.6)))
 def c5_dbscan_cosine(spark, sf_dir):
     """C5 by the cosine distance."""
-    return clusters.dbscan(_vectors(spark, sf_dir), 0.6, 4, "cosine")
+    return density.dbscan(_vectors(spark, sf_dir), 0.6, 4, "cosine")
 
 
 _POINTS = "pts AS (SELECT c_custkey AS id, c_nationkey::DOUBLE AS x, c_acctbal / 100 AS y FROM customer)"
@@ -230,17 +230,17 @@ def _points(spark, sf_dir):
 
 @query("j2_neighbours", f"WITH {_POINTS} SELECT a.id AS a, count(*) AS n FROM pts a, pts b WHERE a.x BETWEEN b.x - 1.5 AND b.x + 1.5 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 1.5::DOUBLE GROUP BY a.id")
 def j2_neighbours(spark, sf_dir):
-    return clusters.neighbours_within(_points(spark, sf_dir), 1.5).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return density.neighbours_within(_points(spark, sf_dir), 1.5).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c5_dbscan", f"{_DENSITY} SELECT pts.id, coalesce(numbered.c, border.c, -1)::INTEGER AS cluster FROM pts LEFT JOIN numbered ON numbered.id = pts.id LEFT JOIN border ON border.id = pts.id")
 def c5_dbscan(spark, sf_dir):
-    return clusters.dbscan(_points(spark, sf_dir), 1.5, 5)
+    return density.dbscan(_points(spark, sf_dir), 1.5, 5)
 
 
 @query("c6_noise", f"{_DENSITY} SELECT pts.id FROM pts WHERE pts.id NOT IN (SELECT id FROM numbered) AND pts.id NOT IN (SELECT id FROM border)")
 def c6_noise(spark, sf_dir):
-    return clusters.dbscan(_points(spark, sf_dir), 1.5, 5).where("cluster = -1").select("id")
+    return density.dbscan(_points(spark, sf_dir), 1.5, 5).where("cluster = -1").select("id")
 
 
 _SILHOUETTE = """WITH {0}, s AS (SELECT a.id, a.tag AS own, b.tag AS other, sum({1}) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
@@ -274,7 +274,7 @@ def c7_silhouette_manhattan(spark, sf_dir):
 @query("j8_labelled_rows", f"{_DENSITY} SELECT c_custkey, c_mktsegment, coalesce(numbered.c, border.c, -1)::INTEGER AS cluster_label FROM customer LEFT JOIN numbered ON numbered.id = c_custkey LEFT JOIN border ON border.id = c_custkey")
 def j8_labelled_rows(spark, sf_dir):
     """Labels back on their rows, by id."""
-    labels = clusters.dbscan(_points(spark, sf_dir), 1.5, 5).select("id", F.col("cluster").alias("cluster_label"))
+    labels = density.dbscan(_points(spark, sf_dir), 1.5, 5).select("id", F.col("cluster").alias("cluster_label"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return rows.join(labels, F.col("c_custkey") == F.col("id")).drop("id")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import sources
 from quarry.functions import dates
 from quarry.functions.validity import valid_number, valid_text
-from quarry.operators import cleaning, clusters, evaluate, mining, pairwise, profile, rank, rollup, silhouette, trees
+from quarry.operators import cleaning, clusters, density, evaluate, mining, pairwise, profile, rank, rollup, silhouette, trees
 from quarry.operators.rank import order_stats
 from quarry.plans import pipelines
 
@@ -213,7 +213,7 @@ def test_values_in_buckets_give_the_same_split(spark):
 
 def test_clusters(spark):
     points = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate([0, 1, 2, 10, 11, 12, 50])], "id long, v array<double>")
-    got = [r.cluster for r in clusters.dbscan(points, 1.5, 2).orderBy("id").collect()]
+    got = [r.cluster for r in density.dbscan(points, 1.5, 2).orderBy("id").collect()]
     assert got == [1, 1, 1, 2, 2, 2, -1]
     four = spark.createDataFrame([(i, [float(v)], t) for i, (v, t) in enumerate([(0, 0), (1, 0), (10, 1), (11, 1)])], "id long, v array<double>, tag int")
     row = silhouette.silhouette(four, 1).first()
