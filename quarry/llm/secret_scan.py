@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.tables import named, schema_of, slices
+from quarry.session import materialize
 
 SECRET_BITS = 40.0
 #: A cut of a value costs its guesser as much as one of two choices.
@@ -32,6 +33,8 @@ LEAST_WORD, LONGEST_WORD = 3, 32
 LONGEST_BLOCK = 8
 LEAST_WALK = 4
 FLUSH_WORDS = 200_000
+#: Classes of word counts to each doubling.
+STEPS = 64
 
 #: Kinds of spans, in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -232,10 +235,14 @@ def _word_counts(text: str) -> Counter:
 
 
 def word_ranks(docs: DataFrame, *, text_col: str = "text", most: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """Ranks, from 1, of the `most` most frequent words (letters only, LEAST_WORD to
+    """Ranks, from 1, of the most frequent words (letters only, LEAST_WORD to
     LONGEST_WORD of them, lower-cased) of all whole texts, ties by the word, behind the
-    few passwords that are guessed first. Counts are added up in the tasks before the
-    shuffle; no more than `most` words reach the driver."""
+    few passwords that are guessed first.
+
+    Counts are added up in the tasks before the shuffle. Words are taken by classes of
+    counts (STEPS to each doubling), the highest first, as long as there are no more
+    than `most`; only they, and the sizes of the classes, reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -256,7 +263,15 @@ def word_ranks(docs: DataFrame, *, text_col: str = "text", most: int = DICTIONAR
 
     texts = docs.select(named(text_col).cast("string").alias("__text"))
     counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counted = materialize(counted.withColumn("class", F.floor(F.log2("n") * STEPS).cast("int")), "words")
+    taken, least = 0, None
+    for r in counted.groupBy("class").count().orderBy(F.col("class").desc()).collect():
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["class"]
+    best = counted.where(F.col("class") >= least).collect() if least is not None else []
+    words = [r["word"] for r in sorted(best, key=lambda r: (-r["n"], r["word"]))]
     ranks: dict[str, int] = {}
     for w in [*COMMON, *words]:
         ranks.setdefault(w, len(ranks) + 1)
