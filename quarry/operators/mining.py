@@ -124,14 +124,13 @@ def rules_by_threshold(found: DataFrame, grid: DataFrame) -> DataFrame:
 
 def recommend(found: DataFrame, baskets: DataFrame, strict: bool = True) -> DataFrame:
     """(tid, consequent, measure): consequents of rules whose antecedent equals the
-    basket (strict) or lies within it. Blank items are ignored."""
+    basket (strict) or lies within it. Blank and null items are ignored."""
+    from quarry.operators.patterns import contained
+
     clean = baskets.select("tid", F.array_sort(F.array_distinct(F.filter("items", lambda x: F.trim(x) != ""))).alias("items"))
     if strict:
         return clean.join(found, F.col("items") == F.col("antecedent")).select("tid", "consequent", "measure")
-    held = clean.select("tid", F.explode("items").alias("item"))
-    parts = found.select("antecedent", "consequent", "measure", F.explode("antecedent").alias("item"))
-    hits = parts.join(held, "item").groupBy("tid", "antecedent", "consequent").agg(F.count(F.lit(1)).alias("n"), F.first("measure").alias("measure"))
-    return hits.where(F.col("n") == F.size("antecedent")).select("tid", "consequent", "measure")
+    return contained(found, clean)
 
 
 def all_items(baskets: DataFrame) -> list[str]:

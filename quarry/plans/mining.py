@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import mining
+from quarry.operators import mining, patterns
 from quarry.plans.tables import TRANSACTIONS, table, transactions
 
 QUERIES, SQL = {}, {}
@@ -115,6 +115,21 @@ SELECT array_to_string(items, ',') AS items, len(items)::INTEGER AS k, count(*)
 @query("m4_brand_baskets", _BRANDS)
 def m4_brand_baskets(spark, sf_dir):
     """Longer baskets: brands bought together in an order (seven lines at most)."""
+    return mining.apriori(_brand_baskets(spark, sf_dir), 0.002).select(_text("items"), "k", "freq")
+
+
+def _brand_baskets(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    baskets = rows.groupBy(F.col("l_orderkey").alias("tid")).agg(F.array_sort(F.collect_set("p_brand")).alias("items"))
-    return mining.apriori(baskets, 0.002).select(_text("items"), "k", "freq")
+    return rows.groupBy(F.col("l_orderkey").alias("tid")).agg(F.array_sort(F.collect_set("p_brand")).alias("items"))
+
+
+@query("m4_itemsets_by_trees", SQL["m4_itemsets"])
+def m4_itemsets_by_trees(spark, sf_dir):
+    """M4 by prefix trees."""
+    found = patterns.fp_growth(_baskets(spark, sf_dir), SUPPORT)
+    return found.select(_text("items"), "k", "freq", F.round("support", 8).alias("support"))
+
+
+@query("m4_brand_baskets_by_trees", _BRANDS)
+def m4_brand_baskets_by_trees(spark, sf_dir):
+    return patterns.fp_growth(_brand_baskets(spark, sf_dir), 0.002).select(_text("items"), "k", "freq")
