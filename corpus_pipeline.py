@@ -38,14 +38,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give every source the share of rows that its weight asks for, in mixture
-    order. All documents stay; sources that run out before the last one give blocks
-    of rows again, so shares are met to within one block. The sharding stage gives
-    rows a new order; the shares stay."""
+    """Give every source the share of rows that its weight asks for. All documents
+    stay; sources that run out before the last one give blocks of rows again, so
+    shares are met to within one block, unless that takes a row more than
+    mixing.MOST_REPEATS times. The sharding stage gives rows their order."""
     weights = materialize(mixing.weights_by_size(docs, "source", MIX_POWER), "weights")
     mixed = mixing.mix_sources(docs, weights, refill=True)
-    ordered = mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
