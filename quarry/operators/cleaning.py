@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +118,15 @@ def equal_depth(df: DataFrame, column: str, bins: int | None = None, how: str =
     stats = chunk_stats(df, column, size, how)
     if not stats:
         return df
-    arr = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(m)).alias("m")) for a, m in stats])
-    x = F.col(column)
-    return df.withColumn(column, F.when(x.isNotNull(), F.element_at(F.filter(arr, lambda s: s["a"] <= x), -1)["m"]))
+    starts, means = np.array([a for a, _ in stats]), np.array([m for _, m in stats])
+
+    @F.pandas_udf("double")
+    def of_run(values: pd.Series) -> pd.Series:
+        at = np.searchsorted(starts, values, side="right") - 1
+        return pd.Series(np.where(values.isna() | (at < 0), np.nan, means[np.maximum(at, 0)])).where(values.notna())
+
+    x = F.col(column).cast("double")
+    return df.withColumn(column, F.when(x.isNotNull(), of_run(x)))
 
 
 def smooth_by_depth(df: DataFrame, column: str, how: str = "median") -> DataFrame:
@@ -160,34 +169,71 @@ class Repair:
         return df.withColumn(self.column, F.when(is_outlier(self.column, (self.low, self.high)), guess).otherwise(F.col(self.column)))
 
 
+def triangular_factor(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
+    """How many rows have no null in the columns, and the R of a QR factorisation of
+    those rows, as doubles, behind a column of ones.
+
+    A task folds its batches into one R of its own; those are folded once more in about
+    as many tasks as the square root of them, and last in the driver. No products of
+    columns are formed, so nearly dependent columns lose no more digits than they have.
+    """
+    width = len(columns) + 1
+
+    def folded(r: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.vstack([r, rows]), mode="r") if len(rows) else r
+
+    def packed(n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, width))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(width - 1))])
+            n, r = n + len(x), folded(r, x)
+        yield packed(n, r)
+
+    def of_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, width))
+        for batch in batches:
+            for m, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, r = n + m, folded(r, np.array(x).reshape(-1, width))
+        yield packed(n, r)
+
+    given = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    parts = given.mapInArrow(of_rows, "n long, r array<double>")
+    tasks = max(1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism))
+    n, r = 0, np.zeros((0, width))
+    for row in parts.repartition(tasks).mapInArrow(of_factors, "n long, r array<double>").collect():
+        n, r = n + row["n"], folded(r, np.array(row["r"]).reshape(-1, width))
+    return n, r
+
+
+def least_squares(df: DataFrame, xs: list[str], y: str) -> tuple[float, dict[str, float]] | None:
+    """Intercept and weights of the regression of y on xs over the rows without a null;
+    of all best weights the shortest. None without rows."""
+    n, r = triangular_factor(df, [*xs, y])
+    if not n:
+        return None
+    means = r[0, 1:] / r[0, 0]
+    centred = r[1:, 1:]  # what is left of the rows without their means
+    beta = np.linalg.lstsq(centred[:, :-1], centred[:, -1], rcond=np.finfo(float).eps * max(n, len(xs)))[0] if len(centred) else np.zeros(len(xs))
+    return float(means[-1] - beta @ means[:-1]), dict(zip(xs, beta.tolist()))
+
+
 def fit_repairs(df: DataFrame, columns: list[str], others: list[str]) -> list[Repair]:
     """A repair for each column in turn, fitted after the earlier ones are applied: a
-    linear regression with intercept on all other columns and `others`, over the
-    rows where the column is no outlier. One pass a column for centred sums; the
-    normal equations are solved by least squares of least norm."""
-    out, repairs = df, []
+    linear regression with intercept on all other columns and `others`, over the rows
+    where the column is no outlier. No repair changes another column's values, so the
+    bounds of all columns are found together; then it is one pass a column."""
+    out, repairs, bounds = df, [], fences(df, columns)
     for c in columns:
-        bounds = fences(out, [c]).get(c)
-        if not bounds:
+        if c not in bounds:
             continue
         xs = [x for x in [*columns, *others] if x != c]
-        fit = out.where(~is_outlier(c, bounds)).select(*[F.col(x).cast("double").alias(x) for x in [*xs, c]]).dropna()
-        means = fit.agg(*[F.avg(x).alias(x) for x in [*xs, c]]).first()
-        if means[c] is None:
-            continue
-        shift = {x: F.col(x) - means[x] for x in [*xs, c]}
-        products = [F.sum(shift[a] * shift[b]) for i, a in enumerate(xs) for b in [*xs[i:], c]]
-        row = iter(fit.agg(*products).first())
-        gram, right = np.zeros((len(xs), len(xs))), np.zeros(len(xs))
-        for i in range(len(xs)):
-            for j in range(i, len(xs)):
-                gram[i, j] = gram[j, i] = next(row)
-            right[i] = next(row)
-        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-        beta = np.linalg.lstsq(gram / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale
-        intercept = float(means[c]) - sum(float(b) * float(means[x]) for x, b in zip(xs, beta))
-        repairs.append(Repair(c, float(bounds[0]), float(bounds[1]), intercept, {x: float(b) for x, b in zip(xs, beta)}))
-        out = repairs[-1].apply(out)
+        fit = least_squares(out.where(~is_outlier(c, bounds[c])), xs, c)
+        if fit:
+            repairs.append(Repair(c, float(bounds[c][0]), float(bounds[c][1]), *fit))
+            out = repairs[-1].apply(out)
     return repairs
 
 
@@ -233,8 +279,11 @@ def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, distinct) counts of non-null values."""
-    of = F.array(*[F.struct(F.lit(c).alias("column"), F.countDistinct(c).alias("n_distinct")) for c in columns])
-    return df.agg(of.alias("all")).select(F.inline("all"))
-
-
+    """(column, n_distinct) counts of non-null values; 0.0 and -0.0 are one value. Each
+    distinct value is one row of one shuffle, whatever the number of columns."""
+    kinds = dict(df.dtypes)
+    text = lambda c: (F.col(c) + 0.0 if kinds[c] in ("double", "float") else F.col(c)).cast("string")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in columns])
+    seen = df.select(F.inline(pairs)).where("v is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    spine = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return spine.join(F.broadcast(seen), "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))  # one row a column

@@ -143,3 +143,22 @@ def one_hot(baskets: DataFrame, items: list[str]) -> DataFrame:
     """(tid, one 0/1 column for each listed item)."""
     rows = baskets.select("tid", F.explode_outer("items").alias("item"))
     return rows.groupBy("tid").agg(*[F.coalesce(F.max((F.col("item") == i).cast("int")), F.lit(0)).alias(i) for i in items])
+
+
+def item_codes(baskets: DataFrame, parts: int = 64) -> DataFrame:
+    """(item, code): the distinct items numbered from 0 without a gap, in stretches by
+    their hashes, so that no task sees all of them. Null items have no code."""
+    names = materialize(baskets.select(F.explode("items").alias("item")).where("item is not null").distinct().withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")), "item-names")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    offsets = names.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("item")) - 1
+    return names.withColumn("local", local).join(F.broadcast(offsets), "part").select("item", (F.col("local") + F.col("offset")).alias("code"))
+
+
+def sparse_one_hot(baskets: DataFrame, codes: DataFrame) -> DataFrame:
+    """(tid, codes): for each basket the codes of its items, ascending, once each; the
+    places of the ones in a row as wide as there are items. Items without a code are
+    left out, baskets without items have an empty list. Tids are unique."""
+    held = baskets.select("tid", F.explode(F.array_distinct("items")).alias("item")).join(codes, "item")
+    ones = held.groupBy("tid").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    return baskets.select("tid").join(ones, "tid", "left").select("tid", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))

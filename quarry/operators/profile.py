@@ -5,12 +5,71 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.validity import all_valid, value
+from quarry.operators.evaluate import place
 from quarry.operators.rank import linear_ranks, order_stats
 
+MOST_MODES = 1_000_000
+#: Size of a distinct-count summary (log2 of its registers: an error of about 0.8 %) and of
+#: a quantile summary (ranks met to within about 0.7 %).
+HLL_BITS = 14
+KLL_SIZE = 400
+
+
+def sketched(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, total, least, most, distinct, quantiles): one row a column with
+    summaries of bounded size that can be merged, of the non-null values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.inline(pairs)).where("v is not null")
+    return long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"),
+        F.hll_sketch_agg(F.col("v").cast("string"), HLL_BITS).alias("distinct"), F.kll_sketch_agg_double("v", KLL_SIZE).alias("quantiles"),
+    )
+
+
+def merged_sketches(parts: DataFrame) -> DataFrame:
+    """One row a column from the sketches of several parts of a table: those of old
+    partitions are kept, so a profile of appended data reads only what is new."""
+    return parts.groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+
+
+def read_sketches(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """(column, n, mean, least, most, n_distinct, quantiles): what sketches tell; the
+    distinct count and the quantiles are estimates (see HLL_BITS and KLL_SIZE)."""
+    at = F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(float(s))) for s in shares])
+    return sketches.select("column", "n", (F.col("total") / F.col("n")).alias("mean"), "least", "most", F.hll_sketch_estimate("distinct").alias("n_distinct"), at.alias("quantiles"))
+
+
+def pair_sample(df: DataFrame, a: str, b: str, id_col: str, grid: int = 64, per_cell: int = 8, seed: int = 1) -> DataFrame:
+    """(id, a, b, n) for drawing two columns against each other: the plane of their
+    values is cut into grid x grid cells, and of each cell the per_cell rows stay whose
+    seeded hashes are least, with the number n of the cell's rows. Every occupied cell
+    has a row, so thin regions stay visible, and no more than grid * grid * per_cell
+    rows come back. Rows without both values are left out."""
+    known = df.select(F.col(id_col).alias("id"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null and not isnan(a) and not isnan(b)")
+    edge = known.agg(*[f(c).alias(f"{n}{c}") for c in ("a", "b") for f, n in ((F.min, "low"), (F.max, "high"))]).first()
+
+    def cell(c: str) -> Column:
+        low, high = edge[f"low{c}"], edge[f"high{c}"]
+        if low is None or low == high:
+            return F.lit(0)
+        return F.least(F.floor((F.col(c) - low) / ((high - low) / grid)), F.lit(grid - 1)).cast("int")
+
+    placed = known.withColumns({"i": cell("a"), "j": cell("b"), "h": place("id", seed)})
+    # the bottom of a crowded cell is taken in two steps, so that no task holds the cell
+    part = Window.partitionBy("i", "j", F.pmod(F.col("h"), F.lit(256))).orderBy("h", "id")
+    sizes = placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    some = placed.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_cell)
+    whole = Window.partitionBy("i", "j").orderBy("h", "id")
+    kept = some.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= per_cell)
+    return kept.join(F.broadcast(sizes), ["i", "j"]).select("id", F.col("a").alias(a), F.col("b").alias(b), "n")  # one row a cell
+
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, mean, sample deviation, minimum, quartiles by
@@ -31,11 +90,15 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 def central_tendency(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, median, modes, deviation) of the valid values; all modes, in
     order; the deviation divides by their number. Columns without valid values have
-    no row."""
+    no row; one with more than MOST_MODES modes is refused (see mode_rows)."""
     long = unpivoted(df, columns)
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("column").agg(F.max("n").alias("n"))
-    modes = counts.join(F.broadcast(top), ["column", "n"]).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("modes"))
+    most = counts.join(F.broadcast(top), ["column", "n"])
+    crowd = most.groupBy("column").count().where(F.col("count") > MOST_MODES).first()
+    if crowd:
+        raise ValueError(f"{crowd['column']} has {crowd['count']} modes, more than one row should hold; use mode_rows")
+    modes = most.groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("modes"))
     stats = long.groupBy("column").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
     middle = percentiles(df, columns, [0.5])
     medians = df.sparkSession.createDataFrame([(c, m[0]) for c, m in middle.items() if m], "column string, median double")

@@ -123,7 +123,7 @@ _ENTROPY = "(0 - " + " - ".join("CASE WHEN " + x + " > 0 THEN " + _share(x) + "
 
 def _root_split(spark, sf_dir, how):
     rows = filled(spark, sf_dir).select(F.lit(0).alias("tree"), F.lit(1).alias("node"), F.lit(1).alias("w"), "label", *FEATURES)
-    return trees.best_splits(rows, FEATURES, [0, 1, 2], how).select("feature", "at", F.round("gain", 8).alias("gain"))
+    return trees.best_splits(rows, FEATURES, [0, 1, 2], how, trees.value_cuts(rows, FEATURES)).select("feature", "at", F.round("gain", 8).alias("gain"))
 
 
 @query("l3_best_split_gini", _split_sql(_GINI))
@@ -171,6 +171,16 @@ def l9_forest_sweep(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query("l9_forest_sweep_wide")
+def l9_forest_sweep_wide(spark, sf_dir):
+    """L9 with 6 and 12 features a node, on twelve dimensions of the labelled vectors."""
+    names = [f"v{i}" for i in range(12)]
+    rows = _vectors(spark, sf_dir).select("id", F.col("tag").alias("label"), *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+    train, test = evaluate.split(rows, "id")
+    parts = [trees.sweep(train, test, names, "label", "id", depths=[2, 4, 6], min_splits=[2, 4, 6], counts=[20, 50], features_per_node=k).withColumn("features", F.lit(k)) for k in (6, 12)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("c4_assign", f"WITH {_V}, c AS (SELECT id AS k, v FROM e WHERE id < 3), d AS (SELECT e.id, c.k, list_sum(list_transform(list_zip(e.v, c.v), lambda p: abs(p[1] - p[2]))) AS d FROM e, c) SELECT id, k::INTEGER AS cluster, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS r FROM d) WHERE r = 1")
 def c4_assign(spark, sf_dir):
     """C4: to three given centroids by the Manhattan distance."""

@@ -133,3 +133,15 @@ def m4_itemsets_by_trees(spark, sf_dir):
 @query("m4_brand_baskets_by_trees", _BRANDS)
 def m4_brand_baskets_by_trees(spark, sf_dir):
     return patterns.fp_growth(_brand_baskets(spark, sf_dir), 0.002).select(_text("items"), "k", "freq")
+
+
+@query("m10_sparse_one_hot", f"WITH {TRANSACTIONS}, names AS (SELECT DISTINCT unnest(items) AS item FROM baskets) SELECT tid, array_to_string(items, ',') AS items, len(items)::INTEGER AS n_ones, (SELECT count(*) FROM names) AS n_columns, TRUE AS gapless FROM baskets")
+def m10_sparse_one_hot(spark, sf_dir):
+    """M10 as sparse rows: all baskets as codes, and back."""
+    baskets = _baskets(spark, sf_dir)
+    codes = mining.item_codes(baskets)
+    rows = mining.sparse_one_hot(baskets, codes)
+    size = codes.agg(F.count(F.lit(1)).alias("n_columns"), ((F.max("code") == F.count(F.lit(1)) - 1) & (F.countDistinct("code") == F.count(F.lit(1)))).alias("gapless"))
+    back = rows.select("tid", F.explode("codes").alias("code")).join(codes, "code").groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    joined = rows.select("tid", F.size("codes").alias("n_ones")).join(back, "tid").crossJoin(F.broadcast(size))  # one row
+    return joined.select("tid", _text("items"), "n_ones", "n_columns", "gapless")

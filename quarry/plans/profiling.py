@@ -68,6 +68,33 @@ def r6_pairs(spark, sf_dir):
     return observations(spark, sf_dir).select("id", "f1", "f3")
 
 
+_SAMPLE = f"""WITH {OBS}, known AS (SELECT id, f2, f4, ((id % 4294967296) * 2654435761::HUGEINT + 40503) % 4294967296 AS h FROM obs WHERE f2 IS NOT NULL AND f4 IS NOT NULL),
+edge AS (SELECT min(f2) AS a0, max(f2) AS a1, min(f4) AS b0, max(f4) AS b1 FROM known),
+cells AS (SELECT id, f2, f4, h, least(floor((f2 - a0) / ((a1 - a0) / 32)), 31) AS i, least(floor((f4 - b0) / ((b1 - b0) / 32)), 31) AS j FROM known, edge)
+SELECT id, f2, f4, count(*) OVER (PARTITION BY i, j) AS n FROM cells QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY h, id) <= 5"""
+
+
+@query("r6_pair_sample", _SAMPLE)
+def r6_pair_sample(spark, sf_dir):
+    """R6 for drawing: a few rows of every occupied cell of the plane."""
+    return profile.pair_sample(observations(spark, sf_dir), "f2", "f4", "id", grid=32, per_cell=5)
+
+
+@query("r7_sketched", f"WITH {OBS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS least, max({c}) AS most, TRUE AS distinct_close, TRUE AS quantiles_close FROM obs" for c in FEATURES))
+def r7_sketched(spark, sf_dir):
+    """R7 and A1 from summaries of parts of the table, merged; close: within 3 % of the
+    exact distinct count, and within 2 % of the rows of the wanted ranks."""
+    rows = observations(spark, sf_dir)
+    parts = [profile.sketched(rows.where(F.col("id") % 3 == k), FEATURES) for k in range(3)]
+    found = profile.read_sketches(profile.merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2])), [0.25, 0.5, 0.75])
+    exact = cleaning.value_counts(rows, FEATURES).withColumnRenamed("n_distinct", "exact")
+    low, high = (profile.percentiles(rows, FEATURES, [max(0.0, s + d) for s in (0.25, 0.5, 0.75)], only_valid=False) for d in (-0.02, 0.02))
+    bounds = spark.createDataFrame([(c, low[c], high[c]) for c in FEATURES], "column string, low array<double>, high array<double>")
+    joined = found.join(F.broadcast(exact), "column").join(F.broadcast(bounds), "column")  # one row a column
+    inside = F.forall(F.arrays_zip("quantiles", "low", "high"), lambda q: (q["quantiles"] >= q["low"]) & (q["quantiles"] <= q["high"]))
+    return joined.select("column", "n", "least", "most", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("distinct_close"), inside.alias("quantiles_close"))
+
+
 @query("r7_distinct", f"WITH {OBS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM obs" for c in [*FEATURES, "label"]))
 def r7_distinct(spark, sf_dir):
     return cleaning.value_counts(observations(spark, sf_dir), [*FEATURES, "label"])
@@ -290,6 +317,13 @@ def l1_split(spark, sf_dir):
     return train.select("id", F.lit(True).alias("train")).unionByName(test.select("id", F.lit(False).alias("train")))
 
 
+@query("l1_split_exact", f"WITH {OBS} SELECT id, row_number() OVER (ORDER BY ((id % 4294967296) * 2654435761::HUGEINT + 42 * 40503) % 4294967296, id) <= floor(0.8::DOUBLE * (SELECT count(*) FROM obs)) AS train FROM obs")
+def l1_split_exact(spark, sf_dir):
+    """L1 with an exact number of training rows."""
+    train, test = evaluate.split_exact(observations(spark, sf_dir), "id")
+    return train.select("id", F.lit(True).alias("train")).unionByName(test.select("id", F.lit(False).alias("train")))
+
+
 @query("f3_minkowski", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS manhattan, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclid, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def f3_minkowski(spark, sf_dir):
     """every vector with the next one."""
