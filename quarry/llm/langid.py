@@ -143,7 +143,7 @@ def fit_languages(
     share = min(1.0, max_train / max(1, keys.count()))
     chosen = keys.where(F.pmod("__key", F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = one_text_each(known, chosen, "__key", "lang").select("__key", "lang", "__text")
-    sample = sample.mapInArrow(first_of_each, sample.schema).repartition(8, "__key")
+    sample = sample.mapInArrow(first_of_each, sample.schema).repartition(8, "__key").coalesce(8)  # each task sends a table of counts a language
     size, scripts = 1 << BITS, len(SCRIPTS) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
