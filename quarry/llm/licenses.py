@@ -37,6 +37,8 @@ MAX_BACKGROUND = 4_000
 VARIATIONS = 30
 MIN_PROBABILITY = 0.25
 MIN_RESEMBLANCE = 0.5
+#: Two-word sequences up to which a template must be there whole to confirm.
+SHORT_TEMPLATE = 2
 WINDOW = 40
 STEP = 20
 SHORT_LINE = 20
@@ -47,18 +49,18 @@ SCORED = 1_000
 #: Notices and first lines of texts by which licence families are
 #: usually named. Every family's SPDX tags, below, are templates too.
 TEMPLATES = {
-    "AGPL": ["licensed under the gnu affero general public license version 3", "this work is licensed under the agpl", "gnu affero general public license version 3 19 november 2007"],
-    "Apache-2.0": ["licensed under the apache license version 2.0", "released under the apache 2.0 license", "apache license version 2.0 january 2004"],
-    "BSD": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 3 clause license"],
-    "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "CC-BY-NC": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "CC-BY-ND": ["licensed under cc by nd 4.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"],
-    "CC-BY-SA": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "AGPL": ["licensed under the gnu affero general public license version 3", "this work is licensed under the agpl", "gnu affero general public license version 3 19 november 2007", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license", "license agplv3", "gnu agpl v3"],
+    "Apache-2.0": ["licensed under the apache license version 2.0", "released under the apache 2.0 license", "apache license version 2.0 january 2004", "apache license 2.0", "license apache 2.0"],
+    "BSD": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 3 clause license", "bsd 3 clause license", "bsd 2 clause license"],
+    "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution 3.0 unported", "creative commons attribution 2.0 generic"],
+    "CC-BY-NC": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "creative commons attribution noncommercial 3.0 unported", "creative commons attribution noncommercial 2.0 generic"],
+    "CC-BY-ND": ["licensed under cc by nd 4.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license", "creative commons attribution noderivatives 3.0 unported", "creative commons attribution noderivatives 2.0 generic"],
+    "CC-BY-SA": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "creative commons attribution sharealike 3.0 unported", "creative commons attribution sharealike 2.0 generic"],
     "CC0": ["licensed under cc0 1.0", "dedicated to the public domain under creative commons zero", "cc0 1.0 universal statement of purpose"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it under the terms of the gnu general public license", "licensed under the gpl", "gnu general public license version 3 29 june 2007"],
+    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it under the terms of the gnu general public license", "licensed under the gpl", "gnu general public license version 3 29 june 2007", "gnu general public license version 2 june 1991", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license", "gnu gpl v2", "gnu gpl v3", "license gplv2", "license gplv3", "license gpl"],
     "ISC": ["released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "released under the lgpl", "gnu lesser general public license version 3 29 june 2007"],
-    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
+    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "released under the lgpl", "gnu lesser general public license version 3 29 june 2007", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license", "gnu lgpl v2.1", "license lgplv3", "license lgplv2.1"],
+    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "the software is provided as is without warranty of any kind express or implied", "the mit license", "mit license", "license mit"],
     "MPL": ["this source code form is subject to the terms of the mozilla public license version 2.0", "licensed under the mpl 2.0", "mozilla public license version 2.0"],
     "Proprietary": ["all rights reserved", "confidential and proprietary do not distribute", "no part of this work may be reproduced without written permission"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense"],
@@ -176,9 +178,9 @@ def prepared(templates: dict[str, list[str]]) -> dict[str, list[tuple[list[str],
 def resemblance(words: list[str], templates: list[tuple[list[str], set, set]]) -> float:
     """How much of one of a family's templates is in the paragraph, at best: the
     share of its two-word sequences, or of those that are its family's own, if that
-    is less."""
+    is less. Half of a template of one or two of them is chance, and counts as none."""
     have = _pairs(words)
-    return max(min(len(p & have) / len(p), len(own & have) / len(own)) for _, p, own in templates)
+    return max(0.0 if len(p) <= SHORT_TEMPLATE and not p <= have else min(len(p & have) / len(p), len(own & have) / len(own)) for _, p, own in templates)
 
 
 def denied(template: list[str], rng: np.random.Generator) -> list[str]:
@@ -307,7 +309,7 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
 def scan_texts(texts: list[str | None], model: dict) -> list[list[tuple[int, str, float, float, bool]]]:
     """(first line, family, probability, resemblance, confirmed) of every paragraph of
     every text that is not unknown; once for each family that one of its windows
-    belongs to. A run of short lines counts where none of its lines says the same."""
+    belongs to. A run of short lines counts where none of its lines says the same as surely."""
     words, owner, starts, ends = [], [], [], []
     for i, text in enumerate(texts):
         for first, last, found in _paragraphs(text or ""):
@@ -324,9 +326,9 @@ def scan_texts(texts: list[str | None], model: dict) -> list[list[tuple[int, str
         like = resemblance(part, model["templates"][family])
         new = (like >= MIN_RESEMBLANCE, float(p[x, top[x]]), like)
         best[i][(*n, family)] = max(new, best[i].get((*n, family), new))
-    alone = [{(f, a) for a, z, f in b if a == z} for b in best]
+    alone = [{(f, a): sure for (a, z, f), (sure, _, _) in b.items() if a == z} for b in best]
     return [
-        [(a, f, prob, like, sure) for (a, z, f), (sure, prob, like) in sorted(b.items()) if a == z or not any((f, k) in said for k in range(a, z + 1))]
+        [(a, f, prob, like, sure) for (a, z, f), (sure, prob, like) in sorted(b.items()) if a == z or not any(said.get((f, k), -1) >= sure for k in range(a, z + 1))]
         for b, said in zip(best, alone)
     ]
 

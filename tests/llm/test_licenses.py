@@ -107,3 +107,35 @@ def test_a_long_text_and_repeated_notices(spark, model):
     docs = spark.createDataFrame([(1, long), (2, "Released under the MIT License.\nReleased under the MIT License.")], "doc_id long, text string")
     got = {r.doc_id: (r.license, r.n_confirmed, [x.line for x in r.paragraphs]) for r in L.scan_licenses(docs, model).collect()}
     assert got == {1: ("MIT", 1, [40_000]), 2: ("MIT", 2, [0, 1])}
+
+
+HEADER = """This {what} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version."""
+#: Short forms, titles and headers, and their families.
+FORMS = {
+    HEADER.format(what="program", name="Affero "): "AGPL",
+    HEADER.format(what="library", name="Lesser "): "LGPL",
+    HEADER.format(what="program", name=""): "GPL",
+    "This program is free software: you can redistribute it ... GNU Affero General Public License": "AGPL",
+    "MIT License": "MIT",
+    "The MIT License (MIT)": "MIT",
+    'license = "MIT"': "MIT",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED': "MIT",
+    "GNU GPL v2": "GPL",
+    "License: GPLv3": "GPL",
+    "License: LGPLv3": "LGPL",
+    "GNU AGPL v3": "AGPL",
+    "Apache License 2.0": "Apache-2.0",
+    "BSD 3-Clause License": "BSD",
+    "Creative Commons Attribution 3.0 Unported License": "CC-BY",
+    "Creative Commons Attribution-ShareAlike 3.0 Unported": "CC-BY-SA",
+}
+
+
+def test_headers_titles_and_short_forms(model):
+    for text, family in FORMS.items():
+        assert {x[1] for x in L.scan_texts([text], model)[0] if x[4]} == {family}, text
+    for text in ("all seats reserved; all rights of way reserved", "MIT is a university with a license plate", "the mit press", "Boost Software License 1.0", "Eclipse Public License", "Not under the MIT License.", "is not GPL v2", "he lost his license"):
+        assert not any(x[4] for x in L.scan_texts([text], model)[0]), text
