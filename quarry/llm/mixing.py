@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.tables import named
+from quarry.llm.tables import file_place, named
+from quarry.session import materialize
 
 PERIOD = 1000
 BLOCK_ROWS = 64
@@ -157,19 +158,46 @@ def rank_within_source(docs: DataFrame, source_col: str, id_col: str, seed: int,
 
     A source is cut into buckets of its uniform key, ranked one by one and offset
     by the counts of the buckets before, so a source that holds a third of all
-    rows is spread like the others.
+    rows is spread like the others. An id that comes more often than four buckets'
+    rows has buckets of its own, by the place of its rows in the input files.
     """
-    keyed = docs.withColumns({"__source": F.coalesce(named(source_col).cast("string"), F.lit("")), "__key": shuffle_key(id_col, seed)})
+    source, key = F.coalesce(named(source_col).cast("string"), F.lit("")), shuffle_key(id_col, seed)
     rows = docs.count()
     buckets = max(1, -(-rows // bucket_rows))
-    keyed = keyed.withColumn("__bucket", F.shiftright("__key", 30) * F.lit(buckets) / F.lit(1 << 30))
-    keyed = keyed.withColumn("__bucket", F.floor("__bucket"))
-    counts = keyed.groupBy("__source", "__bucket").count()
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.floor(F.shiftright("__key", 30) * F.lit(buckets) / F.lit(1 << 30))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"__source": source, "__key": key}).withColumn("__bucket", bucket)
+
+    placed = keyed(docs).withColumns({"__run": F.lit(0), "__part": F.lit(0)})
+    counts = placed.groupBy("__source", "__bucket").count()
+    if rows > 4 * bucket_rows and (hot := _hot_keys(placed, counts, bucket_rows)) is not None:
+        docs, place = file_place(docs)
+        spread = F.xxhash64(F.lit(seed), *place)
+        placed = keyed(docs.withColumn("__spread", spread)).join(hot, ["__source", "__bucket"], "left")
+        before = F.coalesce(F.size(F.filter("__hot", lambda h: h["__key"] < F.col("__key"))), F.lit(0))
+        own = F.try_element_at(F.filter("__hot", lambda h: h["__key"] == F.col("__key")), F.lit(1))
+        placed = placed.withColumn("__own", own).withColumn("__run", 2 * before + F.col("__own").isNotNull().cast("int"))
+        placed = placed.withColumn("__part", F.when(F.col("__own").isNull(), 0).otherwise(F.pmod("__spread", F.ceil(F.col("__own.count") / bucket_rows))).cast("int"))
+        placed = placed.drop("__hot", "__own")
+        counts = placed.groupBy("__source", "__bucket", "__run", "__part").count()
+    parts = [c for c in ("__bucket", "__run", "__part") if c in counts.columns]
+    before = Window.partitionBy("__source").orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    local = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__key", named(id_col))) - 1
-    ranked = keyed.withColumn("__local", local).join(offsets, ["__source", "__bucket"])
-    return ranked.withColumn("__rank", F.col("__offset") + F.col("__local")).drop("__local", "__offset", "__bucket", "__key")
+    local = F.row_number().over(Window.partitionBy("__source", *parts).orderBy("__key", named(id_col))) - 1
+    ranked = placed.withColumn("__local", local).join(offsets, ["__source", *parts])
+    return ranked.withColumn("__rank", F.col("__offset") + F.col("__local")).drop("__local", "__offset", "__bucket", "__run", "__part", "__spread", "__key")
+
+
+def _hot_keys(placed: DataFrame, counts: DataFrame, bucket_rows: int) -> DataFrame | None:
+    """(__source, __bucket, __hot): of the buckets with far too many rows the keys that
+    have them, with their counts; None where there are none."""
+    crowded = materialize(counts.where(F.col("count") > 4 * bucket_rows).drop("count"), "crowded")
+    if crowded.isEmpty():
+        return None
+    keys = placed.join(crowded, ["__source", "__bucket"], "left_semi").groupBy("__source", "__bucket", "__key").count().where(F.col("count") > bucket_rows)
+    hot = materialize(keys.groupBy("__source", "__bucket").agg(F.array_sort(F.collect_list(F.struct("__key", "count"))).alias("__hot")), "hot")
+    return F.broadcast(hot) if hot.count() <= BROADCAST_SLOTS else hot  # at most one of bucket_rows rows
 
 
 def mix_sources(

@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.tables import named
-from quarry.session import checkpoint_dir, materialize
+from quarry.llm.tables import file_place, named
+from quarry.session import checkpoint_dir
 
 BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 200_000
@@ -55,7 +54,7 @@ def shuffle_into_shards(
 
     # pass one: scatter. A key holds the place in the input files, so it is the same
     # in both passes and in a task that runs again.
-    docs, place = _placed(docs)
+    docs, place = file_place(docs)
     mixed = F.xxhash64(F.lit(seed), *[named(c) for c in hash_cols], *place)
     packed = docs.select(mixed.alias("__key"), F.struct(*[named(c) for c in docs.columns]).alias("__row"))
     scattered = packed.withColumn("__bucket", F.pmod("__key", F.lit(buckets)))
@@ -89,21 +88,6 @@ def shuffle_into_shards(
     )
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """docs and the columns that tell where each of its rows lies, file and row. Rows
-    that do not come straight from files that know it are written down first."""
-    for known in (docs, None):
-        known = known or materialize(docs, "records")
-        try:
-            lies = known.metadataColumn("_metadata")
-            place = [lies["file_name"], lies["row_index"]]
-            _ = known.select(*place).schema
-        except AnalysisException:
-            continue
-        return known, place
-    raise ValueError("rows of files whose rows have no numbers")
-
-
 def write_shards(placed: DataFrame, path: str) -> None:
     """Write one folder for each shard, its rows in slot order. The permutation
     is dealt out in runs, so a task holds rows of few shards."""

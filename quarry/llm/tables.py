@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,3 +46,18 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[
 def schema_of(df: DataFrame, *kept: str, **added: T.DataType) -> T.StructType:
     """The columns `kept` of df and added ones, as a schema; names may hold anything."""
     return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), *(T.StructField(c, t) for c, t in added.items())])
+
+
+def file_place(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs and the columns that tell where each of its rows lies, file and row. Rows
+    that do not come straight from files that know it are written down first."""
+    for known in (docs, None):
+        known = known or materialize(docs, "records")
+        try:
+            lies = known.metadataColumn("_metadata")
+            place = [lies["file_name"], lies["row_index"]]
+            _ = known.select(*place).schema
+        except AnalysisException:
+            continue
+        return known, place
+    raise ValueError("rows of files whose rows have no numbers")

@@ -70,3 +70,23 @@ def test_refill_gives_no_row_too_often(spark):
         rows = mixing.mix_sources(docs, weights, block_rows=1, refill=True, most_repeats=most).collect()
         assert sum(r.source == "tiny" for r in rows) == most and sum(r.source == "big" for r in rows) == 5000
         assert len({r.slot for r in rows}) == len(rows)
+
+
+def test_an_id_that_repeats_is_spread(spark, tmp_path):
+    """A third of the rows has one id, others have none: no task ranks them all."""
+    rows = [(1 if i % 3 == 0 else None if i % 3 == 1 else i, "s" if i % 2 else "t", i) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, source string, n int").repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for given in (docs, docs.where("n >= 0").distinct()):
+        ranked = mixing.rank_within_source(given, "source", "doc_id", 1, bucket_rows=40)
+        got = ranked.collect()
+        for s in "st":
+            mine = sorted((r["__rank"], r.doc_id) for r in got if r["__source"] == s)
+            assert [r for r, _ in mine] == list(range(1500))
+            ids = [i for _, i in mine]
+            for i in (1, None):  # rows of one id stay together in the order
+                at = [k for k, x in enumerate(ids) if x == i]
+                assert len(at) == 500 and at[-1] - at[0] == 499
+        assert sorted(r.n for r in got) == list(range(3000))
+    plain = mixing.rank_within_source(docs.where("n % 3 = 2"), "source", "doc_id", 1, bucket_rows=40)
+    assert {(r.n, r["__rank"]) for r in plain.collect()} == {(r.n, r["__rank"]) for r in mixing.rank_within_source(docs.where("n % 3 = 2"), "source", "doc_id", 1).collect()}
