@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.validity import all_valid, value
 from quarry.operators.evaluate import place
-from quarry.operators.rank import linear_ranks, order_stats
+from quarry.operators.rank import linear_ranks, order_stats, order_stats_with
 
 MOST_MODES = 1_000_000
 #: Size of a distinct-count summary (log2 of its registers: an error of about 0.8 %) and of
@@ -74,17 +74,14 @@ def pair_sample(df: DataFrame, a: str, b: str, id_col: str, grid: int = 64, per_
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, mean, sample deviation, minimum, quartiles by
     linear interpolation, maximum, of non-null values; and the table's rows."""
-    parts = [
-        F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"),
-            F.max(c).alias("most"), F.count(F.lit(1)).alias("rows"),
-        )
-        for c in columns
-    ]
-    rows = df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
-    shares = percentiles(df, columns, [0.25, 0.5, 0.75], only_valid=False)
-    quarters = df.sparkSession.createDataFrame([(c, *(q or [None] * 3)) for c, q in shares.items()], "column string, q25 double, q50 double, q75 double")
-    return rows.join(F.broadcast(quarters), "column").select("column", "n", "mean", "std", "least", "q25", "q50", "q75", "most", "rows")  # one row a column
+    shares = [0.25, 0.5, 0.75]
+    also = {"mean": F.avg("v"), "std": F.stddev_samp("v"), "least": F.min("v"), "most": F.max("v"), "rows": F.count(F.lit(1))}
+    stats, others = order_stats_with(df, {c: F.col(c) for c in columns}, lambda n: [r for a, b, _ in linear_ranks(n, shares) for r in (a, b)], also)
+    rows = []
+    for c, (n, at) in stats.items():
+        o = others[c]
+        rows.append((c, n, o.get("mean"), o.get("std"), o.get("least"), *(interpolated(n, at, shares) or [None] * 3), o.get("most"), o.get("rows", 0)))
+    return df.sparkSession.createDataFrame(rows, "column string, n long, mean double, std double, least double, q25 double, q50 double, q75 double, most double, rows long")
 
 
 def central_tendency(df: DataFrame, columns: list[str]) -> DataFrame:

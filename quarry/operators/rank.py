@@ -96,7 +96,16 @@ def at_ranks(ranked: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[i
 
 def order_stats(df: DataFrame, columns: dict[str, Column], ranks: Callable[[int], list[int]]) -> dict[str, tuple[int, dict[int, float]]]:
     """For each column its number of non-null values, n, and the values at ranks(n),
-    0-based, in ascending order; NaN is the largest value. All columns share the passes.
+    0-based, in ascending order; NaN is the largest value. All columns share the passes
+    (see order_stats_with)."""
+    return order_stats_with(df, columns, ranks, {})[0]
+
+
+def order_stats_with(
+    df: DataFrame, columns: dict[str, Column], ranks: Callable[[int], list[int]], also: dict[str, Column]
+) -> tuple[dict[str, tuple[int, dict[int, float]]], dict[str, dict]]:
+    """order_stats, and for each column the aggregates `also` of its values v, nulls
+    included, by name, from the same pass.
 
     One pass counts and takes approximate quantiles. Two of those bracket each wanted
     rank; a second pass counts what lies between brackets and keeps the values within,
@@ -104,16 +113,19 @@ def order_stats(df: DataFrame, columns: dict[str, Column], ranks: Callable[[int]
     """
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("v")) for i, c in enumerate(columns.values())])
     shares = [i / BRACKETS for i in range(BRACKETS + 1)]
-    long = df.select(F.inline(pairs)).where("v is not null")
-    known = {r["c"]: r for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", shares, ACCURACY).alias("q")).collect()}
-    wanted = {i: sorted({r for r in ranks(known[i]["n"]) if 0 <= r < known[i]["n"]}) if i in known else [] for i in range(len(columns))}
+    every = df.select(F.inline(pairs))
+    sums = every.groupBy("c").agg(F.count("v").alias("n"), F.percentile_approx("v", shares, ACCURACY).alias("q"), *[a.alias(n) for n, a in also.items()])
+    known = {r["c"]: r.asDict() for r in sums.collect()}
+    counted = {i: known[i]["n"] if i in known else 0 for i in range(len(columns))}
+    wanted = {i: sorted({r for r in ranks(n) if 0 <= r < n}) if n else [] for i, n in counted.items()}
     found: dict[int, dict[int, float]] = {i: {} for i in wanted}
-    brackets = {i: _brackets(known[i]["n"], known[i]["q"], rs) for i, rs in wanted.items() if rs}
+    brackets = {i: _brackets(counted[i], known[i]["q"], rs) for i, rs in wanted.items() if rs}
     while brackets:
-        for i, at in _within_brackets(long, brackets, wanted).items():
+        for i, at in _within_brackets(every.where("v is not null"), brackets, wanted).items():
             found[i] |= at
         brackets = {i: [(-np.inf, np.nan)] for i in brackets if len(found[i]) < len(wanted[i])}
-    return {c: (known[i]["n"] if i in known else 0, found[i]) for i, c in enumerate(columns)}
+    names = dict(enumerate(columns))
+    return {c: (counted[i], found[i]) for i, c in names.items()}, {c: {n: known[i][n] for n in also} if i in known else {} for i, c in names.items()}
 
 
 def _brackets(n: int, q: list[float], ranks: list[int]) -> list[tuple[float, float]]:
