@@ -189,7 +189,30 @@ def c4_assign(spark, sf_dir):
     return clusters.assigned(rows, given, 1).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query("c1_kmeans")
+_L1, _L2 = "list_sum(list_transform(list_zip(e.v, g.x), lambda p: abs(p[1] - p[2])))", "list_distance(e.v, g.x)"
+
+
+def _kmeans_sql(seeds: str, distance: str) -> str:
+    """Rounds of three centroids from given ones, until they move less than 1e-4 in all."""
+    return f"""WITH RECURSIVE {_V}, {seeds}, run AS (SELECT 0 AS i, c, 1e9::DOUBLE AS shift FROM seeds UNION ALL
+SELECT i + 1, moved, sqrt(list_sum(list_transform(list_zip(flatten(moved), flatten(c)), lambda p: pow(p[1] - p[2], 2)))) FROM (
+  SELECT w.i, any_value(w.c) AS c, list(coalesce(m.m, w.x) ORDER BY w.k) AS moved
+  FROM (SELECT i, c, unnest([1, 2, 3]) AS k, unnest(c) AS x FROM run WHERE i < 500 AND shift >= 1e-4::DOUBLE) w
+  LEFT JOIN (SELECT k, list(x ORDER BY d) AS m FROM (SELECT k, d, avg(v[d]) AS x FROM (
+    SELECT e.id, any_value(e.v) AS v, arg_min(g.k, {distance}) AS k FROM e, (SELECT unnest([1, 2, 3]) AS k, unnest(c) AS x FROM run) g GROUP BY e.id), unnest(range(1, 65)) t(d) GROUP BY k, d) GROUP BY k) m ON m.k = w.k
+  GROUP BY w.i)),
+final AS (SELECT c FROM run ORDER BY i DESC LIMIT 1)
+SELECT id, cluster FROM (SELECT e.id, (g.k - 1)::INTEGER AS cluster, row_number() OVER (PARTITION BY e.id ORDER BY {distance}, g.k) AS r FROM e, (SELECT unnest([1, 2, 3]) AS k, unnest(c) AS x FROM final) g) WHERE r = 1"""
+
+
+_RANDOM = "seeds AS (SELECT list(v ORDER BY h, id) AS c FROM (SELECT id, v, ((id % 4294967296) * 2654435761::HUGEINT + 40503) % 4294967296 AS h FROM e ORDER BY h, id LIMIT 3))"
+_SPREAD = f"""g AS (SELECT v AS x FROM e WHERE id = (SELECT min(id) FROM e)), away AS (SELECT e.id, e.v, {_L1} AS d FROM e, g),
+ranks AS (SELECT list_sort(list(d)) AS s, count(*) AS n FROM away),
+picks AS (SELECT 0 AS o, x AS v FROM g UNION ALL SELECT 4 - i, (SELECT arg_min(v, id) FROM away WHERE d = s[floor(n / 3.0::DOUBLE * i)::BIGINT]) FROM ranks, unnest([3, 2]) t(i)),
+seeds AS (SELECT list(v ORDER BY o) AS c FROM picks)"""
+
+
+@query("c1_kmeans", _kmeans_sql(_SPREAD, _L1))
 def c1_kmeans(spark, sf_dir):
     """C1 and C3."""
     rows = _vectors(spark, sf_dir)
@@ -197,7 +220,7 @@ def c1_kmeans(spark, sf_dir):
     return clusters.assigned(rows, found, 1).select("id", "cluster")
 
 
-@query("c2_kmeans_random")
+@query("c2_kmeans_random", _kmeans_sql(_RANDOM, _L2))
 def c2_kmeans_random(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     found = clusters.kmeans(rows, clusters.random_centroids(rows, 3), 2, 500)

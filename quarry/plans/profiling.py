@@ -302,12 +302,36 @@ def t12_drop_correlated(spark, sf_dir):
     return left.select("id", *[F.col(c) if c in left.columns else F.lit(None).cast("double").alias(c) for c in FEATURES], "label", names.alias("dropped"))
 
 
+def _axis(power: str, matrix: str, v: str) -> str:
+    """The main axis v of a symmetric matrix of four rows: it is squared until only that
+    axis is left; its largest entry is positive."""
+    square = "list_transform(range(16), lambda k: list_sum(list_transform(range(4), lambda j: m[(k // 4) * 4 + j + 1] * m[j * 4 + k % 4 + 1])))"
+    scaled = lambda x: f"list_transform({x}, lambda y: y / list_sum(list_transform({x}, lambda z: abs(z))))"
+    return f"""{power} AS (SELECT 0 AS i, m FROM {matrix} UNION ALL SELECT i + 1, {scaled('s')} FROM (SELECT i, {square} AS s FROM {power} WHERE i < 45)),
+{v} AS (SELECT list_transform(c, lambda x: x / n * CASE WHEN arg_max >= 0 THEN 1 ELSE -1 END) AS v FROM (SELECT c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n, list_reduce(c, lambda a, b: CASE WHEN abs(b) > abs(a) THEN b ELSE a END) AS arg_max
+  FROM (SELECT list_transform(range(4), lambda r: m[r * 4 + k]) AS c FROM (SELECT m, list_position([m[1], m[6], m[11], m[16]], list_max([m[1], m[6], m[11], m[16]])) AS k FROM {power} ORDER BY i DESC LIMIT 1))))"""
+
+
+_Z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in FEATURES)
+_COV = ", ".join(f"sum({a} * {b})" for a in FEATURES for b in FEATURES)
+_LAMBDA = "list_sum(list_transform(range(4), lambda r: v[r + 1] * list_sum(list_transform(range(4), lambda j: m[r * 4 + j + 1] * v[j + 1]))))"
+_PCA = f"""WITH RECURSIVE {FILLED}, z AS (SELECT id, {_Z} FROM filled), cov AS (SELECT [{_COV}] AS m FROM z), {_axis('p1', 'cov', 'a1')},
+rest AS (SELECT list_transform(range(16), lambda k: m[k + 1] - l * v[k // 4 + 1] * v[k % 4 + 1]) AS m FROM (SELECT m, v, {_LAMBDA} AS l FROM cov, a1)), {_axis('p2', 'rest', 'a2')}
+SELECT id, {', '.join("round(" + " + ".join(f"{c} * a{n}.v[{i}]" for i, c in enumerate(FEATURES, 1)) + f", 6) AS pc{n}" for n in (1, 2))} FROM z, a1, a2"""
+
+
 @query("l10_principal_components")
 def l10_principal_components(spark, sf_dir):
     obs = cleaning.z_score(filled(spark, sf_dir), FEATURES, "std")
     return clusters.project(obs, FEATURES, *clusters.principal_components(obs, FEATURES)).select("id", "pc1", "pc2")
 
 
+@query("l10_rounded_components", _PCA)
+def l10_rounded_components(spark, sf_dir):
+    """L10, for a comparison with SQL."""
+    return l10_principal_components(spark, sf_dir).select("id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
 _PLACE = "((id % 4294967296) * 2654435761::HUGEINT + 42 * 40503) % 4294967296 < 3435973836"
 
 
