@@ -7,6 +7,8 @@ the operator that calls it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -45,6 +47,12 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Inner product in this thread alone: a task has one core, and threads of a
+    library would wait for those that other tasks hold."""
+    return float((a * b).sum())
+
+
 def fit_logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, steps: int = 40, scale: np.ndarray | None = None) -> np.ndarray:
     """Weights (features, dense columns, bias) of a logistic regression with an
     L2 penalty, by limited-memory BFGS. y is 0 or 1; its mean decides the bias
@@ -59,7 +67,7 @@ def fit_logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, steps: int = 40, sc
     def loss(w):
         z = x.dot(w * sizes)
         p = sigmoid(z)
-        value = np.mean(np.logaddexp(0, z) - y * z) + l2 / 2 * (w[:-1] @ w[:-1])
+        value = np.mean(np.logaddexp(0, z) - y * z) + l2 / 2 * _dot(w[:-1], w[:-1])
         grad = x.transposed((p - y) / n) * sizes
         grad[:-1] += l2 * w[:-1]
         return value, grad
@@ -71,16 +79,16 @@ def fit_logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, steps: int = 40, sc
     for _ in range(steps):
         q, alphas = grad.copy(), []
         for s, d, rho in reversed(past):
-            alphas.append(rho * (s @ q))
+            alphas.append(rho * _dot(s, q))
             q -= alphas[-1] * d
         if past:
             s, d, rho = past[-1]
-            q *= (s @ d) / (d @ d)
+            q *= _dot(s, d) / _dot(d, d)
         else:
-            q *= 1 / max(1e-12, np.linalg.norm(grad))
+            q *= 1 / max(1e-12, math.sqrt(_dot(grad, grad)))
         for (s, d, rho), a in zip(past, reversed(alphas)):
-            q += s * (a - rho * (d @ q))
-        step, slope = 1.0, -(grad @ q)
+            q += s * (a - rho * _dot(d, q))
+        step, slope = 1.0, -_dot(grad, q)
         if slope >= 0:
             break
         while True:
@@ -90,8 +98,8 @@ def fit_logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, steps: int = 40, sc
                 break
             step /= 2
         s, d = new - w, new_grad - grad
-        if s @ d > 1e-12:
-            past = [*past[-7:], (s, d, 1 / (s @ d))]
+        if _dot(s, d) > 1e-12:
+            past = [*past[-7:], (s, d, 1 / _dot(s, d))]
         done = value - new_value < 1e-6 * max(1, abs(value))
         w, value, grad = new, new_value, new_grad
         if done:
