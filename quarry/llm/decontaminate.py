@@ -183,6 +183,14 @@ def cut(text: str | None, spans: list[tuple[int, int]], least: int | None) -> st
     return b"".join([*out, raw[done:]]).decode()
 
 
+def cut_until_clean(text: str | None, spans: list[tuple[int, int]], least: int | None, sam: Automaton) -> str | None:
+    """cut, again and again: words that a cut brings together may make a new match."""
+    left = cut(text, spans, least)
+    while left and (again := cut(left, scan([words_of(left)], sam)[0][0], least)) is not None:
+        left = again
+    return left
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> int:
     """Into how many blocks the items go, each of about block_words words at most."""
     bytes_all = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -213,7 +221,7 @@ def _marks(docs: DataFrame, shared: Broadcast, first: bool, cut_from: int | None
                         pa.array([len(w) for w in words], pa.int64()),
                         pa.array([[x for span in doc for x in span] for doc in spans], pa.list_(pa.int32())),
                         pa.array([sorted(x - {None}) for x in found], pa.list_(pa.string())),
-                        pa.array([cut(t, x, cut_from) for t, x in zip(texts, spans)], pa.string()),
+                        pa.array([cut_until_clean(t, x, cut_from, sam) for t, x in zip(texts, spans)], pa.string()),
                     ],
                     names=[*kept, *MARKS],
                 )
@@ -241,7 +249,8 @@ def mark_contamination(
     n_words, spans (array<int>: begin and end of each run of hit words, in
     words), n_hit, items (item ids as strings, sorted). Null or empty texts have
     no words and no hits. With cut_from, `cut` is the text without its runs of at
-    least so many hit words (null where there are none). Null item texts and an
+    least so many hit words (null where there are none), and without those that come
+    together where it was cut, by the items of the last block. Null item texts and an
     empty benchmark match nothing; an item with a null id marks words like any
     other, but has no id to be listed among the items. Repeated document rows each
     get a row. No other column is read.
@@ -284,7 +293,9 @@ def remove_contamination(
     """Cut hit spans out of the texts and drop what is mostly benchmark.
 
     A run of hit words of at least min_span words is cut from the text, from the
-    first byte of its first word to the last of its last; shorter runs stay.
+    first byte of its first word to the last of its last; shorter runs stay. Where a
+    cut brings words together that make such a run, that is cut too; with several
+    blocks of items, changed documents are looked through again until none changes.
     Documents of which more than max_coverage of the words are hit go. All
     columns of docs are returned; chars_col, if docs has it, is set to the new
     length. Documents without hits, null and empty texts included, come back
@@ -303,4 +314,12 @@ def remove_contamination(
         elif c == chars_col:
             old = F.when(changed, F.length("cut").cast(docs.schema[c].dataType)).otherwise(old)
         out.append(old.alias(c))
-    return left.select(*out)
+    given_items = benchmark.select(named(given.get("item_text_col", "text")).cast("string").alias("text"))
+    if _blocks(given_items, given.get("block_words", BLOCK_WORDS)) == 1:
+        return left.select(*out)
+    done = materialize(left.select(F.struct(*out).alias("__doc"), changed.alias("__changed")), "cut")
+    rows = lambda some: done.where(some).select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
+    if done.where("__changed").isEmpty():
+        return rows(F.lit(True))
+    again = remove_contamination(rows(F.col("__changed")), benchmark, id_col=id_col, text_col=text_col, min_span=min_span, max_coverage=max_coverage, chars_col=chars_col, **given)
+    return rows(~F.col("__changed")).unionByName(again)

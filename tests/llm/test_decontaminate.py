@@ -104,3 +104,17 @@ def test_items_without_an_id_mark_words(spark):
     texts = {1: "One two three four five six seven eight nine ten. a short item", 2: "clean"}
     marked = {i: brute(t, [(r.item_id, r.text) for r in items.collect()], 10)[0] for i, t in texts.items()}
     assert {i: sum(m) for i, m in marked.items()} == {1: 12, 2: 0}
+
+
+@pytest.mark.parametrize("block_words", [500_000, 3])
+def test_a_cut_leaves_no_passage_behind(spark, block_words):
+    """The words on both sides of a cut passage are another item's."""
+    a, b, c = ([f"{x}{i}" for i in range(10)] for x in "abc")
+    nested = c[:5] + b[:5] + a + b[5:] + c[5:]
+    rest = [f"w{i}" for i in range(80)]
+    docs = spark.createDataFrame([(1, " ".join(rest[:40] + nested + rest[40:])), (2, " ".join(rest))], "doc_id long, text string")
+    items = spark.createDataFrame([(x[0][0], " ".join(x)) for x in (a, b, c)], "item_id string, text string")
+    out = D.remove_contamination(docs, items, block_words=block_words)
+    got = {r.doc_id: r.text.split() for r in out.collect()}
+    assert got == {1: rest, 2: rest}
+    assert {r.n_hit for r in D.mark_contamination(out, items, block_words=block_words).collect()} == {0}
