@@ -137,7 +137,25 @@ def l3_best_split_entropy(spark, sf_dir):
     return _root_split(spark, sf_dir, "entropy")
 
 
-@query("l5_decision_tree")
+_GAIN = f"{_GINI.format('t0', 't1', 't2')} - (c0 + c1 + c2) / (t0 + t1 + t2)::DOUBLE * {_GINI.format('c0', 'c1', 'c2')} - (t0 + t1 + t2 - c0 - c1 - c2) / (t0 + t1 + t2)::DOUBLE * {_GINI.format('(t0 - c0)', '(t1 - c1)', '(t2 - c2)')}"
+#: Training and test rows go down the tree together, level by level; only the former
+#: count. A row's prediction is the vote of the last node that it reaches.
+_GROWN = f"""WITH RECURSIVE {FILLED}, tree AS (
+  SELECT id, label, [{', '.join(FEATURES)}] AS f, ((id % 4294967296) * 2654435761::HUGEINT + 42 * 40503) % 4294967296 < 3435973836 AS train, 1::BIGINT AS node, 0 AS depth FROM filled
+  UNION ALL
+  SELECT t.id, t.label, t.f, t.train, 2 * t.node + CASE WHEN t.f[b.k] <= b.v THEN 0 ELSE 1 END, t.depth + 1 FROM tree t JOIN (
+    SELECT node, k, v FROM (SELECT node, k, v, round({_GAIN}, 12) AS gain FROM (
+      SELECT node, k, v, sum(n0) OVER r AS c0, sum(n1) OVER r AS c1, sum(n2) OVER r AS c2, sum(n0) OVER p AS t0, sum(n1) OVER p AS t1, sum(n2) OVER p AS t2 FROM (
+        SELECT node, k, f[k] AS v, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN label = 2 THEN 1 ELSE 0 END) AS n2
+        FROM tree, unnest([1, 2, 3, 4]) u(k) WHERE train GROUP BY node, k, f[k])
+      WINDOW r AS (PARTITION BY node, k ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, k))
+    WHERE c0 + c1 + c2 < t0 + t1 + t2) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, k, v) = 1) b ON b.node = t.node
+  WHERE t.depth < {{0}}),
+votes AS (SELECT node, label AS prediction FROM tree WHERE train GROUP BY node, label QUALIFY row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) = 1)"""
+_TREE = f"""{_GROWN.format(5)} SELECT id, prediction FROM (SELECT id, arg_max(node, depth) AS node FROM tree WHERE NOT train GROUP BY id) JOIN votes USING (node)"""
+
+
+@query("l5_decision_tree", _TREE)
 def l5_decision_tree(spark, sf_dir):
     """Fitted to the training rows, applied to the test rows."""
     train, test = evaluate.split(filled(spark, sf_dir), "id")
@@ -152,7 +170,14 @@ def l7_random_forest(spark, sf_dir):
     return trees.predict(test, nodes, FEATURES, "id")
 
 
-@query("l9_tree_sweep")
+_SWEEP = f"""{_GROWN.format(62)}, sizes AS (SELECT node, count(*) AS size FROM tree WHERE train GROUP BY node), inner_nodes AS (SELECT DISTINCT node // 2 AS node FROM tree WHERE node > 1),
+walked AS (SELECT t.id, t.label, t.depth, s.size, i.node IS NULL AS leaf, v.prediction FROM tree t JOIN sizes s USING (node) JOIN votes v USING (node) LEFT JOIN inner_nodes i USING (node) WHERE NOT train),
+met AS (SELECT w.*, d AS max_depth, m AS min_split FROM walked w, unnest([99, 5, 8, 10, 12]) a(d), unnest([2, 3, 4, 5, 6]) b(m) WHERE w.depth = d OR w.size < m OR w.leaf),
+stopped AS (SELECT max_depth, min_split, id, any_value(label) AS label, arg_min(prediction, depth) AS prediction FROM met GROUP BY max_depth, min_split, id)
+SELECT nullif(max_depth, 99)::INTEGER AS max_depth, min_split::INTEGER AS min_split, 1::INTEGER AS trees, avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM stopped GROUP BY max_depth, min_split"""
+
+
+@query("l9_tree_sweep", _SWEEP)
 def l9_tree_sweep(spark, sf_dir):
     """Depths without limit and 5 to 12, least splits 2 to 6, by one growth."""
     train, test = evaluate.split(filled(spark, sf_dir), "id")
