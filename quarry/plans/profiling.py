@@ -9,7 +9,7 @@ from quarry.functions import distance
 from quarry.functions.validity import missing, null_if_nan, valid_number, valid_text
 from quarry.operators import cleaning, clusters, evaluate, profile
 from quarry.operators.rank import counted_values
-from quarry.plans.pipelines import clean_observations
+from quarry.plans.pipelines import apply_cleaning, clean_observations, fit_cleaning
 from quarry.plans.tables import CLEAN, FEATURES, FILLED, OBS, VALID, filled, observations, table
 
 QUERIES, SQL = {}, {}
@@ -261,25 +261,26 @@ def t6_regression_all(spark, sf_dir):
     return cleaning.regression_repair(filled(spark, sf_dir), FEATURES, ["label"]).select("id", *FEATURES)
 
 
-def _regressions(source: str, others: list[str]) -> str:
+def _regressions(source: str, others: list[str], fitted: str = "true") -> str:
     """Every feature of a table in turn, as T6 repairs it: its outliers become what a
-    regression on the other columns says. The result is the table r4. A regression of
-    standardised columns is solved by their correlations' inverse, which rounds of
-    X = 2 X - X A X find."""
-    product = lambda x, y: f"list_transform(range(16), lambda k: list_sum(list_transform(range(4), lambda j: {x}[(k // 4) * 4 + j + 1] * {y}[j * 4 + k % 4 + 1])))"
+    regression on the other columns says, learnt from the rows that are fitted. The
+    result is the table r4. A regression of standardised columns is solved by their
+    correlations' inverse, which rounds of X = 2 X - X A X find."""
+    m = len(FEATURES) - 1 + len(others)
+    product = lambda x, y: f"list_transform(range({m * m}), lambda k: list_sum(list_transform(range({m}), lambda j: {x}[(k // {m}) * {m} + j + 1] * {y}[j * {m} + k % {m} + 1])))"
     parts, now = [], source
     for n, c in enumerate(FEATURES, 1):
         xs = [x for x in [*FEATURES, *others] if x != c]
         stats = ", ".join(f"avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}, covar_pop({x}, {c}) AS k_{x}" for x in xs)
         table = ", ".join("1.0::DOUBLE" if x == y else f"corr({x}, {y})" for x in xs for y in xs)
-        beta = {x: "(" + " + ".join(f"inv[{4 * i + j + 1}] * k_{y} / s_{y}" for j, y in enumerate(xs)) + f") / s_{x}" for i, x in enumerate(xs)}
+        beta = {x: "(" + " + ".join(f"inv[{m * i + j + 1}] * k_{y} / s_{y}" for j, y in enumerate(xs)) + f") / s_{x}" for i, x in enumerate(xs)}
         guess = f"m_{c} + " + " + ".join(f"{beta[x]} * (t.{x} - m_{x})" for x in xs)
-        parts.append(f"""q{n} AS (SELECT {_fence(c)} FROM {now}), t{n} AS MATERIALIZED (SELECT t.*, {_out(c)} AS o FROM {now} t, q{n}),
-s{n} AS MATERIALIZED (SELECT avg({c}) AS m_{c}, {stats}, [{table}] AS a FROM t{n} WHERE NOT o),
-i{n} AS (SELECT 0 AS i, list_transform(range(16), lambda k: CASE WHEN k % 5 = 0 THEN 0.25::DOUBLE ELSE 0 END) AS x UNION ALL
+        parts.append(f"""q{n} AS (SELECT {_fence(c)} FROM {now} WHERE {fitted}), t{n} AS MATERIALIZED (SELECT t.*, {_out(c)} AS o FROM {now} t, q{n}),
+s{n} AS MATERIALIZED (SELECT avg({c}) AS m_{c}, {stats}, [{table}] AS a FROM t{n} WHERE NOT o AND {fitted}),
+i{n} AS (SELECT 0 AS i, list_transform(range({m * m}), lambda k: CASE WHEN k % {m + 1} = 0 THEN 1 / {m}::DOUBLE ELSE 0 END) AS x UNION ALL
   SELECT i + 1, list_transform(list_zip(x, y), lambda p: 2 * p[1] - p[2]) FROM (SELECT i, x, {product('xa', 'x')} AS y FROM (SELECT i, x, {product('x', 'a')} AS xa FROM i{n}, s{n} WHERE i < 60))),
 v{n} AS (SELECT x AS inv FROM i{n} ORDER BY i DESC LIMIT 1),
-r{n} AS MATERIALIZED (SELECT id, label, {', '.join(f"CASE WHEN o THEN {guess} ELSE t.{x} END AS {x}" if x == c else f"t.{x}" for x in FEATURES)} FROM t{n} t, s{n}, v{n})""")
+r{n} AS MATERIALIZED (SELECT id, label, {'' if fitted == 'true' else fitted + ', '}{', '.join(f"CASE WHEN o THEN {guess} ELSE t.{x} END AS {x}" if x == c else f"t.{x}" for x in FEATURES)} FROM t{n} t, s{n}, v{n})""")
         now = f"r{n}"
     return ", ".join(parts)
 
@@ -307,6 +308,23 @@ def t13_rounded_observations(spark, sf_dir):
     return out.select("id", "label", *[(F.round(c, 6) if c in out.columns else F.lit(None).cast("double")).alias(c) for c in FEATURES])
 
 
+_CORRELATED = {c: "greatest(" + ", ".join(f"abs(c_{c}_{b} * n)" for b in [*FEATURES, "label"][i + 1 :]) + ") > 0.75::DOUBLE" for i, c in enumerate(FEATURES)}
+_MOVED = {c: f"least(greatest(r4.{c}, b.a_{c}), b.b_{c})" for c in FEATURES}
+
+
+@query("t18_rounded_cleaning", f"""WITH RECURSIVE {OBS}, {CLEAN}, halves AS (SELECT *, ((id % 4294967296) * 2654435761::HUGEINT + 42 * 40503) % 4294967296 < 3435973836 AS train FROM clean),
+means AS (SELECT label, {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} FROM halves WHERE train GROUP BY label), every AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} FROM means),
+imputed AS (SELECT h.id, h.label, train, {', '.join(f'coalesce(h.{c}, CASE WHEN train THEN m.{c} ELSE every.{c} END) AS {c}' for c in FEATURES)} FROM halves h JOIN means m USING (label), every),
+{_regressions('imputed', [], 'train')}, d AS (SELECT DISTINCT label, f1, f2, f3, f4 FROM r4 WHERE train),
+b AS (SELECT count(*) / (count(*) - 1.0::DOUBLE) AS n, {', '.join(f'min({c}) AS a_{c}, max({c}) AS b_{c}' for c in FEATURES)}, {', '.join(f"corr({x}, {y}) AS c_{x}_{y}" for i, x in enumerate(FEATURES) for y in [*FEATURES, 'label'][i + 1:])} FROM d)
+SELECT r4.id, {', '.join(f"CASE WHEN NOT {_CORRELATED[c]} THEN round(({_MOVED[c]} - b.a_{c}) / (b.b_{c} - b.a_{c}), 6) END AS {c}" for c in FEATURES)} FROM r4, b WHERE NOT train""")
+def t18_rounded_cleaning(spark, sf_dir):
+    """T18, for a comparison with SQL: a dropped column is null."""
+    train, test = evaluate.split(observations(spark, sf_dir), "id")
+    out = apply_cleaning(test, fit_cleaning(train, FEATURES, "label"))
+    return out.select("id", *[(F.round(c, 6) if c in out.columns else F.lit(None).cast("double")).alias(c) for c in FEATURES])
+
+
 @query("t7_winsorize", f"""WITH {FILLED}, clean AS (SELECT * FROM filled), q AS ({_quartile_sql('f2')}), p AS (SELECT {', '.join(f'quantile_cont(f2, {x / 100}) AS p{x}' for x in (20, 25, 50, 75, 80))} FROM filled)
 SELECT id, round(CASE WHEN f2 > q3 + 1.5::DOUBLE * (p75 - p25) OR f2 < q1 - 1.5::DOUBLE * (p75 - p25) THEN CASE WHEN f2 < p20 THEN p20 WHEN f2 > p80 THEN p80 ELSE p50 END ELSE f2 END, 6) AS f2 FROM filled, q, p""")
 def t7_winsorize(spark, sf_dir):
