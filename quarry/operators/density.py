@@ -210,10 +210,13 @@ def _joined_cells(cores: DataFrame, radius: float, p: float, dim: int, around: l
     of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     open_ = pairs.where(~F.col("linked")).join(of("node"), "node").join(of("node2"), "node2").where("of_node <> of_node2")
     open_ = materialize(open_.select("node", "node2", "cell", "cell2", "low", "high", "low2", "high2"), "open")
-    if not open_.isEmpty():
-        links = links.union(_looked_into(cores, open_, radius, p))
-        first = materialize(connected_components(links), "components")
-    return cells.join(first, "node").select("cell", F.col("component").alias("root"), "n")
+    roots = F.col("component")
+    if not open_.isEmpty():  # what is found now joins whole clusters, which are few beside the cells
+        more = _looked_into(cores, open_, radius, p)
+        more = more.join(of("a").withColumnRenamed("of_a", "x"), "a").join(of("b").withColumnRenamed("of_b", "y"), "b").select("x", "y")
+        merged = materialize(connected_components(more, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("least")), "merged")
+        first, roots = first.join(merged, "component", "left"), F.coalesce("least", "component")
+    return cells.join(first, "node").select("cell", roots.alias("root"), "n")
 
 
 def _looked_into(cores: DataFrame, open_: DataFrame, radius: float, p: float) -> DataFrame:
