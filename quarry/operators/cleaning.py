@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from quarry.functions.validity import missing, valid_number, value
 from quarry.operators.profile import approximate_percentiles, bin_count, five_numbers, interpolated, percentiles, quartile_ranks, scaled_correlation
 from quarry.operators.rank import at_ranks, linear_ranks, order_stats, prepared
+from quarry.session import materialize
+
+#: Classes whose means are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def column_modes(df: DataFrame, columns: list[str], id_col: str) -> dict[str, float]:
@@ -33,8 +37,11 @@ def impute_mode(df: DataFrame, columns: list[str], id_col: str) -> DataFrame:
 
 def impute_class_mean(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Invalid values become the mean of the valid ones of the row's class. The
-    means, one row a class, come back by a join that Spark sizes itself."""
+    means, one row a class, are broadcast up to BROADCAST_ROWS classes, so that no
+    task gets all rows of a class."""
     means = df.groupBy(F.col(label).alias("__l")).agg(*[F.avg(value(c)).alias(f"__m_{c}") for c in columns])
+    means = materialize(means, "means")
+    means = F.broadcast(means) if means.count() <= BROADCAST_ROWS else means
     joined = df.join(means, F.col(label).eqNullSafe(F.col("__l")), "left")
     return joined.withColumns({c: F.coalesce(value(c), F.col(f"__m_{c}")) for c in columns}).drop("__l", *[f"__m_{c}" for c in columns])
 
@@ -238,7 +245,9 @@ def fit_repairs(df: DataFrame, columns: list[str], others: list[str]) -> list[Re
 
 
 def regression_repair(df: DataFrame, columns: list[str], others: list[str]) -> DataFrame:
-    """Outliers of each column in turn become the predictions of fit_repairs."""
+    """Outliers of each column in turn become the predictions of fit_repairs. The rows
+    are written down first, since bounds and every fit read them."""
+    df = materialize(df, "rows")
     for repair in fit_repairs(df, columns, others):
         df = repair.apply(df)
     return df
