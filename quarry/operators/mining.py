@@ -140,9 +140,10 @@ def all_items(baskets: DataFrame) -> list[str]:
 
 
 def one_hot(baskets: DataFrame, items: list[str]) -> DataFrame:
-    """(tid, one 0/1 column for each listed item)."""
-    rows = baskets.select("tid", F.explode_outer("items").alias("item"))
-    return rows.groupBy("tid").agg(*[F.coalesce(F.max((F.col("item") == i).cast("int")), F.lit(0)).alias(i) for i in items])
+    """(tid, one 0/1 column for each listed item). Baskets of one tid are put together
+    as items; columns are made row by row, so no aggregation holds them."""
+    rows = baskets.groupBy("tid").agg(F.flatten(F.collect_list("items")).alias("__items"))
+    return rows.select("tid", *[F.coalesce(F.array_contains("__items", i).cast("int"), F.lit(0)).alias(i) for i in items])
 
 
 def item_codes(baskets: DataFrame, parts: int = 64) -> DataFrame:
