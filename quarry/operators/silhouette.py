@@ -4,7 +4,7 @@ By the cosine, a point's distances to a cluster add up to its size less the prod
 the point's direction with the cluster's summed directions. By the Manhattan distance
 they add up coordinate by coordinate from how many of the cluster's values lie below
 and what those sum to. Both are exact and move a fixed number of rows a point. Other
-distances hold blocks against blocks, or estimate from a sample.
+distances hold blocks against blocks, each pair once, or estimate from a sample.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.pairwise import by_block_pairs
-from quarry.operators.vectors import comparable, dimension, distances, matrix
+from quarry.operators.vectors import TILE, comparable, dimension, matrix, tiled_distances
 from quarry.session import materialize
 
 #: Numbers of the summed directions that are broadcast at a time.
@@ -27,6 +26,11 @@ BROADCAST_CELLS = 2_000_000
 BUCKET_VALUES = 50_000
 MOST_BUCKETS = 4_096
 CLUSTER_BLOCK = 32
+#: Points of a block of all pairs, and blocks that there are if they can be of fewer.
+MOST_ROWS = 20_000
+LEAST_ROWS = 2_000
+LEAST_BLOCKS = 16
+_PARTS = pa.schema([("id", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("s", pa.float64()), ("n", pa.int64()), ("b", pa.float64())])
 _FOUND = "id long, own int, size long, a double, b double"
 
 
@@ -199,21 +203,93 @@ def _summed_by_coordinate(points: DataFrame, dim: int, edges: list[np.ndarray],
     return parts.groupBy("id", "own").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s"))
 
 
-def _by_blocks(points: DataFrame, metric) -> DataFrame:
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def _by_blocks(points: DataFrame, metric, dim: int) -> DataFrame:
+    """Every pair of points is held once, in the pair of their blocks. A large cluster
+    fills blocks of its own, which return a sum a point; small ones share a block whole,
+    which returns a point's sum to its own cluster and its least mean to the others."""
+    points = materialize(points.select("id", "v", "tag"), "points")
+    sizes = materialize(points.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = int(min(MOST_ROWS, max(LEAST_ROWS, n / LEAST_BLOCKS)))
+    large = sizes.where(F.col("n") > rows / 2).orderBy("tag").collect()  # at most two a block
+    table, blocks = [], 0
+    for r in large:
+        parts = -(-r["n"] // rows)
+        table.append((r["tag"], blocks, parts))
+        blocks += parts
+    shared = -(-(n - sum(r["n"] for r in large)) // rows)
+    first, blocks = blocks, blocks + shared
+    known = points.join(F.broadcast(points.sparkSession.createDataFrame(table, "tag int, first int, parts int")), "tag", "left")
+    alone = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))
+    block = F.when(F.col("first").isNotNull(), alone).otherwise(F.lit(first) + F.pmod(F.xxhash64("tag"), F.lit(max(1, shared)))).cast("int")
+    dealt = known.select("id", "v", "tag", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))).alias("other"))
+    dealt = dealt.select("id", "v", "tag", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def side(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, tags = rows.column("id").to_numpy(), rows.column("tag").to_numpy()
+        v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        order = np.argsort(tags, kind="stable")
+        return ids[order], tags[order], v[order]
+
+    def sums(rows: pa.Table) -> pa.Table:
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        block = rows.column("block").to_numpy()
+        a = side(rows.filter(pa.array(block == i)))
+        b = a if i == j else side(rows.filter(pa.array(block == j)))
         out = []
-        if len(a) and len(b):
-            d = distances(matrix(a.v), matrix(b.v), metric)
-            for tag in np.unique(b.tag):
-                mask = (b.tag == tag).to_numpy()
-                out.append(pd.DataFrame({"id": a.id, "own": a.tag, "other": tag, "s": d[:, mask].sum(1), "n": int(mask.sum())}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "own": [], "other": [], "s": [], "n": []})
-
-    parts = by_block_pairs(points, points, sums, "id long, own int, other int, s double, n long")
-    whole = parts.groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        if not len(a[0]) or not len(b[0]):
+            pass
+        elif i == j:
+            out.append(_to_tags(a, a, metric) if i >= first else _to_one(a, a, metric)[0])
+        elif j < first:
+            out += _to_one(a, b, metric)
+        else:
+            out += [_to_tags(a, b, metric), _to_tags(b, a, metric) if i >= first else _to_one(b, a, metric)[0]]
+        return pa.concat_tables(out) if out else _PARTS.empty_table()
+
+    found = dealt.groupBy("i", "j").applyInArrow(sums, "id long, own int, other int, s double, n long, b double")
+    whole = found.groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("b").alias("b"))
     mine = F.col("own") == F.col("other")
     a = F.max(F.when(mine, F.coalesce(F.try_divide(F.col("s"), F.col("n") - 1), F.lit(0.0))))
-    return whole.groupBy("id", "own").agg(F.max(F.when(mine, F.col("n"))).alias("size"), a.alias("a"), F.coalesce(F.min(F.when(~mine, F.col("s") / F.col("n"))), F.lit(0.0)).alias("b"))
+    b = F.least(F.min(F.when(~mine, F.col("s") / F.col("n"))), F.min("b"))
+    return whole.groupBy("id", "own").agg(F.max(F.when(mine, F.col("n"))).alias("size"), a.alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"))
+
+
+def _part(ids: np.ndarray, own: np.ndarray, other, s=None, n=None, b=None) -> pa.Table:
+    of = lambda x, t: pa.nulls(len(ids), t) if x is None else pa.array(np.broadcast_to(x, len(ids)), t)
+    return pa.Table.from_arrays([of(ids, pa.int64()), of(own, pa.int32()), of(other, pa.int32()), of(s, pa.float64()), of(n, pa.int64()), of(b, pa.float64())], schema=_PARTS)
+
+
+def _to_one(a: tuple, b: tuple, metric) -> list[pa.Table]:
+    """The summed distances of a's points to all of b, which is of one cluster, and of
+    b's points to all of a."""
+    to_b, to_a = np.zeros(len(a[0])), np.zeros(len(b[0]))
+    for rows, columns, d in tiled_distances(a[2], b[2], metric):
+        to_b[rows] += d.sum(1)
+        to_a[columns] += d.sum(0)
+    return [_part(a[0], a[1], b[1][0], to_b, len(b[0])), _part(b[0], b[1], a[1][0], to_a, len(a[0]))]
+
+
+def _to_tags(a: tuple, b: tuple, metric) -> pa.Table:
+    """Of a's points the sums to their own cluster, if it is in b, and the least mean
+    distance to another; b's clusters are whole."""
+    tags, starts, sizes = np.unique(b[1], return_index=True, return_counts=True)
+    out = []
+    for at in range(0, len(a[0]), TILE[0]):
+        ids, own, v = (x[at : at + TILE[0]] for x in a)
+        d = np.empty((len(ids), len(b[0])))
+        for rows, columns, tile in tiled_distances(v, b[2], metric):
+            d[rows, columns] = tile
+        s = np.add.reduceat(d, starts, axis=1)
+        place = np.minimum(np.searchsorted(tags, own), len(tags) - 1)
+        here = tags[place] == own
+        means = s / sizes[None, :]
+        means[np.flatnonzero(here), place[here]] = np.inf
+        out.append(_part(ids[here], own[here], own[here], s[np.flatnonzero(here), place[here]], sizes[place[here]]))
+        least = means.min(1)
+        other = np.isfinite(least)
+        out.append(_part(ids[other], own[other], None, b=least[other]))
+    return pa.concat_tables(out)
 
 
 def cluster_distances(points: DataFrame, metric, closed_form: bool = True) -> DataFrame:
@@ -229,7 +305,7 @@ def cluster_distances(points: DataFrame, metric, closed_form: bool = True) -> Da
     dim = dimension(points)
     points = comparable(points, dim, metric).where("tag is not null").select(F.col("id").cast("long").alias("id"), "v", F.col("tag").cast("int").alias("tag"))
     if not closed_form or metric not in ("cosine", 1) or points.isEmpty():
-        return _by_blocks(points, metric)
+        return _by_blocks(points, metric, dim)
     return _cosine(points, dim) if metric == "cosine" else _manhattan(points, dim)
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows and columns of a tile of distances, which stays in a core's cache.
+TILE = (256, 1_024)
+#: Share of the squared lengths under which a squared distance is taken from differences.
+CLOSE = 1e-4
+
 
 def has_values(v: str = "v") -> Column:
     """Whether a vector is there, is not empty, and holds finite numbers only."""
@@ -55,3 +62,35 @@ def distances(a: np.ndarray, b: np.ndarray, metric) -> np.ndarray:
 
 def unit(a: np.ndarray) -> np.ndarray:
     return a / np.linalg.norm(a, axis=1)[:, None]
+
+
+def tiled_distances(a: np.ndarray, b: np.ndarray, metric) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """distances(a, b, metric) tile by tile, as (rows, columns, distances). Euclidean ones
+    are a product of matrices about the middle of b; pairs so near each other that the
+    product loses digits are taken from their differences. Equal distances of different
+    pairs may differ in the last digits."""
+    high, wide = TILE
+    product = False
+    if metric == 2:
+        x, y = a - b.mean(0), b - b.mean(0)
+        of_x, of_y = (x * x).sum(1), (y * y).sum(1)
+        product = bool(np.isfinite(of_x.sum() + of_y.sum()))
+    if product:
+        left = np.column_stack([x, of_x, np.ones(len(x))])
+        right = np.ascontiguousarray(np.column_stack([-2 * y, np.ones(len(y)), of_y]).T)
+    for at in range(0, len(a), high):
+        rows = slice(at, at + high)
+        for begin in range(0, len(b), wide):
+            columns = slice(begin, begin + wide)
+            if not product:
+                yield rows, columns, distances(a[rows], b[columns], metric)
+                continue
+            d = left[rows] @ right[:, columns]
+            limit = CLOSE * (of_x[rows] + of_y[columns].max())
+            if d.min() < limit.max():
+                i, j = np.nonzero(d < limit[:, None])
+                for k in range(0, len(i), 50_000):
+                    some = slice(k, k + 50_000)
+                    gap = a[rows][i[some]] - b[columns][j[some]]
+                    d[i[some], j[some]] = (gap * gap).sum(1)
+            yield rows, columns, np.sqrt(d, out=d)
