@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +15,10 @@ from quarry.operators.rank import order_stats
 from quarry.operators.vectors import can_compare, comparable, dimension, distances
 from quarry.session import materialize
 
+#: Vectors of a packed block, and numbers of the sums up to which tasks send theirs as they are.
+BLOCK_ROWS = 2_000
+DIRECT_CELLS = 20_000
+
 
 def random_centroids(points: DataFrame, k: int, seed: int = 1) -> list[list[float]]:
     """The k points (id, v) whose seeded hashes are smallest, of those whose vectors can
@@ -62,43 +68,88 @@ def assigned(points: DataFrame, centroids: list[list[float]], metric) -> DataFra
     return found.union(bad)
 
 
-def cluster_means(points: DataFrame, centroids: np.ndarray, metric) -> dict[int, np.ndarray]:
-    """The means of the points nearest to each centroid. A task adds up its points;
-    only sums are moved."""
+def packed(points: DataFrame, dim: int) -> DataFrame:
+    """Vectors (v) as rows of blocks: bytes of up to BLOCK_ROWS vectors, one coordinate
+    after the other, as 32-bit numbers where those hold every value of a block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                v = batch.column("v").slice(at, BLOCK_ROWS)
+                x = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), dim).T)
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                x = short if (short == x).all() else x
+                yield pa.RecordBatch.from_pydict({"rows": pa.array([len(v)], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    return points.select("v").mapInArrow(pack, "rows int, x binary")
+
+
+def _unpacked(rows: int, x: bytes, dim: int) -> np.ndarray:
+    """dim rows of a packed block, one for each coordinate, as doubles."""
+    kind = np.float32 if len(x) == 4 * rows * dim else np.float64
+    return np.frombuffer(x, kind).reshape(dim, rows).astype(float)
+
+
+def _nearest_centroid(x: np.ndarray, centroids: np.ndarray, metric) -> np.ndarray:
+    """The nearest centroid of vectors that are the columns of x. The terms of a
+    distance are added up in the order of distances()."""
+    if metric == "cosine":
+        d = distances(x.T, centroids, metric)
+        return np.where(np.isnan(d), np.inf, d).argmin(1)
+    best, at = np.full(x.shape[1], np.inf), np.zeros(x.shape[1], np.int64)
+    for j, c in enumerate(centroids):
+        total, gap = np.zeros(x.shape[1]), np.empty(x.shape[1])
+        for k in range(len(x)):
+            np.abs(np.subtract(x[k], c[k], out=gap), out=gap)
+            total += gap if metric == 1 else gap**metric
+        away = total if metric == 1 else total ** (1 / metric)
+        nearer = away < best
+        best[nearer], at[nearer] = away[nearer], j
+    return at
+
+
+def cluster_means(blocks: DataFrame, centroids: np.ndarray, metric) -> dict[int, np.ndarray]:
+    """The means of the points of packed blocks nearest to each centroid. A task adds up
+    its points; sums go to the driver, added up by a shuffle before if they are many."""
     k, dim = centroids.shape
 
-    def add_up(batches):
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = np.zeros(k, np.int64), np.zeros((k, dim))
         for batch in batches:
-            v = batch.column("v")
-            if len(v):
-                x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), dim)
-                d = distances(x, centroids, metric)
-                at = np.where(np.isnan(d), np.inf, d).argmin(1)
+            for rows, block in zip(batch.column("rows").to_pylist(), batch.column("x")):
+                x = _unpacked(rows, block.as_buffer(), dim)
+                at = _nearest_centroid(x, centroids, metric)
+                n += np.bincount(at, minlength=k)
                 for j in np.unique(at):
-                    n[j] += (at == j).sum()
-                    sums[j] += x[at == j].sum(0)
-        yield pa.RecordBatch.from_pydict({"cluster": pa.array(range(k), pa.int32()), "n": pa.array(n), "s": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+                    sums[j] += x[:, at == j].sum(1)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"cluster": pa.array(met, pa.int32()), "n": pa.array(n[met]), "s": pa.array(sums[met].tolist(), pa.list_(pa.float64()))})
 
-    parts = points.select("v").mapInArrow(add_up, "cluster int, n long, s array<double>").where("n > 0")
-    sums = parts.select("cluster", "n", F.posexplode("s").alias("i", "x")).groupBy("cluster", "i").agg((F.sum("x") / F.sum("n")).alias("mean"))
-    means: dict[int, np.ndarray] = {}
-    for r in sums.collect():  # one number for each centroid and dimension
-        means.setdefault(r["cluster"], np.zeros(dim))[r["i"]] = r["mean"]
-    return means
+    parts = blocks.mapInArrow(add_up, "cluster int, n long, s array<double>")
+    if k * dim > DIRECT_CELLS:
+        cells = parts.select("cluster", "n", F.posexplode("s").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        parts = cells.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
+    n, sums = np.zeros(k, np.int64), np.zeros((k, dim))
+    for r in parts.collect():
+        n[r["cluster"]] += r["n"]
+        sums[r["cluster"]] += np.array(r["s"])
+    return {int(j): sums[j] / n[j] for j in np.flatnonzero(n)}
 
 
 def kmeans(points: DataFrame, centroids: list[list[float]], metric=2, max_iterations: int = 100, tolerance: float = 1e-4) -> list[list[float]]:
     """Centroids after the moves' total length falls under the tolerance, or after
     max_iterations. Centroids are means whatever the metric; one that loses all its
     points stays; points whose vectors cannot be compared with the centroids count
-    nowhere. Points are written to the shared folder once; each round is one job with
-    one small shuffle."""
-    points = materialize(comparable(points, len(centroids[0]) if len(centroids) else 0, metric).select("id", "v"), "points")
+    nowhere. Points are written to the shared folder once, packed; each round is one
+    job without a shuffle."""
+    dim = len(centroids[0]) if len(centroids) else 0
+    blocks = packed(comparable(points, dim, metric), dim).repartition(points.sparkSession.sparkContext.defaultParallelism)
+    blocks = materialize(blocks, "blocks")
     now = np.array(centroids, float)
     for _ in range(max_iterations):
         moved = now.copy()
-        for cluster, mean in cluster_means(points, now, metric).items():
+        for cluster, mean in cluster_means(blocks, now, metric).items():
             moved[cluster] = mean
         shift, now = float(np.linalg.norm(moved - now)), moved
         if shift < tolerance:
