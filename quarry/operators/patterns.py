@@ -18,6 +18,9 @@ LOCAL_ROWS = 50_000
 #: Antecedents up to which their trie is broadcast, and baskets that one task walks beyond.
 BROADCAST_RULES = 200_000
 WALKED_ROWS = 50_000
+#: Different baskets up to which those are walked, and rows of what they hold that are broadcast.
+BROADCAST_KINDS = 100_000
+BROADCAST_HITS = 1_000_000
 
 
 class PrefixTree:
@@ -143,7 +146,7 @@ def walk(trie: dict, items: list[str]) -> Iterator[int]:
                 todo.append((to, at + 1))
 
 
-def contained(found: DataFrame, baskets: DataFrame, *, broadcast_rules: int = BROADCAST_RULES, walked_rows: int = WALKED_ROWS) -> DataFrame:
+def contained(found: DataFrame, baskets: DataFrame, *, broadcast_rules: int = BROADCAST_RULES, walked_rows: int = WALKED_ROWS, broadcast_kinds: int = BROADCAST_KINDS) -> DataFrame:
     """(tid, consequent, measure): the consequents of all rules whose antecedent lies
     within the basket (tid, items), items without repeats.
 
@@ -154,7 +157,23 @@ def contained(found: DataFrame, baskets: DataFrame, *, broadcast_rules: int = BR
     antecedent's rarest; an item of many baskets is dealt out in parts of about
     walked_rows, each with the item's antecedents. A rule without an antecedent holds
     for every basket; a basket without items holds only such rules.
+
+    Baskets that are equal have the same rules: where there are up to BROADCAST_KINDS
+    different ones, those are walked, and what they hold is broadcast to the baskets if
+    it is at most BROADCAST_HITS rows.
     """
+    baskets = baskets.select("tid", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    kinds = materialize(baskets.select("items").distinct(), "kinds")
+    if kinds.count() <= broadcast_kinds:
+        hits = materialize(_contained(found, kinds.select(F.col("items").alias("tid"), "items"), broadcast_rules, walked_rows), "hits")
+        if hits.count() <= BROADCAST_HITS:
+            held = hits.groupBy(F.col("tid").alias("items")).agg(F.collect_list(F.struct("consequent", "measure")).alias("then"))
+            return baskets.join(F.broadcast(held), "items").select("tid", F.inline("then"))
+    return _contained(found, baskets, broadcast_rules, walked_rows)
+
+
+def _contained(found: DataFrame, baskets: DataFrame, broadcast_rules: int, walked_rows: int) -> DataFrame:
+    """contained, with a walk for every basket."""
     grouped = found.groupBy("antecedent").agg(F.collect_list(F.struct("consequent", "measure")).alias("then"))
     grouped = materialize(grouped, "antecedents")
     used = grouped.select(F.explode("antecedent").alias("item")).distinct()
@@ -213,6 +232,7 @@ def _frequency(baskets: DataFrame, used: DataFrame) -> DataFrame:
 def _walked(baskets: DataFrame, rules: list, order: dict[str, tuple], schema: T.StructType) -> DataFrame:
     place = {i: at for at, i in enumerate(sorted(order, key=order.__getitem__))}
     trie = trie_of([r["antecedent"] for r in rules], place)
+    text = isinstance(schema["consequent"].dataType, T.StringType)
     shared = baskets.sparkSession.sparkContext.broadcast((trie, place, [[(c["consequent"], c["measure"]) for c in r["then"]] for r in rules]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +244,6 @@ def _walked(baskets: DataFrame, rules: list, order: dict[str, tuple], schema: T.
                 for at in walk(trie, known):
                     for c, m in then[at]:
                         who.append(row), consequent.append(c), measure.append(m)
-            yield pa.RecordBatch.from_arrays([tids.take(pa.array(who, pa.int64())), pa.array(consequent, pa.list_(pa.string())), pa.array(measure, pa.float64())], names=["tid", "consequent", "measure"])
+            yield pa.RecordBatch.from_arrays([tids.take(pa.array(who, pa.int64())), pa.array(consequent, pa.string() if text else pa.list_(pa.string())), pa.array(measure, pa.float64())], names=["tid", "consequent", "measure"])
 
     return baskets.select("tid", "items").mapInArrow(run, schema)

@@ -93,7 +93,8 @@ def m9_recommend_within(spark, sf_dir):
     """Every basket."""
     baskets = _baskets(spark, sf_dir)
     found = mining.rules(mining.apriori(baskets, SUPPORT), "confidence", 0.2)
-    return mining.recommend(found, baskets, strict=False).select("tid", _text("consequent"), F.round("measure", 8).alias("measure"))
+    found = found.select("antecedent", _text("consequent"), F.round("measure", 8).alias("measure"))
+    return mining.recommend(found, baskets, strict=False).select("tid", "consequent", "measure")
 
 
 @query("m10_one_hot", f"WITH {TRANSACTIONS}, names AS (SELECT DISTINCT unnest(items) AS item FROM baskets) SELECT tid, unnest(items) AS item, (SELECT count(*) FROM names) AS n_columns FROM baskets")
