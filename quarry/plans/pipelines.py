@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.validity import value
 from quarry.operators import cleaning, rollup
-from quarry.session import materialize
+from quarry.session import materialize, parted
 
 
 def clean_observations(df: DataFrame, columns: list[str], label: str, id_col: str, threshold: float = 0.75) -> DataFrame:
@@ -47,8 +47,10 @@ def fit_cleaning(df: DataFrame, columns: list[str], label: str, threshold: float
     repairs = cleaning.fit_repairs(filled, columns, [])
     for repair in repairs:
         filled = repair.apply(filled)
-    filled = materialize(filled, "repaired").select(label, *columns).distinct()
-    gone = cleaning.correlated_columns(filled, columns, label, threshold)
+    filled = materialize(filled, "repaired").select(label, *columns)
+    hashed = filled.withColumn("__h", F.xxhash64(label, *[F.col(c) + 0.0 for c in columns]))
+    distinct = parted(hashed, filled.count(), "__h").dropDuplicates(["__h", label, *columns]).drop("__h")
+    gone = cleaning.correlated_columns(distinct, columns, label, threshold)
     row = filled.agg(*[F.min(c).alias(f"a_{c}") for c in columns], *[F.max(c).alias(f"b_{c}") for c in columns]).first()
     known = {r.column: json.dumps(asdict(r)) for r in repairs}
     rows = [(i, c, json.dumps({k: r[c] for k, r in means.items()}), known.get(c), c in gone, row[f"a_{c}"], row[f"b_{c}"]) for i, c in enumerate(columns)]

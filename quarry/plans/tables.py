@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import parted
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -21,7 +23,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, f1 to f4 and label: order lines, one row for each order and line number.
     Some f1 are null and some f2 negative, that is invalid; by the rules of SPIKES a
     few values of each column lie far out."""
-    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = parted(lines, lines.count(), "id").groupBy("id")
     spiked = lambda c: F.when(F.col("id") % SPIKES[c][0] == 0, F.col(c) * SPIKES[c][1] + SPIKES[c][2]).otherwise(F.col(c))
     picked = rows.agg(
         F.max("l_quantity").alias("f1"), F.max("l_extendedprice").alias("f2"), F.max("l_discount").alias("f3"),
